@@ -38,28 +38,30 @@ SQL_RAW_FEATURES = SQL_INDEXED + f""",
 f AS (SELECT *, {SQL_TIME}, {sql_clearness()} AS clearness_index,
   {sql_lags(['irr_horiz', 'target'], order=RAW_ORDER)}, {sql_rolls('irr_horiz', order=RAW_ORDER)} FROM pos),
 warm AS (SELECT * FROM f WHERE idx >= 8 AND target >= 0)"""
-_ALL = [*(c for c in VALUES if c != "rh"), *CYCLES, "month", "clearness_index", *LAGGED, *ROLLED]
-_CUT = """, sized AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {order}) - 1 AS at,
+# At raw cadence the clearness index is unknown at night and so above half NULL, like the humidity.
+_SPARSE = ("rh", "clearness_index")
+_ALL = [*(c for c in VALUES if c != "rh"), *CYCLES, "month", *LAGGED, *ROLLED]
+_CUT = """, sized AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {order}) - 1 AS spot,
     count(*) OVER (PARTITION BY site) AS n FROM filled WHERE target IS NOT NULL),
-parts AS (SELECT *, CASE WHEN at < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
-    WHEN at < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM sized),
+parts AS (SELECT *, CASE WHEN spot < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+    WHEN spot < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM sized),
 usable AS (SELECT * FROM parts WHERE {known})"""
 
 
 def _known(names) -> str:
-    return " AND ".join(f"{c} IS NOT NULL" for c in names if c != "rh")
+    return " AND ".join(f"{c} IS NOT NULL" for c in names if c not in _SPARSE)
 
 
 _SUMMARY = f"""
 SELECT site, split, count(*) AS n_rows, {r('avg(target)', 'target_mean')}, {r('avg(irr_horiz)', 'irr_mean')},
-  {r('avg(clearness_index)', 'clearness_mean')}, {r('avg(month)', 'month_mean')}, {r('avg(target_lag4)', 'lag4_mean')},
+  {r('avg(hour_sin)', 'hour_sin_mean')}, {r('avg(month)', 'month_mean')}, {r('avg(target_lag4)', 'lag4_mean')},
   min(ts) AS first_ts, max(ts) AS last_ts FROM usable GROUP BY site, split"""
 
 
 def _summary(rows):
     return rows.groupBy("site", "split").agg(
         F.count("*").alias("n_rows"), F.avg("target").alias("target_mean"), F.avg("irr_horiz").alias("irr_mean"),
-        F.avg("clearness_index").alias("clearness_mean"), F.avg("month").alias("month_mean"),
+        F.avg("hour_sin").alias("hour_sin_mean"), F.avg("month").alias("month_mean"),
         F.avg("target_lag4").alias("lag4_mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
 

@@ -40,11 +40,12 @@ def resample_15min(spark, sf_dir):
 
 
 def _rule(unit: str, step: str, agg: str, source: str, time: str, value: str, series: str) -> str:
+    digits = 3 if agg == "sum" else 6
     fill = "coalesce(v, 0)" if agg == "sum" else "v"
     return f"""WITH b AS (SELECT {series} AS series, CAST(date_trunc('{unit}', {time}) AS TIMESTAMP) AS ts, {agg}({value}) AS v
   FROM {source} GROUP BY 1, 2),
 g AS (SELECT series, unnest(generate_series(min(ts), max(ts), INTERVAL '{step}')) AS ts FROM b GROUP BY series)
-SELECT series, ts, round({fill}, 3) + 0.0 AS v FROM g LEFT JOIN b USING (series, ts)"""
+SELECT series, ts, round({fill}, {digits}) + 0.0 AS v FROM g LEFT JOIN b USING (series, ts)"""
 
 
 def _orders(spark, sf_dir):
@@ -62,7 +63,7 @@ def hourly_mean(spark, sf_dir):
     return resample(std(spark, sf_dir), "1 hour", "avg", ["irr_horiz", "target"])
 
 
-@query("c02_daily_mean", _rule("day", "1 day", "avg", "orders", "o_orderdate", "o_totalprice", "o_orderpriority"), digits=3)
+@query("c02_daily_mean", _rule("day", "1 day", "avg", "orders", "o_orderdate", "o_totalprice", "o_orderpriority"))
 def daily_mean(spark, sf_dir):
     return resample(_orders(spark, sf_dir), "day", "avg", ["v"], ["series"])
 

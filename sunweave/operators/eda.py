@@ -123,7 +123,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) ->
     width = (F.col("_hi") - F.col("_lo")) / bins
     # Bins of every group: (groups x bins) rows made from the range table.
     edges = span.select(
-        *by, "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).cast("bigint").alias("bin")
+        *by, "_lo", "_hi", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin")
     ).select(
         *by, "bin",
         (F.col("_lo") + width * (F.col("bin") - 1)).alias("bin_from"),
