@@ -2,6 +2,7 @@
 
 from sunweave.functions.scalar import (  # noqa: F401
     clamp_non_negative,
+    correlation,
     equal_width_bin,
     null_if_sentinel,
     numeric_columns,

@@ -50,3 +50,14 @@ def equal_width_bin(c: Column, lo, hi, bins: int) -> Column:
     return F.when(
         hi > lo, F.least(F.width_bucket(c, lo, hi, F.lit(bins)), F.lit(bins))
     ).when(c.isNotNull(), F.lit(1).cast("bigint"))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are known; NULL when either side is constant.
+
+    ``corr`` itself divides by zero on a constant, which is an error under ANSI mode.
+    """
+    a, b = a.cast("double"), b.cast("double")
+    both_a, both_b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(both_a) * F.stddev_pop(both_b)
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunweave.functions import equal_width_bin
+from sunweave.functions import correlation, equal_width_bin
 from sunweave.operators.cleaning import null_fractions
 from sunweave.operators.ordered import index_rows, look_back
 from sunweave.operators.quantiles import SMALL_GROUP, exact_quantiles
@@ -78,15 +78,11 @@ def target_report(df: DataFrame, target: str = TARGET, by: Sequence[str] = ("sit
     )
 
 
-def _corr(a: str, b: str) -> Column:
-    return F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-
-
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lower triangle of the pairwise-complete correlation matrix (C08); one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
     cells = F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), _corr(a, b).alias("r")) for a, b in pairs
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), correlation(F.col(a), F.col(b)).alias("r")) for a, b in pairs
     ])
     return df.agg(cells.alias("_cells")).select(F.inline("_cells"))
 
@@ -99,7 +95,7 @@ def correlations_listwise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str = TARGET) -> DataFrame:
     """Correlation of each column with the target, strongest first."""
     others = [c for c in columns if c != target]
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), _corr(c, target).alias("r")) for c in others])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), correlation(F.col(c), F.col(target)).alias("r")) for c in others])
     return df.agg(cells.alias("_cells")).select(F.inline("_cells")).orderBy(F.desc("r"), "column")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunweave.functions import power_level, season
+from sunweave.functions import correlation, power_level, season
 from sunweave.operators.eda import histogram
 from sunweave.operators.ordered import look_back, position_slice
 from sunweave.session import small_side
@@ -39,7 +39,7 @@ def r2(y: Column, p: Column) -> Column:
 
 def pearson_r(y: Column, p: Column) -> Column:
     """NULL when either side is constant."""
-    return F.when((F.var_pop(y) > 0) & (F.var_pop(p) > 0), F.corr(y, p))
+    return correlation(y, p)
 
 
 def nrmse_pct(y: Column, p: Column) -> Column:

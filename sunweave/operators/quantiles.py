@@ -55,10 +55,9 @@ def _bracketed(df, columns, probs, by, sizes, margin, accuracy):
     ])
     # One row per group: brackets[c] is an array over probs, joined to the rows by group only.
     wide = small_side(sketch.select(*by, *[
-        F.transform(
-            F.sequence(F.lit(0), F.lit(k - 1)),
-            lambda i, c=c: F.struct(F.col(c)[i].alias("lo"), F.col(c)[i + k].alias("hi")),
-        ).alias(f"_b_{c}")
+        F.array(*[
+            F.struct(F.col(c)[i].alias("lo"), F.col(c)[i + k].alias("hi")) for i in range(k)
+        ]).alias(f"_b_{c}")
         for c in columns
     ]))
     if by:
@@ -67,7 +66,8 @@ def _bracketed(df, columns, probs, by, sizes, margin, accuracy):
         only = wide.first()
         rows = df.withColumns({
             f"_b_{c}": F.array(*[
-                F.struct(F.lit(b["lo"]).alias("lo"), F.lit(b["hi"]).alias("hi")) for b in only[f"_b_{c}"]
+                F.struct(F.lit(b["lo"]).cast("double").alias("lo"), F.lit(b["hi"]).cast("double").alias("hi"))
+                for b in only[f"_b_{c}"]
             ])
             for c in columns
         })

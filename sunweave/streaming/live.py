@@ -26,8 +26,10 @@ def live_bins(
     columns = numeric_columns(std) if columns is None else list(columns)
     return (
         std.transform(drop_bad_target)
+        # Watermarks need a zoned timestamp; under a UTC session it is the same instant.
+        .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
         .groupBy("site", F.window("ts", rule))
         .agg(*[F.avg(c).alias(c) for c in columns])
-        .select("site", F.col("window.start").alias("ts"), *columns)
+        .select("site", F.col("window.start").cast("timestamp_ntz").alias("ts"), *columns)
     )
