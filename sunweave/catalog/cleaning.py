@@ -97,7 +97,7 @@ SELECT site, ts, row_id, {rs(NO_RH)} FROM ({_filled('good')}) WHERE target IS NO
 def clean_raw(spark, sf_dir):
     from sunweave.plans.prepare import clean_indexed
 
-    return clean_indexed(index_rows(std(spark, sf_dir))).drop("idx")
+    return clean_indexed(index_rows(std(spark, sf_dir)))[0].drop("idx")
 
 
 @query("p07_feature_rows", with_(SQL_SPLIT, f"""

@@ -12,6 +12,7 @@ from sunweave.catalog.base import (
     LAGGED,
     LATITUDE,
     ROLLED,
+    SQL_STD,
     SQL_TIME,
     VALUES,
     predictions,
@@ -29,7 +30,7 @@ from sunweave.catalog.order import RAW_ORDER, SQL_INDEXED
 from sunweave.models import load_forecaster
 from sunweave.operators.evaluate import comparison_table, metrics
 from sunweave.plans.prepare import prepare, split_features
-from sunweave.plans.report import analysis_tables
+from sunweave.plans.report import analysis_tables, dataset_dictionary
 from sunweave.plans.train import fit_tabular, reload_and_score, score_tabular, sequences_of
 from sunweave.schema import FEATURES_13, FEATURES_18
 from sunweave.session import stage, staging_path
@@ -113,6 +114,27 @@ def reload_score(spark, sf_dir):
     return comparison_table(metrics(reload_and_score({"lr": load_forecaster(spark, "lr", path)}, data)))
 
 
+_SENSORS = {
+    "irr_horiz": ("Solar Irradiance", "FPHIRR", "W/m²"),
+    "amb_temp": ("Ambient Temperature", "FAMBTM", "°C"),
+    "rh": ("Relative Humidity", "FPV_RH", "%"),
+    "wind_speed": ("Wind Speed", "FWINDS", "m/s"),
+    "pressure": ("Atmospheric Pressure", "FVPRES", "hPa"),
+    "target": ("PV Power Output (Target)", "INVPWR", "W"),
+}
+
+
+@query("e22_dataset_dictionary", with_(SQL_STD, " UNION ALL ".join(f"""
+SELECT '{title}' AS feature_name, '{raw}' AS raw_column, '{name}' AS standard_name, '{unit}' AS unit, count({name}) AS n_known
+FROM std WHERE site = 'site_b'""" for name, (title, raw, unit) in _SENSORS.items())))
+def dictionary(spark, sf_dir):
+    """The documented sensors of a site with the number of readings each has."""
+    rows = std(spark, sf_dir).where("site = 'site_b'")
+    known = rows.agg(*[F.count(c).alias(c) for c in VALUES]).unpivot([], VALUES, "standard_name", "n_known")
+    table = dataset_dictionary(spark, "site_b").drop("description")
+    return known.join(F.broadcast(table), "standard_name")
+
+
 @query("j06_analysis_tables")
 def all_tables(spark, sf_dir):
     """Every analysis table is computed; the result lists each with its row count."""

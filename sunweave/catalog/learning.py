@@ -128,6 +128,17 @@ def same_seed(spark, sf_dir):
     return both.agg(F.max(F.abs(F.col("first") - F.col("second"))).alias("max_difference"), F.count("*").alias("n_rows"))
 
 
+@query("m11_fitted_parameters")
+def fitted_parameters(spark, sf_dir):
+    """Settings of models fitted here; the ridge penalty depends on the rows."""
+    data = bundle(spark, sf_dir)
+    return studies.fitted_parameters({
+        "lr": fit_ridge(data.train, data.features),
+        "rf": fit_forest(data.train, data.features, trees=4, depth=4),
+        "gbt": fit_boosted(data.train, data.features, rounds=3, depth=3),
+    })
+
+
 @query("m12_complexity")
 def complexity(spark, sf_dir):
     data = bundle(spark, sf_dir)

@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 
 def parse_day_hour(day: Column, hour: Column) -> Column:
-    """``YYYYDDD`` and ``H:MM:SS`` to a timestamp; anything unparseable is NULL."""
-    year = F.floor(day / 1000).cast("string")
-    doy = F.lpad((day % 1000).cast("string"), 3, "0")
-    text = F.concat(year, F.lit("-"), doy, F.lit(" "), hour)
-    return F.try_to_timestamp(text, F.lit("yyyy-DDD H:mm:ss")).cast("timestamp_ntz")
+    """``YYYYDDD`` and ``H:M:S`` to a timestamp without time zone; anything else is NULL.
+
+    Built from a date and a cast, which neither depends on the session time zone nor needs a
+    pattern formatter for every row.
+    """
+    year = F.floor(day / 1000).cast("int")
+    doy = (day % 1000).cast("int")
+    new_year = F.make_date(year, F.lit(1), F.lit(1))
+    days = F.dayofyear(F.make_date(year, F.lit(12), F.lit(31)))
+    date = F.when(doy.between(1, days), F.date_add(new_year, doy - 1))
+    clock = F.when(hour.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}$"), hour)
+    return F.concat(date.cast("string"), F.lit(" "), clock).try_cast("timestamp_ntz")
 
 
 def cyclic_time(ts: Column) -> dict[str, Column]:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sunweave.functions import numeric_columns
 from sunweave.operators.ordered import look_back
-from sunweave.operators.resample import resample_mean
+from sunweave.operators.resample import complete_grid, resample_counted
 from sunweave.schema import IRRADIANCE_FALLBACKS, KEY_COLUMNS, NIGHT_IRRADIANCE, RESAMPLE_RULE, TARGET
+from sunweave.session import stage
 
 
 def drop_bad_target(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -77,18 +78,27 @@ def clean_grid(
     filter_night: bool = True,
     rule: str = RESAMPLE_RULE,
     max_gap: int = 4,
+    threshold: float = 0.50,
     target: str = TARGET,
 ) -> DataFrame:
     """The cleaning chain with resampling (P06); the result lies on a regular grid.
 
-    A bin without readings has no irradiance, so the night filter would drop it at once: with
+    The raw rows are read once. Bins are written with their reading counts, so the sparse-column
+    test adds up a few counts per bin instead of scanning the raw rows a second time. A bin
+    without readings has no irradiance and the night filter would drop it at once: with
     ``filter_night`` the empty bins are not generated in the first place.
     """
-    out = df.transform(lambda d: drop_bad_target(d, target)).transform(drop_sparse_columns)
-    night = filter_night and irradiance_column(out) is not None
-    out = resample_mean(out, rule, complete=not night)
-    if night:
+    good = drop_bad_target(df, target)
+    columns = numeric_columns(good)
+    bins = stage(resample_counted(good, columns, rule), "bins")
+    known = bins.agg(F.sum("n_rows"), *[F.sum(f"n_{c}") for c in columns]).first()
+    n_rows = known[0] or 0
+    kept = [c for c, n in zip(columns, known[1:]) if n_rows == 0 or 1 - n / n_rows <= threshold]
+    out = bins.select("site", "ts", *kept)
+    if filter_night and irradiance_column(out) is not None:
         out = filter_daytime(out)
+    else:
+        out = complete_grid(out, rule, kept)
     return keep_numeric(fill_gaps(out, max_gap, target, bounded=True))
 
 

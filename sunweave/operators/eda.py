@@ -13,7 +13,7 @@ from sunweave.operators.ordered import index_rows, look_back
 from sunweave.operators.quantiles import SMALL_GROUP, exact_quantiles
 from sunweave.operators.resample import resample
 from sunweave.schema import RESAMPLE_RULE, SENTINELS, TARGET
-from sunweave.session import small_side
+from sunweave.session import small_side, stage
 
 
 def hour_profile(df: DataFrame, column: str, by: Sequence[str] = ("site",)) -> DataFrame:
@@ -153,7 +153,7 @@ def monthly_box(df: DataFrame, column: str = "irr_horiz", small_group: int = SMA
 
 def best_day(df: DataFrame, column: str = "irr_horiz", rule: str = RESAMPLE_RULE) -> DataFrame:
     """The grid rows of each site's day with the largest sum; the earliest wins a tie."""
-    grid = resample(df, rule, "avg", [column])
+    grid = stage(resample(df, rule, "avg", [column]), "grid")
     day = F.to_date("ts")
     daily = grid.groupBy("site", day.alias("day")).agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("total"))
     best = small_side(
@@ -175,7 +175,7 @@ def series_check(df: DataFrame, bounded: bool = False) -> DataFrame:
     if not bounded and "idx" not in df.columns:
         df = index_rows(df.select("site", "ts", *[c for c in ("row_id",) if c in df.columns]))
     gaps = look_back(df, 1, lambda w: {"_prev": F.lag("ts").over(w)}, bounded=bounded)
-    step = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))) / 1e6
+    step = F.expr("cast(cast(ts - _prev as interval second) as decimal(18, 6))").cast("double")
     return gaps.groupBy("site").agg(
         F.count_if(step < 0).alias("n_backward"),
         F.max(step).alias("max_gap_s"),

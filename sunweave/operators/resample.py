@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from sunweave.functions import numeric_columns
 from sunweave.schema import RESAMPLE_RULE
 
-CALENDAR = {"day": "day", "month": "month", "year": "year"}
+CALENDAR = ("day", "month", "year")
 
 
 def bin_start(ts: Column, rule: str) -> Column:
     """Left edge of the bin: a calendar unit or a fixed interval."""
     if rule in CALENDAR:
-        return F.date_trunc(rule, ts).cast("timestamp_ntz")
+        day = F.to_date(ts)
+        return (day if rule == "day" else F.trunc(day, rule)).cast("timestamp_ntz")
     return F.window(ts, rule)["start"]
 
 
@@ -65,3 +66,17 @@ def resample(
 
 def resample_mean(df: DataFrame, rule: str = RESAMPLE_RULE, complete: bool = True) -> DataFrame:
     return resample(df, rule, "avg", complete=complete)
+
+
+def resample_counted(
+    df: DataFrame, columns: Sequence[str], rule: str = RESAMPLE_RULE, series: Sequence[str] = ("site",)
+) -> DataFrame:
+    """Bins with each column's mean and, as ``n_{column}``, how many readings it had; ``n_rows`` in all.
+
+    The counts let later steps judge the raw rows (how sparse is a sensor?) from the bins alone.
+    """
+    return df.groupBy(*series, bin_start(F.col("ts"), rule).alias("ts")).agg(
+        F.count("*").alias("n_rows"),
+        *[F.avg(c).alias(c) for c in columns],
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+    )

@@ -18,17 +18,19 @@ def split_chronological(
     validation: float = VALIDATION_FRACTION,
     series: Sequence[str] = SERIES,
     bounded: bool = False,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: the first share of each series trains, the next validates, the rest tests.
 
     Needs a dense ``idx``. Series lengths come from the same window when series are bounded,
-    else from a one-row-per-series aggregate.
+    else from a one-row-per-series aggregate; a caller that knows them passes ``lengths``
+    (series, n_rows) and spares computing ``df`` for its row counts.
     """
     if bounded:
         sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(*series)))
     else:
-        sizes = small_side(series_lengths(df, series).withColumnRenamed("n_rows", "_n"))
-        sized = df.join(sizes, list(series))
+        lengths = series_lengths(df, series) if lengths is None else lengths
+        sized = df.join(small_side(lengths.withColumnRenamed("n_rows", "_n")), list(series))
     n_train = F.floor(F.col("_n") * F.lit(float(train)))
     n_valid = F.floor(F.col("_n") * F.lit(float(validation)))
     part = (

@@ -18,7 +18,7 @@ from sunweave.operators.cleaning import (
     keep_numeric,
 )
 from sunweave.operators.features import engineer_features
-from sunweave.operators.ordered import index_rows, reindex_rows
+from sunweave.operators.ordered import index_rows, reindex_rows, series_lengths
 from sunweave.operators.scaling import Scaler, apply_scaler, fit_scaler, fit_target_scaler, scale_target
 from sunweave.operators.split import split_chronological
 from sunweave.schema import FEATURES_13, FEATURES_18, FEATURES_20, TARGET
@@ -59,50 +59,71 @@ class Bundle:
         return self.part("test")
 
 
-def clean_indexed(df: DataFrame, filter_night: bool = True, max_gap: int = 4) -> DataFrame:
-    """The cleaning chain without resampling (P06), for frames with a dense ``idx``.
+def clean_indexed(df: DataFrame, filter_night: bool = True, max_gap: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The cleaning chain without resampling (P06) for a frame with ``idx``, and the series lengths.
 
     The frame after the target filter is written once: the sparse-column test, the new row
-    positions and the result all read it.
+    positions, the lengths and the result all read it. The target is known in every row, so
+    filling drops none and the lengths hold for the result.
     """
     out = stage(drop_bad_target(df), "target-ok").transform(drop_sparse_columns)
     if filter_night:
         out = filter_daytime(out)
-    return keep_numeric(fill_gaps(reindex_rows(out), max_gap))
+    return keep_numeric(fill_gaps(reindex_rows(out), max_gap)), series_lengths(out)
 
 
-def feature_frame(std: DataFrame, preset: str = "documented", latitude=None, filter_night: bool = True) -> tuple[DataFrame, bool]:
-    """Cleaned feature rows with a dense ``idx``, and whether they lie on a regular grid."""
+@dataclass(frozen=True)
+class Frame:
+    """Cleaned feature rows with a dense ``idx``; ``bounded`` if they lie on a regular grid."""
+
+    rows: DataFrame
+    bounded: bool
+    lengths: DataFrame | None = None
+
+
+def feature_frame(
+    std: DataFrame, preset: str = "documented", latitude=None, filter_night: bool = True
+) -> Frame:
+    """Features and cleaning in the order the preset asks for."""
     if preset == "documented":
         grid = clean_grid(std, filter_night)
-        return engineer_features(grid, latitude, bounded=True), True
+        return Frame(engineer_features(grid, latitude, bounded=True), True)
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; choose from {PRESETS}")
     featured = engineer_features(index_rows(std), latitude)
     if preset == "cli13":
-        return clean_indexed(featured, filter_night), False
-    grid = clean_grid(stage(featured.drop("idx"), "featured"), filter_night)
-    return index_rows(grid, bounded=True), True
+        rows, lengths = clean_indexed(featured, filter_night)
+        return Frame(rows, False, lengths)
+    grid = clean_grid(featured.drop("idx"), filter_night)
+    return Frame(index_rows(grid, bounded=True), True)
 
 
-def split_features(std: DataFrame, features: Sequence[str] | None = None, preset: str = "documented", latitude=None) -> tuple[DataFrame, bool]:
-    """Feature rows of all three splits with ``pos``, unscaled."""
-    frame, bounded = feature_frame(std, preset, latitude)
+def split_features(
+    std: DataFrame, features: Sequence[str] | None = None, preset: str = "documented", latitude=None
+) -> tuple[DataFrame, bool]:
+    """Complete feature rows of all three splits with ``pos``, unscaled and written once."""
+    frame = feature_frame(std, preset, latitude)
     wanted = list(PRESET_FEATURES[preset] if features is None else features)
-    parts = split_chronological(frame, bounded=bounded)
+    parts = split_chronological(frame.rows, bounded=frame.bounded, lengths=frame.lengths)
     # A sensor dropped as too sparse is the one legitimate reason for a missing feature.
     rows = feature_rows(parts, wanted, allow_missing=features is None)
-    if bounded:
-        rows = index_rows(rows, ("site", "split"), bounded=True, name="pos")
+    if frame.bounded:
+        placed = index_rows(rows, ("site", "split"), bounded=True, name="pos")
     else:
-        rows = reindex_rows(rows.withColumn("pos", F.col("idx")), ("site", "split"), "pos")
-    return rows, bounded
-
-
-def prepare(std: DataFrame, features: Sequence[str] | None = None, preset: str = "documented", latitude=None, scaler: str = "standard") -> Bundle:
+        # Positions need block counts of the finished rows: count the written rows, not the plan.
+        placed = reindex_rows(stage(rows.withColumn("pos", F.col("idx")), "usable"), ("site", "split"), "pos")
+    return stage(placed, "split"), frame.bounded
+
+
+def prepare(
+    std: DataFrame,
+    features: Sequence[str] | None = None,
+    preset: str = "documented",
+    latitude=None,
+    scaler: str = "standard",
+) -> Bundle:
     """Clean, split, drop incomplete rows, fit scalers on train only, scale all."""
     rows, bounded = split_features(std, features, preset, latitude)
-    rows = stage(rows, "split")
     names = [c for c in (PRESET_FEATURES[preset] if features is None else features) if c in rows.columns]
     train = rows.where(F.col("split") == "train")
     x_scaler = fit_scaler(train, names, scaler)

@@ -6,7 +6,7 @@ import time
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunweave.models.base import Forecaster
@@ -86,3 +86,20 @@ def complexity_table(models: dict[str, Forecaster], rows: DataFrame) -> DataFram
     return rows.sparkSession.createDataFrame(
         out, "model string, fit_seconds double, size long, n_scored long, rows_per_second double"
     )
+
+
+# Settings reported per learner, by the names Spark gives them.
+REPORTED = (
+    "regParam", "elasticNetParam", "solver", "numTrees", "maxIter", "maxDepth", "minInstancesPerNode",
+    "stepSize", "subsamplingRate", "featureSubsetStrategy", "maxBins", "seed",
+)
+
+
+def fitted_parameters(models: dict[str, Forecaster]) -> DataFrame:
+    """The settings each fitted model was trained with."""
+    rows = []
+    for model in models.values():
+        learner = model.learner
+        have = [p for p in REPORTED if learner.hasParam(p) and learner.isDefined(p)]
+        rows += [(model.label, p, str(learner.getOrDefault(p))) for p in have]
+    return SparkSession.active().createDataFrame(rows, "model string, hyperparameter string, value string")
