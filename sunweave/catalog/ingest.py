@@ -41,8 +41,10 @@ from sunweave.sources import (
     load_report,
     load_site_csv,
     parquet_or_build,
+    raw_head,
     raw_peek,
     read_result,
+    report_lines,
     rename_to_standard,
     replace_sentinels,
     union_sites,
@@ -161,6 +163,12 @@ def peek(spark, sf_dir):
     return raw_peek(raw(spark, sf_dir).select("row_id", *RAW_VALUES))
 
 
+@query("s14_raw_head", with_(SQL_RAW, f"""
+SELECT row_id, {rs(RAW_VALUES)}, {len(RAW_VALUES) + 1} AS n_columns FROM raw ORDER BY row_id LIMIT 5"""))
+def head(spark, sf_dir):
+    return raw_head(raw(spark, sf_dir).select("row_id", *RAW_VALUES))
+
+
 @query("s15_parquet_sink", with_(SQL_CLEAN, f"SELECT site, ts, {rs(KEPT)} FROM clean"))
 def parquet_sink(spark, sf_dir):
     path = staging_path(spark, "clean")
@@ -208,3 +216,14 @@ SELECT row_number() OVER (ORDER BY rmse, model) AS place, model AS label,
 FROM scores"""))
 def closing_report(spark, sf_dir):
     return final_report(comparison_table(metrics(predictions(spark, sf_dir))))
+
+
+@query("s19_report_lines", with_(SQL_SCORES, """
+SELECT printf('%d. %s%s: RMSE %.2f W, R2 %.4f, MAPE %.2f %%', row_number() OVER (ORDER BY rmse, model), model,
+  CASE WHEN row_number() OVER (ORDER BY rmse, model) = 1 THEN ' (winner)' ELSE '' END, rmse, r2, mape) AS value
+FROM scores"""))
+def text_report(spark, sf_dir):
+    """Written as text and read back."""
+    path = staging_path(spark, "report")
+    report_lines(comparison_table(metrics(predictions(spark, sf_dir)))).write.text(path)
+    return spark.read.text(path)

@@ -37,21 +37,25 @@ def index_rows(
     order: Sequence[str] = ORDER,
     bounded: bool = False,
     name: str = "idx",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series.
 
     Unbounded series are range-partitioned on (series, order), so one hot series or one hot day
     spreads over as many tasks as its size asks for. The sorted rows are written once; the
     positions follow from the row counts of the written partitions, a table with at most
-    (partitions + series) rows.
+    (partitions + series) rows. ``partitions`` defaults to ``spark.sql.shuffle.partitions``, which
+    should put some 100 MB in each.
     """
     order = order_columns(df, order)
     if bounded:
         w = Window.partitionBy(*series).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    keys = [*series, *order]
+    ranged = df.repartitionByRange(*keys) if partitions is None else df.repartitionByRange(partitions, *keys)
     rows = stage(
-        df.repartitionByRange(*series, *order)
-        .sortWithinPartitions(*series, *order)
+        ranged
+        .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33)),
         "ordered",

@@ -3,6 +3,7 @@
 from sunweave.sources.results import (  # noqa: F401
     final_report,
     read_result,
+    report_lines,
     write_csv_result,
 )
 from sunweave.sources.site_csv import (  # noqa: F401
@@ -11,6 +12,7 @@ from sunweave.sources.site_csv import (  # noqa: F401
     load_and_standardise,
     load_report,
     load_site_csv,
+    raw_head,
     raw_peek,
     rename_to_standard,
     replace_sentinels,

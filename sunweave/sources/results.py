@@ -36,3 +36,12 @@ def final_report(comparison: DataFrame) -> DataFrame:
         F.format_string("%.4f", F.col("r2").cast("double")).alias("r2_text"),
         F.format_string("%.2f", F.col("mape").cast("double")).alias("mape_pct"),
     )
+
+
+def report_lines(comparison: DataFrame) -> DataFrame:
+    """The closing report as text, best model first; write it with ``.write.text``."""
+    line = F.format_string(
+        "%d. %s%s: RMSE %s W, R2 %s, MAPE %s %%",
+        "place", "label", F.when(F.col("winner"), " (winner)").otherwise(""), "rmse_w", "r2_text", "mape_pct",
+    )
+    return final_report(comparison).orderBy("place").select(line.alias("value"))

@@ -89,6 +89,11 @@ def light_load(df: DataFrame, target: str = "INVPWR", sentinels=SENTINELS) -> Da
     )
 
 
+def raw_head(df: DataFrame, rows: int = 5, order: str = "row_id") -> DataFrame:
+    """The first rows as they are, each with the frame's column count."""
+    return df.orderBy(order).limit(rows).withColumn("n_columns", F.lit(len(df.columns)))
+
+
 def raw_peek(df: DataFrame, rows: int = 200, order: str = "row_id") -> DataFrame:
     """NULLs per column among the first rows, before fill codes are removed."""
     head = df.orderBy(order).limit(rows)

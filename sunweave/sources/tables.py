@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 def write_site_parquet(df: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Snappy parquet, one directory per site so a site filter prunes the rest.
 
-    Rows keep the partitioning they arrive with (no repartition by site: one huge site must
-    not become one task); the record limit bounds file size.
+    Rebalancing by site gives small sites one file each and splits a huge one over several
+    tasks, so neither many tiny files nor one giant task arises; the record limit bounds files.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", "site").write.mode("overwrite")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("site")
