@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sunweave.functions import numeric_columns
-from sunweave.operators.ordered import look_back
+from sunweave.operators.ordered import MAX_SERIES_ROWS, index_rows, look_back, reindex_rows
 from sunweave.operators.resample import complete_grid, resample_counted
 from sunweave.schema import IRRADIANCE_FALLBACKS, KEY_COLUMNS, NIGHT_IRRADIANCE, RESAMPLE_RULE, TARGET
 from sunweave.session import stage
@@ -73,33 +73,49 @@ def keep_numeric(df: DataFrame) -> DataFrame:
     return df.select(*keys, *numeric_columns(df))
 
 
-def clean_grid(
+def clean_bins(
     df: DataFrame,
     filter_night: bool = True,
     rule: str = RESAMPLE_RULE,
     max_gap: int = 4,
     threshold: float = 0.50,
     target: str = TARGET,
-) -> DataFrame:
-    """The cleaning chain with resampling (P06); the result lies on a regular grid.
+    max_series: int = MAX_SERIES_ROWS,
+) -> tuple[DataFrame, bool]:
+    """The cleaning chain with resampling (P06), and whether every series is short enough for one window.
 
     The raw rows are read once. Bins are written with their reading counts, so the sparse-column
     test adds up a few counts per bin instead of scanning the raw rows a second time. A bin
     without readings has no irradiance and the night filter would drop it at once: with
-    ``filter_night`` the empty bins are not generated in the first place.
+    ``filter_night`` the empty bins are not generated in the first place. If the longest series
+    has more than ``max_series`` bins, the rows carry ``idx`` and go through halo blocks.
     """
     good = drop_bad_target(df, target)
     columns = numeric_columns(good)
     bins = stage(resample_counted(good, columns, rule), "bins")
-    known = bins.agg(F.sum("n_rows"), *[F.sum(f"n_{c}") for c in columns]).first()
-    n_rows = known[0] or 0
-    kept = [c for c, n in zip(columns, known[1:]) if n_rows == 0 or 1 - n / n_rows <= threshold]
+    per_site = bins.groupBy("site").agg(
+        F.count("*").alias("_bins"), F.sum("n_rows").alias("n_rows"),
+        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in columns],
+    )
+    longest, n_rows, *known = per_site.agg(
+        F.max("_bins"), F.sum("n_rows"), *[F.sum(f"n_{c}") for c in columns]
+    ).first()
+    kept = [c for c, n in zip(columns, known) if not n_rows or 1 - n / n_rows <= threshold]
+    bounded = (longest or 0) <= max_series
     out = bins.select("site", "ts", *kept)
     if filter_night and irradiance_column(out) is not None:
         out = filter_daytime(out)
     else:
-        out = complete_grid(out, rule, kept)
-    return keep_numeric(fill_gaps(out, max_gap, target, bounded=True))
+        out = complete_grid(out if bounded else index_rows(out), rule, kept, bounded=bounded)
+    if bounded:
+        return keep_numeric(fill_gaps(out, max_gap, target, bounded=True)), True
+    filled = fill_gaps(index_rows(out), max_gap, target)
+    return keep_numeric(reindex_rows(stage(filled, "filled"))), False
+
+
+def clean_grid(df: DataFrame, filter_night: bool = True, rule: str = RESAMPLE_RULE, **options) -> DataFrame:
+    """The rows of :func:`clean_bins`: cleaned, resampled, on a regular grid."""
+    return clean_bins(df, filter_night, rule, **options)[0]
 
 
 def feature_rows(

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from sunweave.session import small_side, stage
 
 BLOCK_ROWS = 50_000
+# Longest series handled by one window: 57 years at 15 minutes.
+MAX_SERIES_ROWS = 2_000_000
 SERIES = ("site",)
 ORDER = ("ts", "row_id")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.functions import numeric_columns
+from sunweave.operators.ordered import look_back
 from sunweave.schema import RESAMPLE_RULE
 
 CALENDAR = ("day", "month", "year")
@@ -22,16 +23,26 @@ def bin_start(ts: Column, rule: str) -> Column:
 
 
 
-def complete_grid(df: DataFrame, rule: str, values: Sequence[str], series: Sequence[str] = ("site",)) -> DataFrame:
+def complete_grid(
+    df: DataFrame,
+    rule: str,
+    values: Sequence[str],
+    series: Sequence[str] = ("site",),
+    bounded: bool = True,
+    **layout,
+) -> DataFrame:
     """Insert the missing bins between the first and last one, with NULL values.
 
-    Each bin emits itself and the bins up to its successor, so the raw rows are not read again
-    for the time span and no join is needed. The window runs over bins, which the calendar bounds.
+    Each bin emits the bins missing since its predecessor and itself, so the raw rows are not
+    read again for the time span and no join is needed. ``bounded`` as in
+    :mod:`sunweave.operators.ordered`; otherwise the bins need ``idx``.
     """
     step = F.expr(f"interval 1 {rule}" if rule in CALENDAR else f"interval {rule}")
-    following = F.lead("ts").over(Window.partitionBy(*series).orderBy("ts"))
-    spans = df.withColumn("_stop", F.coalesce(following - step, F.col("ts")))
-    bins = spans.withColumn("_bin", F.explode(F.sequence("ts", "_stop", step)))
+    linked = look_back(
+        df, 1, lambda w: {"_start": F.coalesce(F.lag("ts").over(w) + step, F.col("ts"))},
+        series, bounded=bounded, **layout,
+    )
+    bins = linked.withColumn("_bin", F.explode(F.sequence("_start", "ts", step)))
     own = F.col("_bin") == F.col("ts")
     return bins.select(
         *series,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.operators.cleaning import (
-    clean_grid,
+    clean_bins,
     drop_bad_target,
     drop_sparse_columns,
     feature_rows,
@@ -86,16 +86,16 @@ def feature_frame(
 ) -> Frame:
     """Features and cleaning in the order the preset asks for."""
     if preset == "documented":
-        grid = clean_grid(std, filter_night)
-        return Frame(engineer_features(grid, latitude, bounded=True), True)
+        grid, bounded = clean_bins(std, filter_night)
+        return Frame(engineer_features(grid, latitude, bounded=bounded), bounded)
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; choose from {PRESETS}")
     featured = engineer_features(index_rows(std), latitude)
     if preset == "cli13":
         rows, lengths = clean_indexed(featured, filter_night)
         return Frame(rows, False, lengths)
-    grid = clean_grid(featured.drop("idx"), filter_night)
-    return Frame(index_rows(grid, bounded=True), True)
+    grid, bounded = clean_bins(featured.drop("idx"), filter_night)
+    return Frame(index_rows(grid, bounded=True) if bounded else grid, bounded)
 
 
 def split_features(

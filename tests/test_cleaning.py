@@ -91,3 +91,14 @@ def test_observed_counts_without_extra_job(spark):
     df, obs = ops.observed(one_site(spark, [1.0, None, 2.0]), "all", ["target"])
     df.write.format("noop").mode("overwrite").save()
     assert obs.get == {"n_rows": 3, "null_target": 1}
+
+
+@pytest.mark.parametrize("night", [True, False])
+def test_long_series_go_through_blocks(spark, series, night):
+    """Beyond the checked length the same rows come out, with dense positions."""
+    short, bounded = ops.clean_bins(series, night)
+    long, still = ops.clean_bins(series, night, max_series=3)
+    assert (bounded, still) == (True, False)
+    assert rows_of(long.drop("idx")) == rows_of(short.select(long.drop("idx").columns))
+    spans = long.groupBy("site").agg(F.min("idx"), F.max("idx"), F.count("*")).collect()
+    assert all(r[1] == 0 and r[2] == r[3] - 1 for r in spans)
