@@ -27,6 +27,7 @@ from sunweave.catalog.base import (
 )
 from sunweave.catalog.learning import bundle
 from sunweave.catalog.order import RAW_ORDER, SQL_INDEXED
+from sunweave.catalog.scaling import SQL_ROWS
 from sunweave.models import load_forecaster
 from sunweave.operators.evaluate import comparison_table, metrics
 from sunweave.plans.prepare import prepare, split_features
@@ -93,7 +94,9 @@ def train_tabular_rows(spark, sf_dir):
     return score_tabular(fit_tabular("lr", data), data.test)
 
 
-@query("j03_sequence_inputs")
+@query("j03_sequence_inputs", with_(SQL_ROWS, """
+SELECT site, split, count(*) - 16 AS n_windows, 16 AS min_steps, count(*) - 1 AS last_pos
+FROM usable GROUP BY site, split HAVING count(*) > 16"""))
 def sequence_inputs(spark, sf_dir):
     """Windows per site and split: rows minus the look-back."""
     data = bundle(spark, sf_dir)

@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 def parse_day_hour(day: Column, hour: Column) -> Column:
     """``YYYYDDD`` and ``H:M:S`` to a timestamp without time zone; anything else is NULL.
 
-    Built from a date and a cast, which neither depends on the session time zone nor needs a
-    pattern formatter for every row.
+    The clock joins the date as text, so the session time zone plays no part. Each input is used
+    once: the expression is evaluated in a filter too, and its size decides whether the JVM
+    compiles the scan loop. The suffix makes an hour that does not match unreadable.
     """
-    year = F.floor(day / 1000).cast("int")
-    doy = (day % 1000).cast("int")
-    new_year = F.make_date(year, F.lit(1), F.lit(1))
-    days = F.dayofyear(F.make_date(year, F.lit(12), F.lit(31)))
-    date = F.when(doy.between(1, days), F.date_add(new_year, doy - 1))
-    clock = F.when(hour.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}$"), hour)
-    return F.concat(date.cast("string"), F.lit(" "), clock).try_cast("timestamp_ntz")
+    date = F.try_to_date(day.cast("string"), "yyyyDDD").cast("string")
+    clock = F.regexp_extract(hour, r"^\d{1,2}:\d{1,2}:\d{1,2}$", 0)
+    return F.concat(date, F.lit(" "), clock, F.lit(".0")).try_cast("timestamp_ntz")
 
 
 def cyclic_time(ts: Column) -> dict[str, Column]:
