@@ -7,13 +7,11 @@ maxima, and two registers agree about as often as the sets are similar.
 
 Steps: (1) one pass computes set identity, size and registers of each document; equal sets become
 one class, so thousands of copies are one node. (2) Bands of registers put classes into buckets.
-(3) In each bucket every class is compared with one pivot; likelihood estimates drop pairs that are
-far from the threshold and full shingle sets confirm the rest. (4) Buckets that still hold several
-components are compared pair by pair across components, sizes permitting. (5) Components of the
-confirmed links.
+(3) Bucket members are compared with pivots, then those that links have not joined with each other
+(``links.joined``); likelihood estimates drop pairs that are far from the threshold and full shingle
+sets confirm the rest. (4) Components of the confirmed links.
 
-Nothing is capped: a bucket of k near copies costs k - 1 pairs in step 3, and step 4 sees only pairs
-that the confirmed links have not joined yet. ``bands`` x ``rows`` registers miss a pair exactly at
+Nothing is capped. ``bands`` x ``rows`` registers miss a pair exactly at
 similarity 0.75 with probability (1 - 0.75^rows)^bands: 5e-6 with 32 bands of 4.
 """
 
@@ -22,13 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.llm import words as W
-from sunweave.llm.graph import components
+from sunweave.llm.links import joined, shared_buckets
 from sunweave.session import stage
 
 SHINGLE = 5
@@ -59,7 +56,12 @@ def registers(hashes: np.ndarray, start: np.ndarray, m: int) -> np.ndarray:
 
 def shingle_sets(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes row by row in ascending order, and how many each row has."""
-    values, many = W.shingles(block.words(W.NON_SPACE), SHINGLE)
+    return distinct_sets(block.words(W.NON_SPACE))
+
+
+def distinct_sets(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, of words already found."""
+    values, many = W.shingles(found, SHINGLE)
     borders = np.concatenate([[0], np.cumsum(many)])
     for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
         values[a:b].sort()
@@ -138,13 +140,23 @@ def estimate(more: np.ndarray, less: np.ndarray, m: int, n_a: np.ndarray, n_b: n
     return (low + high) / 2
 
 
-def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in frames:
-        if len(df):
-            a, b = (np.frombuffer(b"".join(df[c]), dtype=">u2").reshape(len(df), -1) for c in ("regs_a", "regs_b"))
-            got = estimate((a > b).sum(1), (a < b).sum(1), a.shape[1], df["n_a"].to_numpy(float), df["n_b"].to_numpy(float))
-            df = df[got >= SHARE / 100 - SLACK]
-        yield df[["a", "b", "n_a", "n_b"]]
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose estimate comes near the threshold and whose full sets reach it."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = batch.column
+        a, b = (np.frombuffer(b"".join(col(c).to_pylist()), dtype=">u2").reshape(batch.num_rows, -1) for c in ("regs_a", "regs_b"))
+        n_a, n_b = col("n_a").to_numpy(), col("n_b").to_numpy()
+        near = estimate((a > b).sum(1), (a < b).sum(1), a.shape[1], n_a.astype(float), n_b.astype(float)) >= SHARE / 100 - SLACK
+        flat = [col(c).flatten().to_numpy() for c in ("s_a", "s_b")]
+        ends = [np.cumsum(n) for n in (n_a, n_b)]
+        good = np.zeros(batch.num_rows, dtype=bool)
+        for i in np.flatnonzero(near).tolist():
+            x, y = (f[e[i] - n[i] : e[i]] for f, e, n in zip(flat, ends, (n_a, n_b)))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            good[i] = 100 * shared >= SHARE * (len(x) + len(y) - shared)
+        yield pa.RecordBatch.from_arrays([col("a"), col("b")], names=["a", "b"]).filter(pa.array(good))
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -155,26 +167,21 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     )
 
 
-def _compatible(a: str, b: str) -> str:
-    """Sizes alone allow the threshold."""
-    return f"100 * least({a}, {b}) >= {SHARE} * greatest({a}, {b})"
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, shingles`` of the classes in ``ids``, from the text of one document of each."""
+    wanted = classes.join(ids, classes["set_id"] == ids["id"]).select("set_id", "rep")
+    reps = wanted.select(F.col("rep").alias("_rep")).distinct()
+    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    sets = texts.select("text").mapInArrow(_sets, "set_id binary, shingles array<bigint>")
+    sets = sets.join(wanted.select("set_id"), "set_id", "left_semi")
+    return sets.groupBy(F.col("set_id").alias("id")).agg(F.first("shingles").alias("shingles"))
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of set ids whose full shingle sets reach the threshold."""
-    regs = classes.select("set_id", "regs")
-    both = pairs.join(regs.toDF("a", "regs_a"), "a").join(regs.toDF("b", "regs_b"), "b")
-    close = stage(both.mapInPandas(_estimates, "a binary, b binary, n_a long, n_b long"), "close-pairs")
-    nodes = close.select(F.col("a").alias("set_id")).union(close.select("b")).distinct()
-    wanted = classes.join(nodes, "set_id").select("set_id", "rep")
-    ids = wanted.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets, "set_id binary, shingles array<bigint>")
-    sets = sets.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("s"))
-    sets = stage(sets, "sets")
-    joined = close.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
-    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return joined.where(100 * shared >= SHARE * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ids whose full shingle sets reach the threshold."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}"), F.col("regs").alias(f"regs_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.mapInArrow(_verify, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -196,25 +203,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     classes = stage(classes, "classes")
     width = 2 * rows
     keys = F.expr(f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {width} + 1, {width}))))")
-    buckets = classes.select("set_id", "n", keys.alias("bucket"))
-    pivots = buckets.groupBy("bucket").agg(F.min(F.struct("set_id", "n")).alias("p"), F.count("*").alias("size"))
-    shared = pivots.where("size > 1").select("bucket", F.col("p.set_id").alias("a"), F.col("p.n").alias("n_a"))
-    members = buckets.join(shared, "bucket").select("bucket", "a", "n_a", F.col("set_id").alias("b"), F.col("n").alias("n_b"))
-    members = stage(members, "buckets")
-    stars = members.where("a != b and " + _compatible("n_a", "n_b")).select("a", "b", "n_a", "n_b").distinct()
-    links = stage(confirm(docs, classes, stars), "confirmed")
-    found = stage(components(links), "components")
-    root = F.coalesce("root", "b")
-    placed = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("bucket", F.col("b").alias("id"), F.col("n_b").alias("n"), root.alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    placed = stage(placed.join(split, "bucket"), "open-buckets")
-    one, two = placed.toDF("bucket", "a", "n_a", "root_a"), placed.toDF("bucket", "b", "n_b", "root_b")
-    across = one.join(two, "bucket").where("a < b and root_a != root_b and " + _compatible("n_a", "n_b"))
-    across = across.select("a", "b", "n_a", "n_b").distinct()
-    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = stage(confirm(docs, classes, across), "confirmed")
-    if more.limit(1).count():
-        found = stage(components(links.union(more)), "components")
+    buckets = classes.select(F.col("set_id").alias("id"), "n", keys.alias("bucket"))
+    members = stage(shared_buckets(buckets).select("bucket", "id", "n"), "buckets")
+    sets = sets_of(docs, classes, members.select("id").distinct()).join(classes.select(F.col("set_id").alias("id"), "regs"), "id")
+    sets = stage(sets, "sets")
+    found = joined(members, sets, SHARE, lambda pairs: confirm(sets, pairs))
     lowest = found.join(classes.select(F.col("set_id").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("low"))
     ids = found.join(lowest, "root").select(F.col("node").alias("set_id"), "low")
     ids = classes.select("set_id", "rep").join(ids, "set_id", "left").select("set_id", F.coalesce("low", "rep").alias("low"))
