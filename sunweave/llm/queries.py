@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sunweave.llm import near_dedup
+from sunweave.llm import decontaminate, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, sanitise, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +31,127 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_substring_dedup")
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents that lie in repeated passages, with where each first occurs."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op2_benchmark_decontamination", rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+spans AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM spans),
+places AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows))),
+found AS (SELECT p.doc_id, p.k, p.i, x.item_id FROM places p JOIN windows x ON p.k = x.k AND p.g = x.g),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+""")
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items in all documents, by winnowed fingerprints."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found, n_words, spans, items = decontaminate.contamination(docs, benchmark, keep=["doc_id"])
+    n_hit = decontaminate.hit_words(spans)
+    return found.select(
+        "doc_id", F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(spans) > 0).alias("contaminated"),
+    )
+
+
+@query("op3_line_dedup", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (
+  SELECT doc_id, i, translate(array_to_string(ls[i : i + 2], chr(10)), '{UPPER}', '{LOWER}') AS g
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+gone_lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN t ELSE array_to_string(
+    list_transform(list_filter(range(1, len(ls) + 1), i -> NOT list_contains(gone, i)), i -> ls[i]), chr(10)) END) AS clean_sha256
+FROM d LEFT JOIN gone_lists ON d.doc_id = gone_lists.doc_id
+""")
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated three-line windows over all documents, later occurrences removed."""
+    clean, n_lines, removed = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select(
+        "doc_id", F.col(n_lines).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"),
+    )
+
+
+@query("op4_exact_dedup", f"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
+WINDOW g AS (PARTITION BY t)
+""")
+def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents by composed fingerprints, confirmed chunk by chunk."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_classifier")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by positive-unlabelled learning."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_language_id")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by a conditional random field over their words."""
+    found, lang, score = language.identify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    held_out = F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
+
+
+@query("op7_poisson_mixing", """
+WITH d AS (SELECT *, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key, greatest(coalesce(length(text), 0), 1) AS size FROM documents),
+s AS (SELECT key, sum(size) AS size FROM d GROUP BY key),
+r AS (SELECT key, (1.0::DOUBLE / (SELECT count(*) FROM s)) * (SELECT sum(size) FROM s)::DOUBLE / size::DOUBLE AS rate FROM s),
+u AS (SELECT d.*, ('0x' || substr(md5('17:1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM d),
+terms AS (SELECT key, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, (SELECT unnest(range(0, 161)) AS k)),
+cdf AS (SELECT key, k, sum(p) OVER (PARTITION BY key ORDER BY k) AS c FROM terms),
+n AS (SELECT key, list(c ORDER BY k) AS c FROM cdf GROUP BY key),
+x AS (SELECT u.*, unnest(range(1, len(list_filter(n.c, v -> v <= u)) + 1)) AS copy_no FROM u JOIN n ON u.key = n.key)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy_no AS INTEGER) AS copy_no,
+  md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy_no) AS shuffle_key
+FROM x
+""")
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated so that every source has the same expected share of characters."""
+    return mixing.mix(table(spark, sf_dir, "documents"))[0]
+
+
+@query("op8_pii_sanitisation")
+def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the terms next to it that give it away."""
+    found = sanitise.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = sanitise.written(F.col("spans"))
+    terms = sanitise.written(F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))))
+    every = F.array_join(F.filter(F.array(base, terms), lambda x: x != ""), ",")
+    return found.select("doc_id", *[count(k) for k in sanitise.PATTERNS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 @query("op9_minhash_near_dedup")
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents by SetSketch bands, verified on full shingle sets."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of all documents under a gated recurrent model and under exact token counts."""
+    return lm.language_model_scores(table(spark, sf_dir, "documents"))

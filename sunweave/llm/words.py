@@ -71,12 +71,13 @@ _POWERS = _Powers()
 
 @dataclass
 class Block:
-    """Rows ``first`` to ``first + n`` of a batch: their lower-cased bytes and row borders."""
+    """Rows ``first`` to ``first + n`` of a batch: their lower-cased bytes, row borders and bytes as given."""
 
     first: int
     n: int
     data: np.ndarray
     offsets: np.ndarray
+    raw: np.ndarray | None = None
 
     def words(self, is_word: np.ndarray) -> Words:
         mask = is_word[self.data]
@@ -144,8 +145,8 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     while at < len(column):
         to = int(np.searchsorted(borders, borders[at] + limit, side="right")) - 1
         to = min(max(to, at + 1), len(column))
-        part = LOWER[data[borders[at] : borders[to]]]
-        yield Block(at, to - at, part, borders[at : to + 1] - borders[at])
+        raw = data[borders[at] : borders[to]]
+        yield Block(at, to - at, LOWER[raw], borders[at : to + 1] - borders[at], raw)
         at = to
 
 
