@@ -51,7 +51,7 @@ def add_from_text(
     schema = T.StructType([source.schema[c] for c in keep])
     for name, kind in added:
         schema = schema.add(name, T._parse_datatype_string(kind))
-    names = [f.name for f in schema.fields]
+    names = [f"c{i}" for i in range(len(schema.fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +60,14 @@ def add_from_text(
                 made = fn(block, *[part.column(at[c]) for c in also])
                 yield pa.RecordBatch.from_arrays([*[part.column(at[c]) for c in keep], *made], names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: ``fn`` sees and gives columns called c0, c1, ..."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(fn, plain)
+    return out.toDF(*schema.names)
 
 
 def raw_texts(block: Block) -> Iterator[memoryview]:

@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sunweave.llm import words as W
-from sunweave.llm.columns import add_from_text, columns, fresh, named
+from sunweave.llm.columns import add_from_text, columns, fresh, map_batches, named
 from sunweave.session import stage
 
 LINES = 3
@@ -78,7 +77,9 @@ def repeated_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(covered).alias("removed"))
 
 
-def _without(names: list[str], text: int, removed: int):
+def without_lines(text: int, removed: int, keep: int):
+    """Batches with the lines numbered in column ``removed`` cut from column ``text``; the first ``keep`` columns stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = batch.column(text).to_pylist()
@@ -88,7 +89,7 @@ def _without(names: list[str], text: int, removed: int):
                     out[i] = "\n".join(x for n, x in enumerate(out[i].split("\n")) if n not in gone)
             arrays = batch.columns
             arrays[text] = pa.array(out, batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays(arrays[:keep], names=[f"c{i}" for i in range(keep)])
 
     return run
 
@@ -120,5 +121,5 @@ def dedup_lines(docs: DataFrame, size: int = LINES) -> tuple[DataFrame, str, str
     both = marked.join(found, same, "left")
     both = both.select(*columns(docs), named(n_lines), F.coalesce(named(removed), F.array().cast("array<int>")).alias(removed))
     names = both.columns
-    schema = T.StructType(both.schema.fields)
-    return both.mapInArrow(_without(names, names.index("text"), names.index(removed)), schema), n_lines, removed
+    cut = without_lines(names.index("text"), names.index(removed), len(names))
+    return map_batches(both, cut, both.schema), n_lines, removed

@@ -81,13 +81,17 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _of_kind(kind: str, spans: Column) -> Column:
+    spans = F.filter(spans, lambda s: _valid(kind, s["value"]))
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value): kinds in order, each from left to right; null text has none."""
     text = F.coalesce(text, F.lit(""))
     kinds = []
     for kind, pattern in PATTERNS.items():
-        spans = F.filter(located(text, pattern), lambda s, kind=kind: _valid(kind, s["value"]))
-        spans = F.transform(spans, lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        spans = _of_kind(kind, located(text, pattern))
         sign = {"email": "@", "phone": "+"}.get(kind)
         kinds.append(F.when(F.contains(text, F.lit(sign)), spans).otherwise(F.array().cast(_SPAN)) if sign else spans)
     return F.concat(*kinds)

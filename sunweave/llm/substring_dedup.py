@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunweave.llm import words as W
-from sunweave.llm.columns import add_from_text, columns, fresh, named
-from sunweave.llm.line_dedup import line_ranges
+from sunweave.llm.columns import add_from_text, columns, fresh, map_batches, named
+from sunweave.llm.line_dedup import line_ranges, without_lines
 from sunweave.llm.links import joined, shared_buckets
 from sunweave.llm.near_dedup import SHARE, SHINGLE, distinct_sets, set_identity
 from sunweave.session import stage
@@ -167,21 +167,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     )
 
 
-def _cut(text: int, lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = batch.column(text).to_pylist()
-            for i, gone in enumerate(batch.column(lines).to_pylist()):
-                if gone:
-                    drop = set(gone)
-                    out[i] = "\n".join(x for n, x in enumerate(out[i].split("\n")) if n not in drop)
-            arrays = batch.columns
-            arrays[text] = pa.array(out, batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays(arrays[:lines], names=batch.schema.names[:lines])
-
-    return run
-
-
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated passages cut from ``text`` but at their first place."""
     gone = repeated_passages(docs, min_words).where("removed").groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("lines"))
@@ -191,4 +176,5 @@ def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     own = add_from_text(docs, lambda b: [pa.array(b.hash_ranges(b.offsets[:-1], b.offsets[1:]).view(np.int64))], [(mark, "bigint")])
     same = named("doc_id").eqNullSafe(named(names[0])) & (named(mark) == named(names[1]))
     both = own.join(gone, same, "left").select(*columns(docs), named(names[2]))
-    return both.mapInArrow(_cut(docs.columns.index("text"), len(docs.columns)), docs.schema)
+    n = len(docs.columns)
+    return map_batches(both, without_lines(docs.columns.index("text"), n, n), docs.schema)

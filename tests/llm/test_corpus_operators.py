@@ -64,7 +64,6 @@ def test_near_duplicates_in_families(spark):
 def test_blocks_and_rows_find_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(links, "SMALL", 2)
     monkeypatch.setattr(links, "BLOCK", 16)
-    monkeypatch.setattr(links, "GAIN", 1)
     test_near_duplicates_in_families(spark)
 
 
@@ -235,7 +234,7 @@ def test_disclosing_terms(spark):
         terms = [texts[r.doc_id][1][t.start : t.end] for t in r.terms] if r.doc_id < 100 else []
         assert ("zorro" in terms) == (r.doc_id < 100) and not {"note", "writes", "about"} & set(terms) and (r.doc_id < 100 or not r.terms)
     clean = {r.doc_id: r.text for r in sanitise.sanitise(df).collect()}
-    assert clean[0] == "note 0  writes  box0 [email] about item0" and clean[100] == texts[6][1]
+    assert clean[0] == "note 0  writes  0 [email] about item0" and clean[100] == texts[6][1]
 
 
 def test_quality_on_held_out_rows(spark):
