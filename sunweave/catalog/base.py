@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunweave.functions import parse_day_hour
-from sunweave.operators.cleaning import clean_grid
+from sunweave.operators.cleaning import clean_bins
 from sunweave.operators.evaluate import persistence
 from sunweave.operators.features import engineer_features
-from sunweave.operators.ordered import index_rows
 from sunweave.operators.split import split_chronological
 from sunweave.sources.site_csv import replace_sentinels
 
@@ -153,8 +152,13 @@ std AS (
 # ---- cleaned 15-minute grid, resample first -----------------------------------------------
 
 
+def clean_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Cleaned rows with ``idx``, and whether every series is short enough for one window."""
+    return clean_bins(std(spark, sf_dir))
+
+
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_grid(std(spark, sf_dir))
+    return clean_layout(spark, sf_dir)[0].drop("idx")
 
 
 SQL_BINS = SQL_STD + """,
@@ -183,8 +187,13 @@ indexed AS (
 # ---- features -----------------------------------------------------------------------------
 
 
+def feature_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    rows, bounded = clean_layout(spark, sf_dir)
+    return engineer_features(rows, LATITUDE, bounded=bounded), bounded
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engineer_features(clean(spark, sf_dir), LATITUDE, bounded=True)
+    return feature_layout(spark, sf_dir)[0]
 
 
 SQL_TIME = """sin(hour(ts) * 2 * pi() / 24.0) AS hour_sin, cos(hour(ts) * 2 * pi() / 24.0) AS hour_cos,
@@ -240,7 +249,8 @@ MODEL_FEATURES = [c for c in KEPT if c != "target"] + CYCLES + [
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_chronological(features(spark, sf_dir), bounded=True)
+    rows, bounded = feature_layout(spark, sf_dir)
+    return split_chronological(rows, bounded=bounded)
 
 
 SQL_SPLIT = SQL_FEATURES + """,
@@ -256,8 +266,8 @@ parts AS (
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values 1, 4 and 8 rows ago as three forecasts of the cleaned target."""
-    rows = index_rows(clean(spark, sf_dir), bounded=True)
-    return persistence(rows, (1, 4, 8), bounded=True)
+    rows, bounded = clean_layout(spark, sf_dir)
+    return persistence(rows, (1, 4, 8), bounded=bounded)
 
 
 SQL_PREDICTIONS = SQL_CLEAN + """,

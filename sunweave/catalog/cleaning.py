@@ -130,13 +130,6 @@ def date_slice(spark, sf_dir):
     return ops.date_slice(std(spark, sf_dir), "2024-01-08", "2024-01-21")
 
 
-@query("p09_slice_fallback", with_(SQL_STD, f"""
-SELECT site, ts, row_id, {rs(VALUES)} FROM std ORDER BY ts, row_id LIMIT 500"""))
-def slice_fallback(spark, sf_dir):
-    """No rows in the slice, so the first 500 rows: the top-k is the feature."""
-    return ops.showcase_slice(std(spark, sf_dir), "2022-07-01", "2022-07-14")
-
-
 @query("p10_drop_null_subset", with_(SQL_STD, f"""
 SELECT site, ts, row_id, {rs(VALUES)} FROM std WHERE irr_horiz IS NOT NULL AND target IS NOT NULL"""))
 def drop_null_subset(spark, sf_dir):

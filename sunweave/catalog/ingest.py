@@ -30,7 +30,7 @@ from sunweave.catalog.base import (
     with_,
 )
 from sunweave.functions import parse_day_hour
-from sunweave.operators.cleaning import clean_grid
+from sunweave.operators.cleaning import clean_bins
 from sunweave.operators.evaluate import comparison_table, metrics
 from sunweave.operators.features import engineer_features
 from sunweave.session import staging_path
@@ -183,7 +183,8 @@ def parquet_fast_path(spark, sf_dir):
     path = staging_path(spark, "fast")
 
     def build():
-        return engineer_features(clean_grid(_both(spark, sf_dir)), LATITUDE, bounded=True)
+        rows, bounded = clean_bins(_both(spark, sf_dir))
+        return engineer_features(rows, LATITUDE, bounded=bounded)
 
     write_site_parquet(parquet_or_build(spark, path, build), path)
     return parquet_or_build(spark, path, build).select("site", "ts", "idx", "month", *FEATURE_VALUES)

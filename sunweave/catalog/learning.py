@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunweave.catalog.base import LATITUDE, query, r, std, with_
+from sunweave.catalog.base import LATITUDE, MODEL_FEATURES, query, r, std, with_
+from sunweave.catalog.order import SQL_SEQUENCES
 from sunweave.catalog.scaling import SQL_ROWS, usable_rows
 from sunweave.models import (
     coefficients,
@@ -20,13 +21,14 @@ from sunweave.models import (
 )
 from sunweave.plans import studies
 from sunweave.plans.prepare import prepare
+from sunweave.models.registry import model_label
 from sunweave.plans.train import compare, train_sequence, train_tabular
 from sunweave.session import stage, staging_path
 
 # Sizes of the registered runs; the library defaults are the full ones (200 trees, 300 rounds).
 FOREST = {"trees": 10, "depth": 8}
 BOOSTED = {"rounds": 20, "depth": 5}
-SHAPE = {"filters": 16, "units": 32}
+SHAPE = {"filters": 64, "units": 64}
 
 SQL_RIDGE = SQL_ROWS + """,
 fit AS (SELECT w, my - w * mx AS b FROM (
@@ -51,15 +53,48 @@ def bundle(spark, sf_dir):
     return prepare(std(spark, sf_dir), latitude=LATITUDE)
 
 
+def in_range(scored, data, slack=0.0):
+    """Scored rows, each with whether the prediction lies in the range of the training target, widened by ``slack``.
+
+    Without ``slack`` (None) it only has to be a number that is not negative.
+    """
+    low, high = data.train.agg(F.min(data.target), F.max(data.target)).first()
+    room = float("inf") if slack is None else slack * (high - low) + 1e-6
+    value = F.col("predicted")
+    fits = value.isNotNull() & ~F.isnan(value) & (value >= 0) & value.between(low - room, high + room)
+    return scored.select("model", "site", "idx", "ts", "actual", fits.alias("in_range"))
+
+
+def sql_test_rows(key: str) -> str:
+    return with_(SQL_ROWS + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY site, split ORDER BY ts) - 1 AS pos FROM usable)""", f"""
+SELECT '{model_label(key)}' AS model, site, pos AS idx, ts, {r('target', 'actual')}, true AS in_range FROM placed WHERE split = 'test'""")
+
+
+def sql_windows(key: str) -> str:
+    return with_(SQL_SEQUENCES, f"""
+SELECT '{model_label(key)}' AS model, site, pos AS idx, ts, {r('y', 'actual')}, true AS in_range
+FROM seqs WHERE split = 'test' AND pos >= 16""")
+
+
 @query("m01_ridge", SQL_RIDGE_ROWS, digits=4)
 def ridge(spark, sf_dir):
     model, test = _ridge(spark, sf_dir)
     return _scores(model, test)
 
 
-@query("m01_ridge_all_features")
+@query("m01_ridge_all_features", with_(SQL_ROWS, " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, {r(f'avg({c})', 'train_mean', 4)}, CAST(0 AS DOUBLE) AS imbalance FROM usable WHERE split = 'train'""" for c in MODEL_FEATURES)), digits=4)
 def ridge_all(spark, sf_dir):
-    return train_tabular("lr", bundle(spark, sf_dir))[1]
+    """Normal equations of ridge: for each feature the mean of x (y - fit) less its penalty is zero, in units of y's deviation."""
+    data = bundle(spark, sf_dir)
+    model = fit_ridge(data.train, data.features)
+    weights = dict(zip(data.features, map(float, model.learner.coefficients.toArray())))
+    fit = sum((F.col(c) * w for c, w in weights.items()), F.lit(float(model.learner.intercept)))
+    miss = F.col(data.target) - fit
+    sums = data.train.agg((F.count("*") * F.stddev_pop(data.target)).alias("n"), *[F.sum(F.col(c) * miss).alias(c) for c in data.features]).first()
+    rows = [(c, float(data.scaler.params[c][0]), round((sums[c] - 0.1 * w) / sums["n"], 3) + 0.0) for c, w in weights.items()]
+    return spark.createDataFrame(rows, "feature string, train_mean double, imbalance double")
 
 
 @query("m02_coefficients", with_(SQL_RIDGE, f"""
@@ -68,27 +103,35 @@ def ridge_coefficients(spark, sf_dir):
     return coefficients(_ridge(spark, sf_dir)[0])
 
 
-@query("m03_forest")
+@query("m03_forest", sql_test_rows("rf"))
 def forest(spark, sf_dir):
-    return train_tabular("rf", bundle(spark, sf_dir), **FOREST)[1]
+    """Test rows with whether the forest's prediction lies in the range of the training target."""
+    data = bundle(spark, sf_dir)
+    return in_range(train_tabular("rf", data, **FOREST)[1], data)
 
 
-@query("m04_boosted")
+@query("m04_boosted", sql_test_rows("gbt"))
 def boosted(spark, sf_dir):
-    return train_tabular("gbt", bundle(spark, sf_dir), **BOOSTED)[1]
+    """Test rows with whether the boosted prediction lies near the range of the training target."""
+    data = bundle(spark, sf_dir)
+    return in_range(train_tabular("gbt", data, **BOOSTED)[1], data, 0.25)
 
 
-@query("m05_feature_importance")
+@query("m05_feature_importance", " UNION ALL ".join(f"""
+SELECT '{model_label(m)}' AS model, '{c}' AS feature, CAST(1 AS DOUBLE) AS total, true AS is_share""" for m in ("rf", "gbt") for c in MODEL_FEATURES))
 def importance(spark, sf_dir):
+    """Every feature of both tree models: shares between 0 and 1 that add up to 1."""
     data = bundle(spark, sf_dir)
     tables = [
-        feature_importance(m, 15).withColumn("model", F.lit(m.label))
+        feature_importance(m).withColumn("model", F.lit(m.label))
         for m in (
             fit_forest(data.train, data.features, **FOREST),
             fit_boosted(data.train, data.features, rounds=10, depth=4),
         )
     ]
-    return reduce(DataFrame.unionByName, tables)
+    share = F.col("importance")
+    total = F.sum(share).over(Window.partitionBy("model"))
+    return reduce(DataFrame.unionByName, tables).select("model", "feature", total.alias("total"), share.between(0, 1).alias("is_share"))
 
 
 @query("m07_save_load", SQL_RIDGE_ROWS, digits=4)
@@ -111,11 +154,24 @@ def batch_predict(spark, sf_dir):
     )
 
 
-@query("m09_loss_history")
-def losses(spark, sf_dir):
+def _losses(spark, sf_dir):
     data = bundle(spark, sf_dir)
     model = fit_boosted(data.train, data.features, validation=data.val, **BOOSTED)
-    return loss_history(model, data.train, data.val)
+    return data, model, loss_history(model, data.train, data.val)
+
+
+@query("m09_loss_history", with_(SQL_ROWS, f"""
+SELECT '{model_label("gbt")}' AS model, true AS has_all_rounds, true AS agrees, count(*) FILTER (WHERE split = 'train') AS n_train,
+  count(*) FILTER (WHERE split = 'val') AS n_val FROM usable"""))
+def losses(spark, sf_dir):
+    """The last round's losses equal mean squared errors worked out from the model's own output."""
+    data, model, history = _losses(spark, sf_dir)
+    last = history.orderBy(F.desc("round")).first()
+    raw = lambda rows: model.pipeline.transform(rows).agg(F.avg((F.col("prediction") - F.col(data.target)) ** 2), F.count("*")).first()
+    train, val = raw(data.train), raw(data.val)
+    agrees = all(abs(a - b) <= 1e-6 * abs(b) for a, b in ((last.train_loss, train[0]), (last.val_loss, val[0])))
+    row = (model.label, last["round"] == model.notes["rounds"], agrees, train[1], val[1])
+    return spark.createDataFrame([row], "model string, has_all_rounds boolean, agrees boolean, n_train long, n_val long")
 
 
 @query("m10_same_seed", with_(SQL_ROWS, """
@@ -140,20 +196,28 @@ def fitted_parameters(spark, sf_dir):
     })
 
 
-@query("m12_complexity")
+@query("m12_complexity", with_(SQL_ROWS, " UNION ALL ".join(f"""
+SELECT '{model_label(m)}' AS model, {size} AS coefficients, true AS is_timed, count(*) AS n_scored FROM usable WHERE split = 'test'"""
+    for m, size in (("lr", len(MODEL_FEATURES) + 1), ("rf", "CAST(NULL AS BIGINT)"), ("gbt", "CAST(NULL AS BIGINT)")))))
 def complexity(spark, sf_dir):
+    """Sizes of the tabular models; times differ from run to run and only have to be there."""
     data = bundle(spark, sf_dir)
     models = {
         "lr": fit_ridge(data.train, data.features),
         "rf": fit_forest(data.train, data.features, **FOREST),
+        "gbt": fit_boosted(data.train, data.features, **BOOSTED),
     }
-    return studies.complexity_table(models, data.test)
+    table = studies.complexity_table(models, data.test)
+    linear = F.when(F.col("model") == models["lr"].label, F.col("size"))
+    timed = (F.col("fit_seconds") > 0) & (F.col("rows_per_second") > 0) & (F.col("size") > 0)
+    return table.select("model", linear.alias("coefficients"), timed.alias("is_timed"), "n_scored")
 
 
 def _sequence(name: str, kind: str, **shape):
-    @query(name)
+    @query(name, sql_windows(kind))
     def run(spark, sf_dir):
-        return train_sequence(kind, bundle(spark, sf_dir), **shape)[1]
+        data = bundle(spark, sf_dir)
+        return in_range(train_sequence(kind, data, **shape)[1], data, None)
 
     return run
 
@@ -174,11 +238,16 @@ def training_length(spark, sf_dir):
     return studies.training_length(bundle(spark, sf_dir))
 
 
-@query("e23_loss_curves")
+@query("e23_loss_curves", " UNION ALL ".join(f"""
+SELECT '{model_label("gbt")}' AS model, '{part}' AS part, true AS has_all_rounds, true AS went_down, 1 AS first_round""" for part in ("train_loss", "val_loss")))
 def loss_curves(spark, sf_dir):
-    """Loss per round in long form: one row per model, round and part."""
-    history = losses(spark, sf_dir)
-    return history.unpivot(["model", "round"], ["train_loss", "val_loss"], "part", "loss")
+    """Loss per round in long form, summed up: complete from round 1, and lower at the end."""
+    history = _losses(spark, sf_dir)[2]
+    curves = history.unpivot(["model", "round"], ["train_loss", "val_loss"], "part", "loss")
+    first = F.min_by("loss", "round") >= F.max_by("loss", "round")
+    return curves.groupBy("model", "part").agg(
+        (F.count("*") == F.max("round")).alias("has_all_rounds"), first.alias("went_down"), F.min("round").alias("first_round")
+    )
 
 
 @query("j04_train_and_compare", digits=4)
@@ -190,5 +259,5 @@ def train_and_compare(spark, sf_dir):
     data = bundle(spark, sf_dir)
     _, scored = train_all(data, ["lr", "rf", "seq_flat"], {"rf": FOREST})
     test = data.test.drop("idx").withColumnRenamed("pos", "idx")
-    last = persistence(test, (1,), bounded=True)
+    last = persistence(test, (1,), bounded=data.bounded)
     return compare(scored.unionByName(last))

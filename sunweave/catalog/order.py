@@ -33,7 +33,7 @@ from sunweave.catalog.base import (
 from sunweave.catalog.scaling import SQL_ROWS, usable_rows
 from sunweave.operators import evaluate
 from sunweave.operators import features as feats
-from sunweave.operators.ordered import index_rows, position_slice, reindex_rows
+from sunweave.operators.ordered import index_rows, laid_out, position_slice, reindex_rows
 from sunweave.operators.sequences import build_sequences
 
 RAW_ORDER = "ts, row_id"
@@ -111,8 +111,8 @@ seqs AS (SELECT site, split, pos, ts, target AS y, count(*) OVER h AS n_steps,
 SELECT site, split, pos, ts, n_steps, 5 AS n_features, {rs(['y', 'oldest_irr', 'newest_irr', 'newest_lag'])}
 FROM seqs WHERE pos >= 16"""))
 def sequences(spark, sf_dir):
-    rows = index_rows(usable_rows(spark, sf_dir), ("site", "split"), bounded=True, name="pos")
-    seqs = build_sequences(rows, _SEQ, "target", bounded=True)
+    rows, bounded = laid_out(usable_rows(spark, sf_dir), ("site", "split"), name="pos")
+    seqs = build_sequences(rows, _SEQ, "target", bounded=bounded)
     last = F.element_at("seq", -1)
     return seqs.select(
         "site", "split", "pos", "ts", F.size("seq").alias("n_steps"), F.size(last).alias("n_features"), "y",
@@ -159,8 +159,8 @@ def prefix(spark, sf_dir):
 SELECT site, pos, {rs(['y'])} FROM seqs WHERE split = 'test' AND pos >= 16"""))
 def tail_alignment(spark, sf_dir):
     """Truth of every test window: the last (n - 16) rows, carried along instead of re-aligned."""
-    rows = index_rows(usable_rows(spark, sf_dir), ("site", "split"), bounded=True, name="pos")
-    seqs = build_sequences(rows.where("split = 'test'"), ["target"], "target", bounded=True)
+    rows, bounded = laid_out(usable_rows(spark, sf_dir), ("site", "split"), name="pos")
+    seqs = build_sequences(rows.where("split = 'test'"), ["target"], "target", bounded=bounded)
     return seqs.select("site", "pos", "y")
 
 

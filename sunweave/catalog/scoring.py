@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sunweave.catalog.base import SQL_METRICS, SQL_PREDICTIONS, SQL_SCORES, predictions, query, r, rs, table, with_
+from sunweave.catalog.base import SQL_METRICS, SQL_PREDICTIONS, SQL_SCORES, clean_layout, predictions, query, r, rs, table, with_
 from sunweave.catalog.cleaning import SQL_LEVEL
 from sunweave.catalog.statistics import sql_histogram
 from sunweave.catalog.timing import SQL_SEASON
 from sunweave.operators import evaluate as ops
-from sunweave.operators.ordered import index_rows
+from sunweave.operators.ordered import laid_out
 from sunweave.operators.resample import resample
 from sunweave.plans.studies import persistence_horizons
 
@@ -63,7 +63,8 @@ def residual_histogram(spark, sf_dir):
 
 
 @query("e11_actual_vs_predicted", with_(SQL_PREDICTIONS, f"""
-SELECT model, site, idx, ts, {rs(['actual', 'predicted'])} FROM pred WHERE idx < 500"""))
+SELECT model, site, idx, ts, {rs(['actual', 'predicted'])} FROM pred
+QUALIFY idx - min(idx) OVER (PARTITION BY model, site) < 500"""))
 def actual_vs_predicted(spark, sf_dir):
     return ops.actual_vs_predicted(predictions(spark, sf_dir))
 
@@ -97,7 +98,8 @@ def daily_predictions(spark, sf_dir):
         F.col("o_totalprice").alias("target"),
     )
     days = resample(orders, "day", complete=False)
-    return ops.persistence(index_rows(days, bounded=True), (1, 7), bounded=True)
+    rows, bounded = laid_out(days)
+    return ops.persistence(rows, (1, 7), bounded=bounded)
 
 
 SQL_DAILY = """days AS (SELECT o_orderpriority AS site, o_orderdate AS ts, avg(o_totalprice) AS target FROM orders GROUP BY 1, 2),
@@ -122,9 +124,8 @@ def seasonal_metrics(spark, sf_dir):
 SELECT 'persistence' AS model, CAST(split_part(model, '_', 2) AS BIGINT) AS horizon, {SQL_METRICS}
 FROM pred GROUP BY ALL"""), digits=4)
 def horizon_persistence(spark, sf_dir):
-    from sunweave.catalog.base import clean
-
-    return persistence_horizons(index_rows(clean(spark, sf_dir), bounded=True), bounded=True)
+    rows, bounded = clean_layout(spark, sf_dir)
+    return persistence_horizons(rows, bounded=bounded)
 
 
 @query("e17_prediction_band", with_(SQL_PREDICTIONS + """,
@@ -144,9 +145,10 @@ def band_coverage(spark, sf_dir):
     return ops.band_coverage(ops.prediction_band(predictions(spark, sf_dir)))
 
 
-@query("e18_slice_metrics", with_(SQL_PREDICTIONS, f"""
-SELECT model, 'day' AS slice, {SQL_METRICS} FROM pred WHERE idx < 96 GROUP BY model UNION ALL
-SELECT model, 'week', {SQL_METRICS} FROM pred WHERE idx < 672 GROUP BY model"""), digits=4)
+@query("e18_slice_metrics", with_(SQL_PREDICTIONS + """,
+early AS (SELECT *, idx - min(idx) OVER (PARTITION BY model, site) AS step FROM pred)""", f"""
+SELECT model, 'day' AS slice, {SQL_METRICS} FROM early WHERE step < 96 GROUP BY model UNION ALL
+SELECT model, 'week', {SQL_METRICS} FROM early WHERE step < 672 GROUP BY model"""), digits=4)
 def slice_metrics(spark, sf_dir):
     return ops.slice_metrics(predictions(spark, sf_dir))
 

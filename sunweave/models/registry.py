@@ -4,22 +4,22 @@ from __future__ import annotations
 
 # Model key -> (label, hyper-parameter, value, meaning).
 HYPERPARAMETERS = {
-    "lr": [("alpha", "0.1", "Ridge regularisation")],
+    "lr": [("alpha", "0.1", "Weight of the squared coefficients in the loss")],
     "rf": [
-        ("numTrees", "200", "Number of trees"),
+        ("numTrees", "200", "Trees grown"),
         ("maxDepth", "30", "Depth limit; Spark's maximum stands in for unlimited"),
-        ("minInstancesPerNode", "2", "Min samples per leaf"),
+        ("minInstancesPerNode", "2", "Fewest rows a leaf may hold"),
         ("featureSubsetStrategy", "all", "Features tried per split"),
     ],
     "gbt": [
-        ("maxIter", "300", "Boosting rounds"),
-        ("maxDepth", "6", "Tree depth"),
-        ("stepSize", "0.05", "Shrinkage factor"),
+        ("maxIter", "300", "Most trees added one after another"),
+        ("maxDepth", "6", "Longest path from root to leaf"),
+        ("stepSize", "0.05", "Share of each new tree that counts"),
         ("subsamplingRate", "0.8", "Rows per round"),
         ("featureSubsetStrategy", "0.8", "Features tried per split"),
         ("patience", "20", "Rounds without improvement on the validation rows"),
     ],
-    "seq_flat": [("lookback", "16", "Input sequence (16 x 15 min = 4 hrs)")],
+    "seq_flat": [("lookback", "16", "Past rows a window holds, four hours")],
     "seq_conv": [
         ("filters", "64", "Random convolution kernels"),
         ("kernel_size", "3", "Kernel length in steps"),

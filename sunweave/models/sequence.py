@@ -7,6 +7,8 @@ is the distributed ridge.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
@@ -19,12 +21,27 @@ from sunweave.models.registry import SEQUENCE, model_key
 from sunweave.schema import LOOKBACK, SEED
 
 
+@lru_cache(maxsize=8)
+def conv_weights(width: int, filters: int, kernel: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random kernels and biases; a worker draws them once."""
+    rng = np.random.default_rng(seed)
+    weights = rng.normal(0, 1 / np.sqrt(kernel * width), (kernel, width, filters))
+    return weights, rng.uniform(-0.5, 0.5, filters)
+
+
+@lru_cache(maxsize=8)
+def reservoir_weights(width: int, units: int, seed: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random input and inner weights, the latter scaled to a spectral radius; a worker draws them once."""
+    rng = np.random.default_rng(seed + 1)
+    inward = rng.normal(0, 1 / np.sqrt(width), (width, units))
+    inner = rng.normal(0, 1, (units, units))
+    return inward, inner * radius / np.abs(np.linalg.eigvals(inner)).max()
+
+
 def conv_bank(x: np.ndarray, filters: int, kernel: int, seed: int) -> np.ndarray:
     """(n, steps, features) -> (n, steps // 2, filters): same-padded convolution, ReLU, max-pool 2."""
-    rng = np.random.default_rng(seed)
     n, steps, width = x.shape
-    weights = rng.normal(0, 1 / np.sqrt(kernel * width), (kernel, width, filters))
-    bias = rng.uniform(-0.5, 0.5, filters)
+    weights, bias = conv_weights(width, filters, kernel, seed)
     padded = np.pad(x, ((0, 0), (kernel // 2, kernel // 2), (0, 0)))
     out = bias + sum(padded[:, k:k + steps] @ weights[k] for k in range(kernel))
     out = np.maximum(out, 0)[:, : steps // 2 * 2]
@@ -33,10 +50,7 @@ def conv_bank(x: np.ndarray, filters: int, kernel: int, seed: int) -> np.ndarray
 
 def reservoir(x: np.ndarray, units: int, seed: int, radius: float = 0.9) -> np.ndarray:
     """(n, steps, features) -> (n, units): last state of a fixed random recurrence."""
-    rng = np.random.default_rng(seed + 1)
-    inward = rng.normal(0, 1 / np.sqrt(x.shape[2]), (x.shape[2], units))
-    inner = rng.normal(0, 1, (units, units))
-    inner *= radius / np.abs(np.linalg.eigvals(inner)).max()
+    inward, inner = reservoir_weights(x.shape[2], units, seed, radius)
     state = np.zeros((len(x), units))
     for step in range(x.shape[1]):
         state = np.tanh(x[:, step] @ inward + state @ inner)

@@ -60,24 +60,31 @@ def fit_boosted(
 ) -> Forecaster:
     """Boosting with the round chosen by patience on the validation rows.
 
-    Spark stops early by tolerance only, so all rounds are fitted, the validation loss is taken
-    after each, and the model is fitted again with the chosen number: with the same seed those
+    Spark stops early by tolerance only, so the rounds are fitted in growing steps until patience runs
+    out on the validation losses, and once more with the chosen number: with the same seed the first
     rounds come out the same. Columns are drawn per node, not per tree.
     """
     learner = GBTRegressor(
         labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=rows,
         featureSubsetStrategy=str(columns), seed=seed, maxBins=bins,
     )
-    model = fit_pipeline("gbt", train, features, learner)
-    model.notes["rounds"] = rounds
     if validation is None:
+        model = fit_pipeline("gbt", train, features, learner)
+        model.notes["rounds"] = rounds
         return model
-    losses = round_losses(model, validation)
-    keep = patient_best(losses, patience)
-    if keep < rounds:
-        spent = model.fit_seconds
+    spent, size = 0.0, min(rounds, max(2 * patience, 1))
+    while True:
+        model = fit_pipeline("gbt", train, features, learner.setMaxIter(size))
+        spent += model.fit_seconds
+        losses = round_losses(model, validation)
+        keep = patient_best(losses, patience)
+        if size == rounds or keep + patience <= size:
+            break
+        size = min(2 * size, rounds)
+    if keep < size:
         model = fit_pipeline("gbt", train, features, learner.setMaxIter(keep))
-        model.fit_seconds += spent
+        spent += model.fit_seconds
+    model.fit_seconds = spent
     model.notes.update(rounds=keep, validation_losses=losses)
     return model
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sunweave.functions import numeric_columns
 from sunweave.operators.ordered import MAX_SERIES_ROWS, index_rows, look_back, reindex_rows
-from sunweave.operators.resample import complete_grid, resample_counted
+from sunweave.operators.resample import complete_grid, grid_rows, resample_counted
 from sunweave.schema import IRRADIANCE_FALLBACKS, KEY_COLUMNS, NIGHT_IRRADIANCE, RESAMPLE_RULE, TARGET
 from sunweave.session import stage
 
@@ -88,42 +88,50 @@ def clean_bins(
     test adds up a few counts per bin instead of scanning the raw rows a second time. A bin
     without readings has no irradiance and the night filter would drop it at once: with
     ``filter_night`` the empty bins are not generated in the first place. If the longest series
-    has more than ``max_series`` bins, the rows carry ``idx`` and go through halo blocks.
+    has more than ``max_series`` rows on its grid, it goes through halo blocks. Either way the rows
+    carry a dense ``idx``.
     """
     good = drop_bad_target(df, target)
     columns = numeric_columns(good)
     bins = stage(resample_counted(good, columns, rule), "bins")
     per_site = bins.groupBy("site").agg(
-        F.count("*").alias("_bins"), F.sum("n_rows").alias("n_rows"),
+        F.count("*").alias("_bins"), grid_rows(rule).alias("_grid"), F.sum("n_rows").alias("n_rows"),
         *[F.sum(f"n_{c}").alias(f"n_{c}") for c in columns],
     )
-    longest, n_rows, *known = per_site.agg(
-        F.max("_bins"), F.sum("n_rows"), *[F.sum(f"n_{c}") for c in columns]
+    filled, grid, n_rows, *known = per_site.agg(
+        F.max("_bins"), F.max("_grid"), F.sum("n_rows"), *[F.sum(f"n_{c}") for c in columns]
     ).first()
     kept = [c for c, n in zip(columns, known) if not n_rows or 1 - n / n_rows <= threshold]
-    bounded = (longest or 0) <= max_series
     out = bins.select("site", "ts", *kept)
-    if filter_night and irradiance_column(out) is not None:
+    by_day = filter_night and irradiance_column(out) is not None
+    bounded = ((filled if by_day else grid) or 0) <= max_series
+    if by_day:
         out = filter_daytime(out)
     else:
         out = complete_grid(out if bounded else index_rows(out), rule, kept, bounded=bounded)
     if bounded:
-        return keep_numeric(fill_gaps(out, max_gap, target, bounded=True)), True
+        return keep_numeric(index_rows(fill_gaps(out, max_gap, target, bounded=True), bounded=True)), True
     filled = fill_gaps(index_rows(out), max_gap, target)
     return keep_numeric(reindex_rows(stage(filled, "filled"))), False
 
 
 def clean_grid(df: DataFrame, filter_night: bool = True, rule: str = RESAMPLE_RULE, **options) -> DataFrame:
     """The rows of :func:`clean_bins`: cleaned, resampled, on a regular grid."""
-    return clean_bins(df, filter_night, rule, **options)[0]
+    return clean_bins(df, filter_night, rule, **options)[0].drop("idx")
 
 
 def feature_rows(
-    df: DataFrame, features: Sequence[str], target: str = TARGET, allow_missing: bool = False
+    df: DataFrame, features: Sequence[str], target: str = TARGET, allow_missing: bool | Sequence[str] = False
 ) -> DataFrame:
-    """Keys, features and target with every NULL row dropped (P07); a missing name raises."""
+    """Keys, features and target with every NULL row dropped (P07); a missing name raises.
+
+    ``allow_missing`` lists columns that were dropped on purpose: they and what is derived from them
+    may be absent. True allows any.
+    """
     missing = [c for c in features if c not in df.columns]
-    if missing and not allow_missing:
+    if not isinstance(allow_missing, bool):
+        missing = [c for c in missing if not any(c == d or c.startswith(f"{d}_") for d in allow_missing)]
+    if missing and allow_missing is not True:
         raise ValueError(f"feature columns not found: {missing}")
     have = [c for c in features if c in df.columns]
     keys = [c for c in KEY_COLUMNS if c in df.columns]
@@ -142,19 +150,6 @@ def date_slice(df: DataFrame, first_day: str, last_day: str) -> DataFrame:
     return df.where((F.col("ts") >= start) & (F.col("ts") < stop))
 
 
-def showcase_slice(
-    df: DataFrame, first_day: str, last_day: str, min_rows: int = 10, first_rows: int = 500
-) -> DataFrame:
-    """The date slice, or the first rows of the frame if the slice has too few.
-
-    Only ``min_rows`` rows are looked at to decide, and the fallback is a top-k.
-    """
-    cut = date_slice(df, first_day, last_day)
-    if cut.limit(min_rows).count() >= min_rows:
-        return cut
-    return df.orderBy(*[c for c in ("ts", "row_id") if c in df.columns]).limit(first_rows)
-
-
 def observed(df: DataFrame, stage_name: str, columns: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
     """Count rows and NULLs as they pass, without another job."""
     obs = Observation(stage_name)

@@ -64,10 +64,20 @@ def metrics(
     by: Sequence[str | Column] = ("model",),
     names: Sequence[str] = METRICS,
     digits: int | None = 4,
+    counts: bool = False,
 ) -> DataFrame:
-    """All metrics per group in one aggregate (E07); rows without a prediction do not count."""
-    scored = predictions.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
-    return scored.groupBy(*by).agg(*metric_columns(names, digits))
+    """All metrics per group in one aggregate (E07); rows without truth or prediction do not count.
+
+    With ``counts``, ``n_rows`` and ``n_unscored`` tell how many rows there were and how many of them
+    did not count; a group without any scored row then appears with NULL metrics.
+    """
+    known = F.col("actual").isNotNull() & F.col("predicted").isNotNull()
+    if not counts:
+        return predictions.where(known).groupBy(*by).agg(*metric_columns(names, digits))
+    blank = {c: F.when(known, F.col(c)) for c in ("actual", "predicted")}
+    return predictions.withColumns(blank).groupBy(*by).agg(
+        *metric_columns(names, digits), F.count("*").alias("n_rows"), F.count_if(F.col("actual").isNull()).alias("n_unscored")
+    )
 
 
 def persistence(
@@ -113,9 +123,15 @@ def residual_histogram(predictions: DataFrame, bins: int = 50) -> DataFrame:
     return histogram(residuals(predictions), "residual", bins, ["model"])
 
 
+def from_start(predictions: DataFrame) -> DataFrame:
+    """Adds ``step``: rows since the first forecast of the model for the series, which may start late."""
+    starts = predictions.groupBy("model", "site").agg(F.min("idx").alias("_start"))
+    return predictions.join(small_side(starts), ["model", "site"]).withColumn("step", F.col("idx") - F.col("_start")).drop("_start")
+
+
 def actual_vs_predicted(predictions: DataFrame, first_rows: int = 500) -> DataFrame:
-    """The first positions of each series, ready to draw."""
-    return position_slice(predictions, 0, first_rows).select(
+    """The first forecasts of each model and series, ready to draw."""
+    return from_start(predictions).where(F.col("step") < first_rows).select(
         "model", "site", "idx", "ts", "actual", "predicted"
     )
 
@@ -174,10 +190,11 @@ def slice_metrics(predictions: DataFrame, slices: dict[str, int] | None = None)
     """Metrics over the first day and week of the forecast (E18), in one pass."""
     slices = {"day": 96, "week": 672} if slices is None else slices
     name = F.explode(F.filter(
-        F.array(*[F.when(F.col("idx") < n, F.lit(s)) for s, n in slices.items()]), lambda s: s.isNotNull()
+        F.array(*[F.when(F.col("step") < n, F.lit(s)) for s, n in slices.items()]), lambda s: s.isNotNull()
     ))
     longest = max(slices.values())
-    return metrics(predictions.where(F.col("idx") < longest).withColumn("slice", name), ["model", "slice"])
+    early = from_start(predictions).where(F.col("step") < longest)
+    return metrics(early.withColumn("slice", name), ["model", "slice"])
 
 
 def with_levels(predictions: DataFrame) -> DataFrame:

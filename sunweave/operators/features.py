@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sunweave.functions import clear_sky_irradiance, clearness_index, cyclic_time
 from sunweave.operators.ordered import index_rows, look_back
-from sunweave.schema import TARGET
+from sunweave.schema import TARGET, known_latitudes
 
 LAGS = (1, 4, 8)
 WINDOWS = (4, 8)
@@ -20,17 +20,24 @@ def add_time_features(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumns(cyclic_time(F.col(ts)))
 
 
-def site_latitude(latitude: float | dict[str, float] | Column) -> Column:
-    """Latitude as a column: a number, a column, or a mapping by site."""
+def site_latitude(latitude: float | dict[str, float] | Column | None = None) -> Column:
+    """Latitude as a column: a number, a column, or a mapping by site; by default that of the registered sites.
+
+    A row whose site is not in the mapping is an error when it is read.
+    """
     if isinstance(latitude, Column):
         return latitude
-    if isinstance(latitude, dict):
-        out = None
-        for site, deg in latitude.items():
-            hit = F.col("site") == site
-            out = F.when(hit, F.lit(float(deg))) if out is None else out.when(hit, F.lit(float(deg)))
-        return out
-    return F.lit(float(latitude))
+    if latitude is None:
+        latitude = known_latitudes()
+    if not isinstance(latitude, dict):
+        return F.lit(float(latitude))
+    if not latitude:
+        raise ValueError("the site latitude is required to compute clear-sky irradiance")
+    unknown = F.raise_error(F.concat(F.lit("no latitude for site "), F.coalesce(F.col("site"), F.lit("NULL")))).cast("double")
+    out = F.when(F.lit(False), F.lit(0.0))
+    for site, deg in latitude.items():
+        out = out.when(F.col("site") == site, F.lit(float(deg)))
+    return out.otherwise(unknown)
 
 
 def add_clearness_index(
@@ -44,8 +51,6 @@ def add_clearness_index(
         return df
     if clearsky_col and clearsky_col in df.columns:
         sky = F.col(clearsky_col)
-    elif latitude is None:
-        raise ValueError("the site latitude is required to compute clear-sky irradiance")
     else:
         sky = clear_sky_irradiance(F.col("ts"), site_latitude(latitude))
     return df.withColumn("clearness_index", clearness_index(F.col(irr_col), sky))

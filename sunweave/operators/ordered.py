@@ -73,6 +73,16 @@ def index_rows(
     )
 
 
+def laid_out(
+    df: DataFrame, series: Sequence[str] = SERIES, order: Sequence[str] = ORDER, name: str = "idx", limit: int = MAX_SERIES_ROWS
+) -> tuple[DataFrame, bool]:
+    """Rows with a dense position, and whether the longest counted series is short enough for one window."""
+    rows = stage(df, "rows")
+    longest = series_lengths(rows, series).agg(F.max("n_rows")).first()[0] or 0
+    bounded = longest <= limit
+    return index_rows(rows, series, order, bounded, name), bounded
+
+
 def reindex_rows(
     df: DataFrame,
     series: Sequence[str] = SERIES,

@@ -31,11 +31,10 @@ def exact_quantiles(
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     counts = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in columns])
     sizes = counts.unpivot(by, columns, "column", "n")
-    low, high = sizes.where("n > 0").agg(F.min("n"), F.max("n")).first()
-    if high is None or high <= small_group:
+    high = sizes.agg(F.max("n")).first()[0]
+    if not high or high <= small_group:
         return _direct(df, columns, probs, by)
-    margin = max(2.0 / accuracy, 3.0 / low)
-    return _bracketed(df, columns, probs, by, sizes, margin, accuracy)
+    return _bracketed(df, columns, probs, by, sizes, accuracy)
 
 
 def _direct(df, columns, probs, by):
@@ -47,16 +46,22 @@ def _direct(df, columns, probs, by):
     return long.select(*by, "column", F.inline(pairs).alias("prob", "value"))
 
 
-def _bracketed(df, columns, probs, by, sizes, margin, accuracy):
+def _bracketed(df, columns, probs, by, sizes, accuracy):
+    """Brackets ``2 / accuracy`` wide on either side; of a group and column with too few values for that
+    to span three ranks, all values count. So a small group does not widen the brackets of a large one.
+    """
+    margin, few = 2.0 / accuracy, 1.5 * accuracy
     edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     k = len(probs)
-    sketch = df.groupBy(*by).agg(*[
-        F.percentile_approx(F.col(c).cast("double"), edges, accuracy).alias(c) for c in columns
-    ])
+    sketch = df.groupBy(*by).agg(
+        *[F.percentile_approx(F.col(c).cast("double"), edges, accuracy).alias(c) for c in columns],
+        *[F.count(c).alias(f"_n_{c}") for c in columns],
+    )
     # One row per group: brackets[c] is an array over probs, joined to the rows by group only.
+    tight = lambda c, i, end: F.when(F.col(f"_n_{c}") < few, F.lit(end)).otherwise(F.col(c)[i])
     wide = small_side(sketch.select(*by, *[
         F.array(*[
-            F.struct(F.col(c)[i].alias("lo"), F.col(c)[i + k].alias("hi")) for i in range(k)
+            F.struct(tight(c, i, float("-inf")).alias("lo"), tight(c, i + k, float("inf")).alias("hi")) for i in range(k)
         ]).alias(f"_b_{c}")
         for c in columns
     ]))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.functions import numeric_columns
-from sunweave.operators.ordered import look_back
+from sunweave.operators.ordered import MAX_SERIES_ROWS, index_rows, look_back
 from sunweave.schema import RESAMPLE_RULE
+from sunweave.session import stage
 
 CALENDAR = ("day", "month", "year")
 
@@ -23,6 +24,15 @@ def bin_start(ts: Column, rule: str) -> Column:
 
 
 
+def grid_rows(rule: str) -> Column:
+    """Aggregate: most rows a series can have on its complete grid, from its first and last ``ts``."""
+    # The shortest length of each calendar unit in seconds.
+    shortest = {"day": 86_400, "week": 604_800, "month": 28 * 86_400, "quarter": 90 * 86_400, "year": 365 * 86_400}
+    seconds = F.lit(shortest[rule]) if rule in shortest else F.unix_seconds(F.expr(f"timestamp'1970-01-01 00:00:00Z' + interval {rule}"))
+    stamp = lambda c: F.unix_seconds(c.cast("timestamp"))
+    return F.floor((stamp(F.max("ts")) - stamp(F.min("ts"))) / seconds) + 1
+
+
 def complete_grid(
     df: DataFrame,
     rule: str,
@@ -58,9 +68,13 @@ def resample(
     columns: Sequence[str] | None = None,
     series: Sequence[str] = ("site",),
     complete: bool = True,
+    max_series: int = MAX_SERIES_ROWS,
 ) -> DataFrame:
     """One row per series and bin with the mean or sum of each column.
 
+    The complete grid is laid out by one window per series if the longest has at most ``max_series``
+    rows on it, else through halo blocks.
+
     Partial aggregation runs before the shuffle, so a series or bin holding a large share of
     the rows arrives as one row per task. An empty bin has mean NULL but sum 0.
     """
@@ -71,7 +85,10 @@ def resample(
     )
     if not complete:
         return bins
-    grid = complete_grid(bins, rule, columns, series)
+    bins = stage(bins, "bins")
+    longest = bins.groupBy(*series).agg(grid_rows(rule).alias("n")).agg(F.max("n")).first()[0] or 0
+    bounded = longest <= max_series
+    grid = complete_grid(bins if bounded else index_rows(bins, series), rule, columns, series, bounded)
     return grid.fillna(0.0, subset=columns) if agg == "sum" else grid
 
 

@@ -21,7 +21,7 @@ from sunweave.operators.features import engineer_features
 from sunweave.operators.ordered import index_rows, reindex_rows, series_lengths
 from sunweave.operators.scaling import Scaler, apply_scaler, fit_scaler, fit_target_scaler, scale_target
 from sunweave.operators.split import split_chronological
-from sunweave.schema import FEATURES_13, FEATURES_18, FEATURES_20, TARGET
+from sunweave.schema import FEATURES_13, FEATURES_18, FEATURES_20, KEY_COLUMNS, TARGET
 from sunweave.session import stage
 
 PRESETS = ("documented", "cli13", "notebook")
@@ -79,6 +79,13 @@ class Frame:
     rows: DataFrame
     bounded: bool
     lengths: DataFrame | None = None
+    dropped: tuple[str, ...] = ()
+
+
+def _dropped(before: DataFrame, after: DataFrame) -> tuple[str, ...]:
+    """Measurements that cleaning left out, with what the irradiance stands behind."""
+    gone = [c for c in before.columns if c not in after.columns and c not in KEY_COLUMNS]
+    return (*gone, *(["clearness_index"] if "irr_horiz" in gone else []))
 
 
 def feature_frame(
@@ -87,15 +94,15 @@ def feature_frame(
     """Features and cleaning in the order the preset asks for."""
     if preset == "documented":
         grid, bounded = clean_bins(std, filter_night)
-        return Frame(engineer_features(grid, latitude, bounded=bounded), bounded)
+        return Frame(engineer_features(grid, latitude, bounded=bounded), bounded, dropped=_dropped(std, grid))
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; choose from {PRESETS}")
     featured = engineer_features(index_rows(std), latitude)
     if preset == "cli13":
         rows, lengths = clean_indexed(featured, filter_night)
-        return Frame(rows, False, lengths)
+        return Frame(rows, False, lengths, _dropped(featured, rows))
     grid, bounded = clean_bins(featured.drop("idx"), filter_night)
-    return Frame(index_rows(grid, bounded=True) if bounded else grid, bounded)
+    return Frame(grid, bounded, dropped=_dropped(featured, grid))
 
 
 def split_features(
@@ -106,7 +113,7 @@ def split_features(
     wanted = list(PRESET_FEATURES[preset] if features is None else features)
     parts = split_chronological(frame.rows, bounded=frame.bounded, lengths=frame.lengths)
     # A sensor dropped as too sparse is the one legitimate reason for a missing feature.
-    rows = feature_rows(parts, wanted, allow_missing=features is None)
+    rows = feature_rows(parts, wanted, allow_missing=frame.dropped if features is None else False)
     if frame.bounded:
         placed = index_rows(rows, ("site", "split"), bounded=True, name="pos")
     else:

@@ -44,12 +44,12 @@ SITE_B_COLUMNS = {
 
 # Standard name -> (title, description, unit) of the dataset dictionary.
 DICTIONARY = {
-    "irr_horiz": ("Solar Irradiance", "Horizontal plane solar irradiance", "W/m²"),
-    "amb_temp": ("Ambient Temperature", "Dry-bulb ambient air temperature", "°C"),
-    "rh": ("Relative Humidity", "Percentage moisture in air", "%"),
-    "wind_speed": ("Wind Speed", "Wind velocity at site", "m/s"),
-    "pressure": ("Atmospheric Pressure", "Atmospheric pressure at sensor", "hPa"),
-    "target": ("PV Power Output (Target)", "AC inverter power output", "W"),
+    "irr_horiz": ("Solar Irradiance", "Sunlight on the level ground", "W/m²"),
+    "amb_temp": ("Ambient Temperature", "Air temperature in the shade", "°C"),
+    "rh": ("Relative Humidity", "Water vapour relative to saturation", "%"),
+    "wind_speed": ("Wind Speed", "Mean wind speed", "m/s"),
+    "pressure": ("Atmospheric Pressure", "Station air pressure", "hPa"),
+    "target": ("PV Power Output (Target)", "Power the inverter feeds in", "W"),
 }
 
 # Alternatives tried, in order, when the irradiance column is absent.
@@ -105,6 +105,11 @@ def get_site(name: str) -> Site:
     return _SITES[name]
 
 
+def known_latitudes() -> dict[str, float]:
+    """Latitudes of the registered sites that have one."""
+    return {s.name: s.latitude for s in _SITES.values() if s.latitude is not None}
+
+
 def column_map(name: str) -> dict[str, str]:
     """Standard name -> raw column of a registered site."""
     return dict(get_site(name).columns)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -42,7 +43,7 @@ def shared_root(spark: SparkSession) -> str:
     root = sc.getCheckpointDir()
     if root:
         return root
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="sunweave-"))
     return sc.getCheckpointDir()
@@ -65,9 +66,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting it; beyond ``max_rows`` it joins by shuffle."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+def small_side(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Mark ``df`` for broadcast only after counting its rows and bytes; a larger one joins by shuffle.
+
+    The side is written once to the shared folder, so counting does not compute it twice and nothing
+    stays cached.
+    """
+    kept = stage(df, "side")
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in kept.schema.fields
+             if not isinstance(f.dataType, (T.NumericType, T.DatetimeType, T.BooleanType))]
+    width = sum(texts, F.lit(8 * len(kept.columns)))
+    rows, size = kept.agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(kept) if rows <= max_rows and (size or 0) <= max_bytes else kept

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -13,22 +14,54 @@ from sunweave.functions import null_if_sentinel, numeric_columns, parse_day_hour
 from sunweave.schema import SENTINELS, get_site
 
 
-def read_raw_csv(spark: SparkSession, site: str, path: str, nrows: int | None = None) -> DataFrame:
-    """Header CSV with the site's explicit schema; column 0 is the writer's row index."""
+def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of ``path`` by their header line; only first lines are read, several files at a time."""
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(lambda f: tuple(spark.read.option("header", True).csv(f).columns), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, found):
+        groups.setdefault(header, []).append(file)
+    return groups
+
+
+def _other_types(spark: SparkSession, files: list[str], names: list[str]) -> dict[str, T.DataType]:
+    """Types of columns outside the site's map: DOUBLE if every value in all files is a number, else STRING."""
+    if not names:
+        return {}
+    guessed = spark.read.option("header", True).option("inferSchema", True).csv(files).schema
+    return {
+        f.name: T.DoubleType() if isinstance(f.dataType, T.NumericType) else T.StringType()
+        for f in guessed.fields if f.name in names
+    }
+
+
+def read_raw_csv(spark: SparkSession, site: str, path: str) -> DataFrame:
+    """Header CSV with the site's explicit schema; column 0 is the writer's row index.
+
+    Files of a folder may order their columns differently or lack some: those with one header are
+    read together by that header, then stacked by name. Numeric columns outside the site's map stay
+    numeric, which takes a pass over their files to see.
+    """
+    known = {f.name: f.dataType for f in get_site(site).raw_schema().fields}
     try:
-        header = spark.read.option("header", True).csv(path).columns
+        groups = headers(spark, path)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in str(err):
             raise FileNotFoundError(f"no raw file for {site!r} at {path}") from err
         raise
-    known = {f.name: f.dataType for f in get_site(site).raw_schema().fields}
-    schema = T.StructType([
-        T.StructField(name, known.get(name, T.LongType() if i == 0 else T.StringType()))
-        for i, name in enumerate(header)
-    ])
-    raw = spark.read.option("header", True).schema(schema).csv(path)
-    raw = raw.withColumnRenamed(header[0], "row_id")
-    return raw.limit(nrows) if nrows is not None else raw
+    types: dict[str, T.DataType] = {}
+    for header, files in groups.items():
+        for name, kind in _other_types(spark, files, [n for n in header[1:] if n not in known]).items():
+            types[name] = kind if types.get(name, kind) == kind else T.StringType()
+    frames = []
+    for header, files in groups.items():
+        schema = T.StructType([
+            T.StructField(name, T.LongType() if i == 0 else known.get(name) or types[name]) for i, name in enumerate(header)
+        ])
+        raw = spark.read.option("header", True).schema(schema).csv(files)
+        frames.append(raw.withColumnRenamed(header[0], "row_id"))
+    return union_sites(frames)
 
 
 def replace_sentinels(df: DataFrame, sentinels=SENTINELS, skip=("row_id", "idx")) -> DataFrame:
@@ -52,9 +85,9 @@ def prepare_raw(df: DataFrame, site: str) -> DataFrame:
     return df.transform(replace_sentinels).transform(add_timestamp).withColumn("site", F.lit(site))
 
 
-def load_site_csv(spark: SparkSession, site: str, path: str, nrows: int | None = None) -> DataFrame:
+def load_site_csv(spark: SparkSession, site: str, path: str) -> DataFrame:
     """One site's CSV, cleaned of fill codes, stamped and labelled."""
-    return prepare_raw(read_raw_csv(spark, site, path, nrows), site)
+    return prepare_raw(read_raw_csv(spark, site, path), site)
 
 
 def rename_to_standard(df: DataFrame, site: str) -> DataFrame:
@@ -64,8 +97,8 @@ def rename_to_standard(df: DataFrame, site: str) -> DataFrame:
     return df.select("site", "ts", "row_id", *mapped)
 
 
-def load_and_standardise(spark: SparkSession, site: str, path: str, nrows: int | None = None) -> DataFrame:
-    return rename_to_standard(load_site_csv(spark, site, path, nrows), site)
+def load_and_standardise(spark: SparkSession, site: str, path: str) -> DataFrame:
+    return rename_to_standard(load_site_csv(spark, site, path), site)
 
 
 def union_sites(frames: list[DataFrame]) -> DataFrame:

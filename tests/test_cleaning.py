@@ -68,6 +68,21 @@ def test_missing_feature_raises(spark):
     assert ops.feature_rows(df, ["irr_lag1"], allow_missing=True).columns == ["site", "ts", "row_id", "target"]
 
 
+def test_the_grid_is_the_bound(spark):
+    """Two bins far apart: without the night filter their grid is what has to fit."""
+    rows = [("s", T0, 0, 5.0), ("s", T0 + timedelta(days=20), 1, 7.0)]
+    df = spark.createDataFrame(rows, "site string, ts timestamp_ntz, row_id long, target double")
+    assert [ops.clean_bins(df, night, max_series=1000)[1] for night in (False,)] == [False]
+    assert ops.clean_bins(df, False, max_series=2000)[1]
+
+
+def test_only_dropped_columns_may_be_missing(spark):
+    df = one_site(spark, [1.0])
+    assert ops.feature_rows(df, ["rh", "rh_lag1"], allow_missing=["rh"]).columns == ["site", "ts", "row_id", "target"]
+    with pytest.raises(ValueError, match="month"):
+        ops.feature_rows(df, ["rh", "month"], allow_missing=["rh"])
+
+
 def test_candidates_once_in_order(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, target double")
     assert ops.candidate_features(df, ["b", "x", "a", "b", "target"]) == ["b", "a"]
@@ -99,6 +114,7 @@ def test_long_series_go_through_blocks(spark, series, night):
     short, bounded = ops.clean_bins(series, night)
     long, still = ops.clean_bins(series, night, max_series=3)
     assert (bounded, still) == (True, False)
-    assert rows_of(long.drop("idx")) == rows_of(short.select(long.drop("idx").columns))
+    assert long.columns == short.columns and rows_of(long) == rows_of(short)
+    assert rows_of(ops.clean_grid(series, night, max_series=3)) == rows_of(ops.clean_grid(series, night))
     spans = long.groupBy("site").agg(F.min("idx"), F.max("idx"), F.count("*")).collect()
     assert all(r[1] == 0 and r[2] == r[3] - 1 for r in spans)

@@ -60,7 +60,16 @@ def test_site_csv(spark):
     ]
     std = sources.load_and_standardise(spark, "site_b", path)
     assert std.columns == ["site", "ts", "row_id", "irr_horiz", "amb_temp", "target"]
-    assert read_raw_csv(spark, "site_b", path, nrows=1).count() == 1
+    assert read_raw_csv(spark, "site_b", path).count() == 3
+
+
+def test_files_of_a_folder_may_order_their_columns_differently(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",DAY,HOUR,INVPWR,FPHIRR,EXTRA,NOTE\n0,2024001,08:00:00,6000,110,32767,7\n")
+    (tmp_path / "b.csv").write_text(",DAY,HOUR,FPHIRR,INVPWR,EXTRA,NOTE\n1,2024001,08:01:00,120,6100,3.5,x\n")
+    rows = sources.load_and_standardise(spark, "site_b", str(tmp_path)).orderBy("row_id").collect()
+    assert [(r["irr_horiz"], r["target"]) for r in rows] == [(110.0, 6000.0), (120.0, 6100.0)]
+    light = sources.light_load(read_raw_csv(spark, "site_b", str(tmp_path)))
+    assert {r["row_id"]: r["EXTRA"] for r in light.collect()} == {0: None, 1: 3.5} and "NOTE" not in light.columns
 
 
 def test_missing_file_and_unknown_site(spark):
