@@ -79,7 +79,7 @@ gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
 gone_lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN t ELSE array_to_string(
-    list_transform(list_filter(range(1, len(ls) + 1), i -> NOT list_contains(gone, i)), i -> ls[i]), chr(10)) END) AS clean_sha256
+    list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END) AS clean_sha256
 FROM d LEFT JOIN gone_lists ON d.doc_id = gone_lists.doc_id
 """)
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ u AS (SELECT d.*, ('0x' || substr(md5('17:1:' || coalesce(CAST(doc_id AS VARCHAR
 terms AS (SELECT key, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, (SELECT unnest(range(0, 161)) AS k)),
 cdf AS (SELECT key, k, sum(p) OVER (PARTITION BY key ORDER BY k) AS c FROM terms),
 n AS (SELECT key, list(c ORDER BY k) AS c FROM cdf GROUP BY key),
-x AS (SELECT u.*, unnest(range(1, len(list_filter(n.c, v -> v <= u)) + 1)) AS copy_no FROM u JOIN n ON u.key = n.key)
+x AS (SELECT u.*, unnest(range(1, len(list_filter(n.c, lambda v: v <= u)) + 1)) AS copy_no FROM u JOIN n ON u.key = n.key)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy_no AS INTEGER) AS copy_no,
   md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy_no) AS shuffle_key
 FROM x
