@@ -79,12 +79,19 @@ def target_report(df: DataFrame, target: str = TARGET, by: Sequence[str] = ("sit
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Lower triangle of the pairwise-complete correlation matrix (C08); one aggregate."""
+    """Lower triangle of the pairwise-complete correlation matrix.
+
+    Each row gives one cell per pair, combined before the shuffle to one row per pair and task.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     cells = F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), correlation(F.col(a), F.col(b)).alias("r")) for a, b in pairs
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs
     ])
-    return df.agg(cells.alias("_cells")).select(F.inline("_cells"))
+    long = df.select(F.inline(cells))
+    return long.groupBy("col_a", "col_b").agg(correlation(F.col("x"), F.col("y")).alias("r"))
 
 
 def correlations_listwise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -113,6 +120,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) ->
     else:
         edge = span.first()
         ranged, lo, hi = known, F.lit(edge["_lo"]), F.lit(edge["_hi"])
+        span = df.sparkSession.createDataFrame([edge], span.schema)
     counted = ranged.groupBy(*by, equal_width_bin(F.col(column), lo, hi, bins).alias("bin")).agg(
         F.count("*").alias("n")
     )

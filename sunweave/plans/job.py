@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from sunweave.models import loss_history
 from sunweave.models.registry import MODELS, SEQUENCE, TABULAR
 from sunweave.plans.prepare import PRESETS, prepare
 from sunweave.plans.report import analysis_tables, write_tables
@@ -24,6 +25,9 @@ def parse_arguments(argv=None) -> argparse.Namespace:
     parser.add_argument("--models", nargs="+", default=["all"], help="model keys, or all, tabular, sequence")
     parser.add_argument("--preset", choices=PRESETS, default="documented")
     parser.add_argument("--seed", type=int, default=SEED)
+    parser.add_argument("--trees", type=int, default=200, help="trees of the forest")
+    parser.add_argument("--depth", type=int, default=12, help="depth limit of the forest, whose trees the driver holds (at most 30)")
+    parser.add_argument("--rounds", type=int, default=300, help="most boosting rounds; patience on the validation rows stops earlier")
     parser.add_argument("--tables", action="store_true", help="also write the analysis tables")
     return parser.parse_args(argv)
 
@@ -38,9 +42,11 @@ def expand(names: list[str]) -> list[str]:
 def main(argv=None) -> None:
     args = parse_arguments(argv)
     spark = build_session("sunweave-train")
-    std = load_and_standardise(spark, args.site, args.input)
+    std = stage(load_and_standardise(spark, args.site, args.input), "std")
     bundle = prepare(std, preset=args.preset, latitude=args.latitude)
     params = {k: {"seed": args.seed} for k in ("rf", "gbt", "seq_conv", "seq_recurrent", "seq_conv_recurrent")}
+    params["rf"] |= {"trees": args.trees, "depth": args.depth}
+    params["gbt"] |= {"rounds": args.rounds}
     models, scored = train_all(bundle, expand(args.models), params)
     predictions = stage(scored, "predictions")
     for key, model in models.items():
@@ -49,6 +55,8 @@ def main(argv=None) -> None:
     bundle.target_scaler.save(spark, f"{args.output}/models/target_scaler")
     write_csv_result(predictions, f"{args.output}/predictions")
     write_csv_result(compare(predictions), f"{args.output}/model_comparison")
+    if "gbt" in models:
+        write_csv_result(loss_history(models["gbt"], bundle.train, bundle.val), f"{args.output}/loss_history")
     if args.tables:
         write_tables(analysis_tables(std, args.site, predictions), f"{args.output}/tables")
 

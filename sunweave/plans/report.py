@@ -9,6 +9,7 @@ from sunweave.functions import numeric_columns
 from sunweave.models.registry import hyperparameter_table
 from sunweave.operators import eda, evaluate
 from sunweave.schema import DICTIONARY, get_site
+from sunweave.session import stage
 from sunweave.sources.results import final_report
 
 
@@ -32,7 +33,7 @@ def statistical_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def evaluation_tables(predictions: DataFrame) -> dict[str, DataFrame]:
     """Tables over predictions; ``predictions`` is read once per table, so stage it first."""
-    scores = evaluate.metrics(predictions)
+    scores = stage(evaluate.metrics(predictions), "scores")
     return {
         "comparison": evaluate.comparison_table(scores),
         "ranking": evaluate.metric_ranking(scores),

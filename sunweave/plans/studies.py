@@ -15,6 +15,7 @@ from sunweave.operators.evaluate import metrics, persistence
 from sunweave.plans.prepare import Bundle
 from sunweave.plans.train import score_tabular, train_sequence
 from sunweave.schema import SEED
+from sunweave.session import small_side
 
 HORIZONS = (1, 2, 4, 8)
 
@@ -53,7 +54,7 @@ def training_length(
     """Test error after training on the oldest share or on a random share of the rows."""
     train = bundle.train
     sizes = train.groupBy("site").agg(F.count("*").alias("_n"))
-    sized = train.join(sizes, "site")
+    sized = train.join(small_side(sizes), "site")
     runs = [("ordered", f, sized.where(F.col("pos") < F.floor(F.col("_n") * F.lit(f)))) for f in ordered]
     runs += [("random", f, hash_sample(train, f, seed)) for f in random]
     scored = []
