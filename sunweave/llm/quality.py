@@ -26,7 +26,7 @@ HASHED = 48
 STEPS, RATE, DECAY = 40, 0.25, 1e-4
 BINS = 200
 #: Share of the positives that a region must hold to count for the prior.
-LEAST_SHARE = 0.1
+LEAST_SHARE = 0.3
 
 _UPPER = W.byte_class((65, 90))
 _LETTER = W.byte_class((65, 90), (97, 122), (128, 255))
@@ -94,37 +94,41 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _totals(rows: DataFrame, fn) -> np.ndarray:
-    """Sum over all rows of the flat array ``fn(x, positive)`` makes of a batch."""
+    """Sum over all rows of the flat array ``fn(x, part)`` makes of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                part = fn(_matrix(batch), batch.column("positive").to_numpy(zero_copy_only=False).astype(bool))
+                part = fn(_matrix(batch), batch.column("part").to_numpy())
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(np.float64))], names=["i", "v"])
 
-    got = rows.select("x", "positive").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    got = rows.select("x", "part").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     return np.array([r.v for r in sorted(got)])
 
 
-def _gradients(weights: np.ndarray, centre: np.ndarray, spread: np.ndarray):
+def _gradients(weights: np.ndarray, centre: np.ndarray, spread: np.ndarray, parts: tuple[int, ...]):
     """Numbers and gradient sums: losses of positives as positive, as negative, of all as negative."""
 
-    def run(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    def run(x: np.ndarray, part: np.ndarray) -> np.ndarray:
         z = (x - centre) / spread
         f = z @ weights
         up, down = -1 / (1 + np.exp(np.clip(f, -50, 50))), 1 / (1 + np.exp(np.clip(-f, -50, 50)))
         loss = np.logaddexp(0, f)
-        p = positive.astype(float)
+        p = np.isin(part, parts).astype(float)
         return np.concatenate([[p.sum(), len(f), (loss * p).sum(), loss.sum()], (up * p) @ z, (down * p) @ z, down @ z])
 
     return run
 
 
 def fit(rows: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Weights, centre and spread of the features, and the estimated class prior."""
+    """Weights, centre and spread of the features, and the estimated class prior.
+
+    ``part`` of a row is 0 without a trusted label, else 1 or 2. The prior is estimated with a first fit
+    on part 1 and the scores of part 2, which that fit has not seen; the second fit uses both.
+    """
     moments = _totals(rows, lambda x, p: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     if not len(moments):
         return np.zeros(SIZE), np.zeros(SIZE), np.ones(SIZE), 0.5
@@ -136,10 +140,10 @@ def fit(rows: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np
     for phase in range(2):
         m, v = np.zeros(SIZE), np.zeros(SIZE)
         for step in range(1, steps + 1):
-            got = _totals(rows, _gradients(weights, mean, spread))
+            got = _totals(rows, _gradients(weights, mean, spread, (1,) if phase == 0 else (1, 2)))
             n_p, n_u = got[0], got[1]
             if not n_p:
-                return weights, mean, spread, prior
+                break
             g_pos, g_neg, g_all = (got[4 + i * SIZE : 4 + (i + 1) * SIZE] for i in range(3))
             rest = got[3] / n_u - prior * got[2] / n_p
             part = g_all / n_u - prior * g_neg / n_p
@@ -147,22 +151,24 @@ def fit(rows: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             rate = RATE * (1 - 0.9 * step / steps)
             weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        if phase == 0:
-            prior = estimate_prior(rows, weights, mean, spread)
+        if phase == 0 and n_p:
+            prior = estimate_prior(rows, weights, mean, spread, prior)
     return weights, mean, spread, prior
 
 
-def estimate_prior(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> float:
+def estimate_prior(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray, otherwise: float) -> float:
     """Smallest ratio of the unlabelled to the positive share over regions above a score."""
 
-    def counts(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    def counts(x: np.ndarray, part: np.ndarray) -> np.ndarray:
         s = 1 / (1 + np.exp(-np.clip((x - mean) / spread @ weights, -50, 50)))
         at = np.minimum((s * BINS).astype(int), BINS - 1)
-        return np.concatenate([np.bincount(at[positive], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(float)
+        return np.concatenate([np.bincount(at[part == 2], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(float)
 
     got = _totals(rows, counts)
     p, u = (np.cumsum(x[::-1]) / max(x.sum(), 1) for x in (got[:BINS], got[BINS:]))
     usable = p >= LEAST_SHARE
+    if not usable.any():
+        return otherwise
     return float(np.clip(np.min(u[usable] / p[usable], initial=1.0), 0.05, 0.98))
 
 
@@ -180,7 +186,9 @@ def quality(docs: DataFrame, labels: DataFrame, steps: int = STEPS, held: int =
     x = stage(add_from_text(docs, _features, [("x", "array<float>")], keep=["doc_id"]), "features")
     trusted = labels.where(fold(F.col("doc_id"), parts) != held).groupBy(F.col("doc_id").alias("_doc")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_q"))
     trusted = trusted.where("_q = 1").select("_doc")
-    rows = x.join(trusted, x["doc_id"] == trusted["_doc"], "left").select("doc_id", "x", F.col("_doc").isNotNull().alias("positive"))
+    rows = x.join(trusted, x["doc_id"] == trusted["_doc"], "left")
+    part = F.when(F.col("_doc").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("_doc"), F.lit(2))).cast("int")
+    rows = rows.select("x", part.alias("part"))
     rows = stage(rows, "training-rows")
     weights, mean, spread, _ = fit(rows, steps)
 
