@@ -32,8 +32,8 @@ STEPS, RATE, DECAY = 25, 0.15, 1e-4
 #: A lexicon word occurs so often in the sample, so large a part of it in one language.
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 UNKNOWN = "und"
-#: Share of the marginals that the named language must have for a text to pass ``identified``.
-LEAST_SCORE = 0.3
+#: Share of the marginals that the named language must have for a text to pass ``identified``: by default, texts without letters go and no others.
+LEAST_SCORE = 0.0
 
 LETTERS = W.byte_class((97, 122), (128, 255))
 _KIND = np.random.default_rng(9).integers(1, 1 << 63, 16, dtype=np.uint64)
