@@ -12,6 +12,7 @@ from sunweave.catalog.base import (
     LAGGED,
     LATITUDE,
     ROLLED,
+    SQL_PREDICTIONS,
     SQL_STD,
     SQL_TIME,
     VALUES,
@@ -29,6 +30,7 @@ from sunweave.catalog.learning import bundle, in_range, sql_test_rows
 from sunweave.catalog.order import RAW_ORDER, SQL_INDEXED
 from sunweave.catalog.scaling import SQL_ROWS
 from sunweave.models import load_forecaster
+from sunweave.models.registry import HYPERPARAMETERS
 from sunweave.operators.evaluate import comparison_table, metrics
 from sunweave.plans.prepare import prepare, split_features
 from sunweave.plans.report import analysis_tables, dataset_dictionary
@@ -148,10 +150,23 @@ def dictionary(spark, sf_dir):
     return known.join(F.broadcast(table), "standard_name")
 
 
-@query("j06_analysis_tables")
+_PER_MODEL = {"comparison": 1, "report": 1, "ranking": 4, "confusion": 9, "accuracy": 1, "classification": 6, "coverage": 1, "slices": 2}
+
+
+@query("j06_analysis_tables", with_(SQL_PREDICTIONS, " UNION ALL ".join([
+    *(f"SELECT '{t}' AS table_name, {n} AS n_rows" for t, n in (
+        ("dictionary", len(_SENSORS)), ("summary", len(VALUES)), ("correlation", len(VALUES) * (len(VALUES) - 1) // 2),
+        ("hyperparameters", sum(map(len, HYPERPARAMETERS.values()))))),
+    *(f"SELECT '{t}', {n} * count(DISTINCT model) FROM pred" for t, n in _PER_MODEL.items()),
+    "SELECT 'seasonal', count(DISTINCT (model, month(ts) % 12 // 3)) FROM pred",
+    "SELECT 'hourly', count(DISTINCT (model, hour(ts))) FROM pred",
+    "SELECT 'monthly_box', count(DISTINCT month(ts)) FROM std WHERE irr_horiz IS NOT NULL",
+    "SELECT 'best_day', 96 * count(DISTINCT site) FROM std",
+    "SELECT 'yearly', count(DISTINCT (site, year(ts))) FROM std",
+]).replace("SELECT", "\nSELECT")))
 def all_tables(spark, sf_dir):
     """Every analysis table is computed; the result lists each with its row count."""
     rows = stage(predictions(spark, sf_dir), "predictions")
     tables = analysis_tables(stage(std(spark, sf_dir), "std"), "site_b", rows)
-    parts = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table"), "n_rows") for n, t in tables.items()]
+    parts = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, t in tables.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -22,7 +22,8 @@ from sunweave.models import (
 from sunweave.plans import studies
 from sunweave.plans.prepare import prepare
 from sunweave.models.registry import model_label
-from sunweave.plans.train import compare, train_sequence, train_tabular
+from sunweave.operators.evaluate import metrics
+from sunweave.plans.train import train_sequence, train_tabular
 from sunweave.session import stage, staging_path
 
 # The registered runs use the preset sizes (200 trees; up to 300 rounds with patience 20). The one bound
@@ -186,15 +187,31 @@ def same_seed(spark, sf_dir):
     return both.agg(F.max(F.abs(F.col("first") - F.col("second"))).alias("max_difference"), F.count("*").alias("n_rows"))
 
 
-@query("m11_fitted_parameters")
+_SETTINGS = {
+    "lr": {"elasticNetParam": "0.0", "solver": "normal", "maxIter": "100"},
+    "rf": {"numTrees": "4", "maxDepth": "4", "minInstancesPerNode": "2", "subsamplingRate": "1.0",
+           "featureSubsetStrategy": "all", "maxBins": "64", "seed": "42"},
+    "gbt": {"maxIter": "3", "maxDepth": "3", "minInstancesPerNode": "1", "stepSize": "0.05", "subsamplingRate": "0.8",
+            "featureSubsetStrategy": "0.8", "maxBins": "64", "seed": "42"},
+}
+
+
+@query("m11_fitted_parameters", with_(SQL_ROWS, " UNION ALL ".join(f"""
+SELECT '{model_label(m)}' AS model, '{p}' AS hyperparameter, '{v}' AS value, CAST(NULL AS DOUBLE) AS penalty""" for m, ps in _SETTINGS.items() for p, v in ps.items()) + f"""
+UNION ALL SELECT '{model_label("lr")}', 'regParam', NULL, {r("0.1 / count(*) * stddev_pop(target)", "penalty")} FROM usable WHERE split = 'train'"""))
 def fitted_parameters(spark, sf_dir):
     """Settings of models fitted here; the ridge penalty depends on the rows."""
     data = bundle(spark, sf_dir)
-    return studies.fitted_parameters({
+    table = studies.fitted_parameters({
         "lr": fit_ridge(data.train, data.features),
         "rf": fit_forest(data.train, data.features, trees=4, depth=4),
         "gbt": fit_boosted(data.train, data.features, rounds=3, depth=3),
     })
+    penalty = F.col("hyperparameter") == "regParam"
+    return table.select(
+        "model", "hyperparameter", F.when(~penalty, F.col("value")).alias("value"),
+        F.when(penalty, F.col("value").cast("double")).alias("penalty"),
+    )
 
 
 @query("m12_complexity", with_(SQL_ROWS, " UNION ALL ".join(f"""
@@ -229,14 +246,30 @@ _sequence("m15_recurrent_window", "seq_recurrent", units=SHAPE["units"])
 _sequence("m16_conv_recurrent_window", "seq_conv_recurrent", **SHAPE)
 
 
-@query("e15_horizon_learned", digits=4)
+def _is_scored(*keys: str) -> list:
+    """Keys, counts, and whether the errors are numbers in the order every set of errors obeys."""
+    sound = (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-3) & ~F.isnan("rmse")
+    return [*keys, "n_rows", "n_unscored", sound.alias("is_sound")]
+
+
+_LENGTHS = [("ordered", f) for f in (0.2, 0.4, 0.6, 0.8, 1.0)] + [("random", f) for f in (0.1, 0.2, 0.3, 0.4, 0.5)]
+
+
+@query("e15_horizon_learned", with_(SQL_ROWS + """,
+lengths AS (SELECT site, count(*) AS n FROM usable WHERE split = 'test' GROUP BY site)""", " UNION ALL ".join(f"""
+SELECT '{model_label("seq_flat")}' AS model, {h} AS horizon, CAST(sum(greatest(n - {15 + h}, 0)) AS BIGINT) AS n_rows, 0 AS n_unscored, true AS is_sound
+FROM lengths""" for h in studies.HORIZONS)), digits=4)
 def horizon_learned(spark, sf_dir):
-    return studies.learned_horizons(bundle(spark, sf_dir))
+    """Forecasts per horizon: a window ends so many rows before the row it predicts."""
+    return studies.learned_horizons(bundle(spark, sf_dir)).select(_is_scored("model", "horizon"))
 
 
-@query("e16_training_length", digits=4)
+@query("e16_training_length", with_(SQL_ROWS, " UNION ALL ".join(f"""
+SELECT '{model_label("lr")}' AS model, '{s}' AS selection, CAST({f} AS DOUBLE) AS fraction, count(*) AS n_rows, 0 AS n_unscored, true AS is_sound
+FROM usable WHERE split = 'test'""" for s, f in _LENGTHS)), digits=4)
 def training_length(spark, sf_dir):
-    return studies.training_length(bundle(spark, sf_dir))
+    """Test errors after training on shares of the rows: all test rows count each time."""
+    return studies.training_length(bundle(spark, sf_dir)).select(_is_scored("model", "selection", "fraction"))
 
 
 @query("e23_loss_curves", " UNION ALL ".join(f"""
@@ -251,9 +284,12 @@ def loss_curves(spark, sf_dir):
     )
 
 
-@query("j04_train_and_compare", digits=4)
+@query("j04_train_and_compare", with_(SQL_ROWS + """,
+lengths AS (SELECT site, count(*) AS n FROM usable WHERE split = 'test' GROUP BY site)""", " UNION ALL ".join(f"""
+SELECT '{name}' AS model, CAST(sum(greatest(n - {late}, 0)) AS BIGINT) AS n_rows, 0 AS n_unscored, true AS is_sound FROM lengths"""
+    for name, late in ((model_label("lr"), 0), (model_label("rf"), 0), (model_label("seq_flat"), 16), ("persistence_1", 1)))), digits=4)
 def train_and_compare(spark, sf_dir):
-    """Ridge, forest and flat-window ridge next to persistence on the test rows."""
+    """Ridge, forest and flat-window ridge next to persistence: each scores every test row it can reach."""
     from sunweave.operators.evaluate import persistence
     from sunweave.plans.train import train_all
 
@@ -261,4 +297,4 @@ def train_and_compare(spark, sf_dir):
     _, scored = train_all(data, ["lr", "rf", "seq_flat"], {"rf": FOREST})
     test = data.test.drop("idx").withColumnRenamed("pos", "idx")
     last = persistence(test, (1,), bounded=data.bounded)
-    return compare(scored.unionByName(last))
+    return metrics(scored.unionByName(last), counts=True).select(_is_scored("model"))

@@ -35,7 +35,7 @@ def learned_horizons(
     parts = [
         train_sequence(name, bundle, horizon=h, **params)[1].withColumn("horizon", F.lit(h)) for h in horizons
     ]
-    return metrics(reduce(DataFrame.unionByName, parts), ["model", "horizon"])
+    return metrics(reduce(DataFrame.unionByName, parts), ["model", "horizon"], counts=True)
 
 
 def hash_sample(df: DataFrame, fraction: float, seed: int = SEED, keys: Sequence[str] = ("site", "ts")) -> DataFrame:
@@ -64,7 +64,7 @@ def training_length(
             score_tabular(model, bundle.test, bundle.target)
             .withColumns({"selection": F.lit(order), "fraction": F.lit(fraction)})
         )
-    return metrics(reduce(DataFrame.unionByName, scored), ["model", "selection", "fraction"])
+    return metrics(reduce(DataFrame.unionByName, scored), ["model", "selection", "fraction"], counts=True)
 
 
 def model_size(model: Forecaster) -> int:
