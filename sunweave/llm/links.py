@@ -3,8 +3,8 @@
 Members of a bucket are candidates for links. First each is compared with one pivot of its bucket.
 Confirmed links join members into components; only members of different components of a bucket still
 need comparing. They are compared in full: small buckets pair by pair, large ones in blocks of bounded
-size, each block pair in a task of its own that gives out only the pairs that pass. Every pair of a
-bucket ends up compared or joined by links, so none is lost.
+size, each block pair as a group of its own that gives out only links that join components not joined
+yet within it. Every pair of a bucket ends up compared or joined by links, so none is lost.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _across(placed: DataFrame) -> DataFrame:
 
 
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    values = np.concatenate(sets) if sets else np.zeros(0, np.int32)
+    values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     return values, np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
 
@@ -58,45 +58,57 @@ def _matrix(values: np.ndarray, rows: np.ndarray, n: int, known: np.ndarray) ->
     return out
 
 
+def _spanning(pairs: tuple[np.ndarray, np.ndarray], one: np.ndarray, two: np.ndarray) -> list[int]:
+    """Positions of linked pairs that join what earlier ones have not, ``one`` and ``two`` being their ends' roots."""
+    above: dict = {}
+
+    def top(x):
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    kept = []
+    for at, (i, j) in enumerate(zip(*(p.tolist() for p in pairs))):
+        a, b = top(one[i]), top(two[j])
+        if a != b:
+            above[a] = b
+            kept.append(at)
+    return kept
+
+
 def _compare(share: int):
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         one, two = df[df["block"] == key[1]].reset_index(drop=True), df[df["block"] == key[2]].reset_index(drop=True)
-        sets = [[np.unique(x) for x in side["small"]] for side in (one, two)]
-        (va, ra), (vb, rb) = _flat(sets[0]), _flat(sets[1])
+        (va, ra), (vb, rb) = (_flat(list(side["shingles"])) for side in (one, two))
         known = np.intersect1d(va, vb)
         shared = np.zeros((len(one), len(two)), dtype=np.float32)
         for at in range(0, len(known), COLUMNS):
             part = known[at : at + COLUMNS]
             shared += _matrix(va, ra, len(one), part) @ _matrix(vb, rb, len(two), part).T
         n_a, n_b = one["n"].to_numpy(np.int64)[:, None], two["n"].to_numpy(np.int64)[None, :]
-        lost = n_a - np.array([len(x) for x in sets[0]], np.int64)[:, None]
-        most = np.minimum(shared.astype(np.int64) + lost, np.minimum(n_a, n_b))
-        good = 100 * most >= share * (n_a + n_b - most)
-        good &= one["root"].to_numpy(object)[:, None] != two["root"].to_numpy(object)[None, :]
+        shared = shared.astype(np.int64)
+        good = 100 * shared >= share * (n_a + n_b - shared)
+        roots = one["root"].to_numpy(object), two["root"].to_numpy(object)
+        good &= roots[0][:, None] != roots[1][None, :]
         if key[1] == key[2]:
             good &= np.arange(len(one))[:, None] < np.arange(len(two))[None, :]
         i, j = np.nonzero(good)
-        a, b = one["id"].to_numpy(object)[i], two["id"].to_numpy(object)[j]
-        n_a, n_b = n_a[i, 0], n_b[0, j]
-        turn = np.array([x > y for x, y in zip(a, b)], dtype=bool)
-        return pd.DataFrame({
-            "a": np.where(turn, b, a), "b": np.where(turn, a, b),
-            "n_a": np.where(turn, n_b, n_a), "n_b": np.where(turn, n_a, n_b),
-        })
+        kept = _spanning((i, j), *roots)
+        return pd.DataFrame({"a": one["id"].to_numpy(object)[i[kept]], "b": two["id"].to_numpy(object)[j[kept]]})
 
     return run
 
 
 def _blocks(placed: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Passing pairs of large buckets, compared block by block on 31-bit shingle hashes."""
-    small = sets.select("id", F.expr("transform(shingles, x -> cast(x & 2147483647L as int))").alias("small"))
+    """Links that join the members of large buckets, compared block by block on full shingle sets."""
     pieces = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = placed.withColumn("pieces", pieces).withColumn("block", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    rows = cut.select("bucket", "lo", "hi", "block", "id", "n", "root").join(small, "id")
+    rows = cut.select("bucket", "lo", "hi", "block", "id", "n", "root").join(sets.select("id", "shingles"), "id")
     kind = placed.schema["id"].dataType.simpleString()
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(_compare(share), f"a {kind}, b {kind}, n_a long, n_b long")
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(_compare(share), f"a {kind}, b {kind}")
 
 
 def joined(members: DataFrame, sets: DataFrame, share: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -116,10 +128,9 @@ def joined(members: DataFrame, sets: DataFrame, share: int, confirm: Callable[[D
     open_ = stage(placed.join(ends.where("lo != hi").select("bucket", "size"), "bucket"), "open-buckets")
     if not open_.limit(1).count():
         return found
-    pairs = _across(open_.where(F.col("size") <= SMALL).drop("size"))
-    pairs = pairs.unionByName(_blocks(open_.where(F.col("size") > SMALL), sets, share)).where(possible).distinct()
+    pairs = _across(open_.where(F.col("size") <= SMALL).drop("size")).where(possible).distinct()
     pairs = stage(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti").select(*PAIR), "pairs")
-    more = stage(confirm(pairs), "links")
+    more = stage(confirm(pairs).unionByName(_blocks(open_.where(F.col("size") > SMALL), sets, share)), "links")
     if not more.limit(1).count():
         return found
     return stage(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
