@@ -28,9 +28,9 @@ PAIR = ["a", "b", "n_a", "n_b"]
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """Rows ``bucket, id, n`` of buckets with more than one id."""
-    ends = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    return buckets.join(ends.where("lo != hi").select("bucket"), "bucket", "left_semi")
+    """Rows ``bucket, id, n`` of buckets with more than one row; an id is in a bucket once."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("rows"))
+    return buckets.join(sizes.where("rows > 1").select("bucket"), "bucket", "left_semi")
 
 
 def _stars(members: DataFrame) -> DataFrame:
