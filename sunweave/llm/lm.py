@@ -32,38 +32,44 @@ PER_CLASS, WORD_CLASSES, TAIL = 64, 16, 16
 WORDS = PER_CLASS * WORD_CLASSES
 HIDDEN, STEPS = 16, 32
 #: Texts trained side by side, and scored side by side.
-LANES, WIDE = 128, 4096
+LANES, WIDE = 256, 4096
 ROUNDS, RATE = 4, 0.01
 #: Tokens scored together: their ids take two bytes each.
 GROUP = 8 << 20
 SMOOTH = 0.1
 
-END = np.uint64(0x5D1EAF00D5EED5ED)
+#: A token's hash carries its tail class in the lowest bits.
+KIND = np.uint64(TAIL - 1)
+END = np.uint64(0x5D1EAF00D5EED5E0)
 START = WORDS + TAIL
 
 
-def tokens(block: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and tail class of every token, text by text with its end, and tokens per text."""
+def tokens(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token, text by text with its end, and tokens per text; the lowest bits are the tail class."""
     found = block.words(W.NON_SPACE)
     count = found.count + 1
     at = np.arange(len(found.row)) + found.row
     h = np.full(int(count.sum()), END, dtype=np.uint64)
-    kind = np.zeros(len(h), dtype=np.int16)
     if len(at):
-        h[at] = found.hashes()
-        last = block.data[found.end - 1].astype(np.int16)
-        second = block.data[np.maximum(found.end - 2, found.start)].astype(np.int16)
-        kind[at] = (31 * last + second) % TAIL
-    return h, kind, count
+        last = block.data[found.end - 1].astype(np.uint64)
+        second = block.data[np.maximum(found.end - 2, found.start)].astype(np.uint64)
+        h[at] = (found.hashes() & ~KIND) | ((np.uint64(31) * last + second) & KIND)
+    return h, count
+
+
+def tail_class(h: np.ndarray) -> np.ndarray:
+    return (h & KIND).astype(np.int16)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [tokens(block)[:2] for block in W.blocks(batch.column(0))]
+        parts = [tokens(block)[0] for block in W.blocks(batch.column(0))]
         if parts:
-            h, first, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
-            kind = np.concatenate([p[1] for p in parts])[first]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kind), pa.array(n)], names=["h", "kind", "c"])
+            h = np.concatenate(parts)
+            h.sort()
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n)], names=["h", "c"])
 
 
 @dataclass
@@ -85,9 +91,9 @@ class Vocabulary:
         known = self.ids >= 0
         self.words, self.word_ids = self.hashes[known], self.ids[known]
 
-    def encode(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def encode(self, h: np.ndarray) -> np.ndarray:
         """Word id of each token, or WORDS plus its tail class."""
-        out = WORDS + kind
+        out = WORDS + tail_class(h)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             out = np.where(self.words[at] == h, self.word_ids[at], out)
@@ -95,9 +101,8 @@ class Vocabulary:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """``h, kind, c``: every distinct token of ``docs`` with its count."""
-    made = docs.select("text").mapInArrow(_count, "h bigint, kind smallint, c bigint")
-    return made.groupBy("h", "kind").agg(F.sum("c").alias("c"))
+    """``h, c``: every distinct token of ``docs`` with its count."""
+    return docs.select("text").mapInArrow(_count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -109,13 +114,13 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
         if row.n > room:
             break
         least, room = row.low, room - row.n
-    chosen = counts.select("h", "c", "kind").where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
+    chosen = counts.select("h", "c").where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
     h = chosen.column("h").to_numpy().astype(np.int64).view(np.uint64)
-    c, kind = (chosen.column(x).to_numpy().astype(np.int64) for x in ("c", "kind"))
+    c, kind = chosen.column("c").to_numpy().astype(np.int64), tail_class(h)
     ids = np.full(len(h), -1, dtype=np.int32)
     ranked = np.lexsort((h, -c))[:WORDS]
     ids[ranked] = np.arange(len(ranked))
-    tails = {r.kind: (r.c, r.n) for r in counts.groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
+    tails = {r.kind: (r.c, r.n) for r in counts.groupBy(F.col("h").bitwiseAND(TAIL - 1).alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
     tail_total = np.array([tails.get(k, (0, 0))[0] for k in range(TAIL)], dtype=np.float64)
     tail_distinct = np.array([tails.get(k, (0, 0))[1] for k in range(TAIL)], dtype=np.float64)
     np.subtract.at(tail_total, kind[ranked], c[ranked])
@@ -147,7 +152,7 @@ def starting(vocab: Vocabulary, seed: int = 11) -> list[np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
 def _forward(inputs: np.ndarray, state: np.ndarray, table: np.ndarray, turn: np.ndarray, keep: bool):
@@ -271,8 +276,8 @@ class _Trainer:
 def _texts(column: pa.Array, vocab: Vocabulary) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for block in W.blocks(column):
-        h, kind, count = tokens(block)
-        out += np.split(vocab.encode(h, kind), np.cumsum(count)[:-1])
+        h, count = tokens(block)
+        out += np.split(vocab.encode(h), np.cumsum(count)[:-1])
     return out
 
 
@@ -371,9 +376,9 @@ def _score(shared):
         rows, texts, held = [], [], 0
         for batch in batches:
             for block in W.blocks(batch.column(1)):
-                h, kind, count = tokens(block)
+                h, count = tokens(block)
                 c = np.zeros(len(h), dtype=np.int64)
-                ids = (WORDS + kind).astype(np.int16)
+                ids = WORDS + tail_class(h)
                 inside = np.zeros(len(h), dtype=bool)
                 if len(vocab.hashes):
                     at = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
