@@ -172,22 +172,25 @@ def _forward(inputs: np.ndarray, state: np.ndarray, table: np.ndarray, turn: np.
     return out, state, kept
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of the chosen column of each row, and all probabilities; overwrites ``x``."""
+    lines = np.arange(len(x))
+    x -= x.max(1, keepdims=True)
+    own = x[lines, chosen]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    x /= total[:, None]
+    return own.astype(np.float64) - np.log(total), x
 
 
 def _outputs(h: np.ndarray, target: np.ndarray, weights: list[np.ndarray], grads: list[np.ndarray] | None = None):
     """Natural log probability of each target given its state; with ``grads``, also the gradient on the states."""
     _, _, class_out, class_bias, word_out, word_bias = weights
     kind = np.where(target < WORDS, target // PER_CLASS, target - WORDS + WORD_CLASSES)
-    by_class = _log_softmax(h @ class_out + class_bias)
-    lines = np.arange(len(h))
-    logp = by_class[lines, kind].astype(np.float64)
+    logp, d = _softmax(h @ class_out + class_bias, kind)
     back = None
     if grads is not None:
-        d = np.exp(by_class)
-        d[lines, kind] -= 1
+        d[np.arange(len(h)), kind] -= 1
         back = d @ class_out.T
         grads[2] += h.T @ d
         grads[3] += d.sum(0)
@@ -197,13 +200,11 @@ def _outputs(h: np.ndarray, target: np.ndarray, weights: list[np.ndarray], grads
         at = order[ends[c] : ends[c + 1]]
         if len(at):
             own = h[at]
-            by_word = _log_softmax(own @ word_out[c] + word_bias[c])
             word = target[at] - c * PER_CLASS
-            mine = np.arange(len(at))
-            logp[at] += by_word[mine, word]
+            mine, d = _softmax(own @ word_out[c] + word_bias[c], word)
+            logp[at] += mine
             if grads is not None:
-                d = np.exp(by_word)
-                d[mine, word] -= 1
+                d[np.arange(len(at)), word] -= 1
                 back[at] += d @ word_out[c].T
                 grads[4][c] += own.T @ d
                 grads[5][c] += d.sum(0)
