@@ -33,8 +33,12 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_substring_dedup")
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of all documents that lie in repeated passages, with where each first occurs."""
-    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+    """Paragraphs of all documents that lie in repeated passages, and verbatim runs of words (with their
+    start and end) that do not depend on lines, with where each first occurs."""
+    docs = table(spark, sf_dir, "documents")
+    lines = substring_dedup.repeated_passages(docs).drop("text_hash")
+    runs = substring_dedup.verbatim_runs(docs).drop("key").withColumn("words", F.col("end") - F.col("start"))
+    return lines.unionByName(runs, allowMissingColumns=True)
 
 
 @query("op2_benchmark_decontamination", rf"""

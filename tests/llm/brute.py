@@ -108,6 +108,22 @@ def passages(docs, least=40):
     return out
 
 
+def verbatim(docs, n=50):
+    """docs: (doc_id, text) in order. -> ({(doc_id, word)} in repeated windows, those of windows that occur before)."""
+    split = [(d, words(t)) for d, t in docs]
+    places = defaultdict(list)
+    for d, w in split:
+        for i in range(len(w) - n + 1):
+            places[tuple(w[i : i + n])].append((d, i))
+    every, later = set(), set()
+    for found in places.values():
+        for k, (d, i) in enumerate(found if len(found) > 1 else []):
+            every.update((d, j) for j in range(i, i + n))
+            if k:
+                later.update((d, j) for j in range(i, i + n))
+    return every, later
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

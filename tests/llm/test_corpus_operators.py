@@ -180,6 +180,31 @@ def test_passages(docs, pairs, odd, empty):
     assert rows(substring_dedup.repeated_passages(empty)) == rows(substring_dedup.remove_passages(empty)) == []
 
 
+def test_verbatim_runs(spark, docs, pairs, odd, empty):
+    """Runs of 50 words and more are found wherever lines break, to the exact word."""
+    word = lambda k, i: f"t{k}x{i * i % 7919}"
+    own = [[word(k, i) for i in range(300)] for k in range(8)]
+    run = [word("run", i) for i in range(60)]
+    inside = [
+        " ".join(own[0][:90] + run + own[0][90:]), " ".join(own[1][:7] + run + own[1][7:]), " ".join(own[2] + run[:49]),
+        "\n".join(" ".join(x[i : i + 7]) for x in [own[3][:40] + run[5:58] + own[3][40:]] for i in range(0, len(x), 7)),
+        " ".join(own[4]) + "\n" + " ".join(run[10:]).upper(), " ".join(own[5] + own[5][100:170]), "a b c " * 60, " ".join(own[5]),
+    ]
+    made = [*sorted(pairs), *[(10**6 + i, t) for i, t in enumerate(inside)]]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    found = substring_dedup.verbatim_runs(df).collect()
+    every = {(r.doc_id, i) for r in found for i in range(r.start, r.end)}
+    later = {(r.doc_id, i) for r in found if r.removed for i in range(r.start, r.end)}
+    assert (every, later) == brute.verbatim(made)
+    first = {r.doc_id: (r.first_doc_id, r.first_start, r.start, r.end) for r in found if r.removed and r.doc_id >= 10**6}
+    assert first[10**6 + 1] == (10**6, 90, 7, 67) and 10**6 + 2 not in first and first[10**6 + 5] == (10**6 + 5, 100, 300, 370)
+    text = {r.doc_id: r.text for r in substring_dedup.remove_passages(df).collect() if r.doc_id >= 10**6}
+    assert text[10**6] == inside[0] and text[10**6 + 1] == " ".join(own[1]) and text[10**6 + 4] == " ".join(own[4])
+    assert brute.words(text[10**6 + 3]) == own[3] and text[10**6 + 6] == "a b c " and text[10**6 + 7] == ""
+    assert {(r.doc_id, r.end, r.removed) for r in substring_dedup.verbatim_runs(odd).collect() if r.start == 0} >= {(5, 40_000, False), (6, 40_000, True)}
+    assert rows(substring_dedup.verbatim_runs(empty)) == []
+
+
 def test_mixing(spark, docs, odd, empty):
     got, copy_no, key = mixing.mix(docs, repeat=6.0)
     sizes = dict(rows(got.groupBy("source").agg(F.sum(F.length("text")))))
