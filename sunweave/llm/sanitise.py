@@ -1,19 +1,22 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern.
-Each distinct value is a protected entity. How strongly a term next to an entity reveals it is read
+Each distinct value is a protected entity. How strongly a term of the same text reveals it is read
 off the corpus: information content ``IC(e) = -log2 p(e)`` and pointwise mutual information
 ``PMI(e; t) = log2 p(e, t) / (p(e) p(t))`` over documents. A term with ``PMI / IC`` of at least
 ``GENERALISE`` narrows the entity down too much and is generalised, of at least ``REMOVE`` removed.
 Both need ``SUPPORT`` different texts in which term and entity stand together: a single text proves no
 association.
 
-Text is scanned once for spans and once for the document frequencies of candidate terms; only spans
-and counts are shuffled. Patterns are written so that matching takes linear time in any text.
+Text is scanned once for spans and once for the document frequencies of terms; only texts that hold
+spans, and counts, are shuffled. Pairs are made of terms and entities in at least ``SUPPORT`` texts each
+that are rare enough to reach the threshold if they never stood apart. Patterns are written so that matching takes linear time in any text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,27 +33,24 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 TERM = r"\p{L}[\p{L}'’-]+"
-#: Characters looked at on each side of a base span.
-REACH = 64
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-_CONTEXT = "array<struct<entity:string,term:string,start:int,end:int>>"
 
 
-def located(text: Column, pattern: str, base: Column | int = 0) -> Column:
-    """Array of (start, end, value) of all matches, in code points from ``base``."""
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (start, end, value) of all matches, or of those whose value ``keep`` holds for, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
-    base = base if isinstance(base, Column) else F.lit(base)
-    start = F.struct(base.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("all"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("all"))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["value"])
         span = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
+        more = F.concat(acc["all"], F.array(span))
+        return F.struct(end.alias("at"), (F.when(keep(pair["value"]), more).otherwise(acc["all"]) if keep else more).alias("all"))
 
     whole = F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), start, step, lambda acc: acc["all"])
     return F.when(F.size(found) > 0, whole).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
@@ -103,74 +103,81 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Array of (entity, term, start, end): terms within REACH characters of each span, outside all spans."""
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with every character of ``spans`` replaced by a space."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, span: Column) -> Column:
+        begin, end = F.greatest(span["start"], acc["at"]), F.greatest(span["end"], acc["at"])
+        parts = F.concat(acc["parts"], F.array(text.substr(acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)))
+        return F.struct(end.alias("at"), parts.alias("parts"))
 
-    def side(span: Column, begin: Column, end: Column) -> Column:
-        part = text.substr(begin + 1, end - begin)
-        terms = F.filter(
-            located(part, TERM, begin),
-            lambda t: ((t["start"] > begin) | (begin == 0) | (begin == span["end"]))
-            & ((t["end"] < end) | (end == F.length(text)) | (end == span["start"]))
-            & ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
-        )
-        return F.transform(terms, lambda t: F.struct(entity(span).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    places = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(places, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["at"] + 1, F.length(text))))
 
-    def both(span: Column) -> Column:
-        before = side(span, F.greatest(span["start"] - REACH, F.lit(0)), span["start"])
-        after = side(span, span["end"], F.least(span["end"] + REACH, F.length(text)))
-        return F.concat(before, after)
 
-    return F.flatten(F.transform(spans, both))
+def spoken(text: Column) -> Column:
+    """The distinct terms of a text, lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """``entity, term, ratio`` of all pairs whose PMI is at least ``threshold`` of the entity's information content.
+def disclosing(texts: DataFrame, docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """``text_hash, term, ratio`` of the terms of each text whose PMI with one of its entities is at least
+    ``threshold`` of the entity's information content (the largest such ratio).
 
-    ``found`` has ``text_hash`` and ``contexts`` of each document that holds spans.
+    ``texts`` has ``text_hash, n, entities, terms`` of each distinct text with spans; n is the rows that have it.
     """
-    near = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))
-    pairs = found.select("text_hash", F.explode(near).alias("p")).select("text_hash", "p.entity", "p.term")
-    per_text = pairs.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    joint = per_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    joint = stage(joint, "term-pairs")
-    held = F.array_distinct(F.transform("spans", entity))
-    entities = found.select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("holds"))
-    terms = checked_broadcast(joint.select("term").distinct())
-    spoken = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = spoken.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("says"))
-    n = docs.count()
-    scored = joint.join(counts, "term").join(entities, "entity")
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("holds") * F.greatest("says", "both")))
-    content = -F.log2(F.col("holds") / F.lit(float(n)))
+    n = float(docs.count())
+    held = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("holds"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    held = stage(held.join(entities.select("entity", "holds"), "entity"), "entities")
+    # A term in more documents than this cannot reach the threshold with any entity of the text.
+    limit = F.lit(n) * F.pow(F.col("holds") / n, F.lit(threshold)) * (1 + 1e-9) if threshold > 0 else F.lit(n)
+    most = held.groupBy("text_hash").agg(F.max(limit).alias("limit"))
+    said = texts.join(most, "text_hash").select("text_hash", "limit", F.explode("terms").alias("term"))
+    said = stage(said, "terms")
+    known = said.groupBy("term").agg(F.count("*").alias("texts"), F.max("limit").alias("most")).where(F.col("texts") >= support)
+    counts = docs.select(F.explode(spoken(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("says"))
+    counts = counts.join(known, "term").where("says <= most").select("term", "says")
+    rare = said.join(counts, "term").where("says <= limit").select("text_hash", "term", "says")
+    pairs = stage(held.join(rare, "text_hash").where(F.col("says") <= limit), "term-pairs")
+    joint = pairs.groupBy("entity", "term").agg(
+        F.sum("n").alias("both"), F.count("*").alias("texts"), F.max("holds").alias("holds"), F.max("says").alias("says")
+    ).where(F.col("texts") >= support)
+    pmi = F.log2(F.lit(n) * F.col("both") / (F.col("holds") * F.col("says")))
+    content = -F.log2(F.col("holds") / F.lit(n))
     ratio = F.when(content > 0, pmi / content).otherwise(0.0)
-    return scored.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
+    telling = joint.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
+    return pairs.join(telling, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("ratio").alias("ratio"))
 
 
 def personal_data(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_hash, spans, terms``.
 
     ``spans`` are the base spans (kind, start, end, value; kinds in order of ``PATTERNS``, then by start; code
-    points, ends exclusive); ``terms`` the disclosing terms next to them (start, end, ratio; by start).
+    points, ends exclusive); ``terms`` every occurrence of a disclosing term in a text that holds its
+    entity, at any distance, outside the spans (start, end, ratio; by start).
 
-    A null text counts as empty; it has no spans. Rows that repeat a doc_id are judged by their own
-    text, for results are matched by doc_id and text hash; null doc_ids are matched too. Repeated
+    A null text counts as empty; it has no spans. Results depend on the text alone, so rows that repeat a
+    doc_id, or have none, are judged by their own text. Repeated
     texts add to document counts but count once as support. Other columns are ignored, whatever their
     names. No rows give no rows.
     """
     text = F.coalesce(named("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("spans"))
-    near = F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"))).otherwise(F.array().cast(_CONTEXT))
-    found = stage(rows.select("doc_id", "text_hash", "spans", near.alias("contexts")), "spans")
-    some = found.where(F.size("spans") > 0)
-    telling = disclosing(some, rows, support, threshold)
-    near = some.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.*")
-    hits = near.join(telling, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("ratio").alias("ratio"))
-    hits = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    found = stage(rows.select("doc_id", "text_hash", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "spans")
+    texts = found.where(F.size("spans") > 0).groupBy("text_hash").agg(F.count("*").alias("n"), F.first(F.struct("text", "spans")).alias("t"))
+    texts = texts.select("text_hash", "n", F.array_distinct(F.transform("t.spans", entity)).alias("entities"), blanked(F.col("t.text"), F.col("t.spans")).alias("rest"))
+    texts = stage(texts.withColumn("terms", spoken(F.col("rest"))), "span-texts")
+    telling = disclosing(texts.drop("rest"), rows.select("text"), support, threshold)
+    telling = telling.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("ratios"))
+    hits = telling.join(texts.select("text_hash", "rest"), "text_hash")
+    marked = located(F.col("rest"), TERM, lambda value: F.map_contains_key("ratios", F.lower(value)))
+    marked = F.transform(marked, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.col("ratios")[F.lower(t["value"])].alias("ratio")))
+    hits = checked_broadcast(hits.select("text_hash", marked.alias("terms")))
     none = F.array().cast("array<struct<start:int,end:int,ratio:double>>")
-    return found.join(hits, same, "left").select("doc_id", "text_hash", "spans", F.coalesce("terms", none).alias("terms"))
+    return found.join(hits, "text_hash", "left").select("doc_id", "text_hash", "spans", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, on odd rows, and on an empty table."""
 
 import math
+import re
 
 import brute
 import pytest
@@ -262,6 +263,19 @@ def test_disclosing_terms(spark):
     assert clean[0] == "note 0  writes  0 [email] about item0" and clean[100] == texts[6][1]
 
 
+def test_disclosing_terms_at_any_distance(spark):
+    """A telling term is found far from the address, and wherever it stands again in the text."""
+    far = " and more about it" * 40
+    texts = [(i, f"z@m.org{far} zorro {i}{far} Zorro.{far}" + " zorro" * (i % 2)) for i in range(6)]
+    texts += [(100 + i, f"note {i}{far}") for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for r in sanitise.personal_data(df).collect():
+        text = texts[r.doc_id][1] if r.doc_id < 100 else ""
+        assert [(t.start, t.end) for t in r.terms] == [m.span() for m in re.finditer("[zZ]orro", text)]
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(df).collect()}
+    assert "orro" not in "".join(clean.values()) and clean[1] == f"[email]{far}  1{far} .{far} " and clean[100] == texts[6][1]
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
