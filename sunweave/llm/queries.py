@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunweave.llm import decontaminate, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, sanitise, substring_dedup
+from sunweave.llm import decontaminate, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, quality_rules, sanitise, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,48 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihood of all documents under a gated recurrent model and under exact token counts."""
     return lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+def _broken_sql(rule: quality_rules.Rule) -> str:
+    sides = [f"1000 * {rule.measure} < {rule.per} * {rule.least}"] if rule.least is not None else []
+    sides += [f"1000 * {rule.measure} > {rule.per} * {rule.most}"] if rule.most is not None else []
+    return f"CASE WHEN {rule.per} >= {rule.enough} AND ({' OR '.join(sides)}) THEN '{rule.name}' END"
+
+
+_STOP_FORMS = sorted({form for w in quality_rules.STOP_WORDS for form in (w.lower(), w.capitalize(), w.upper())})
+
+
+@query("op13_quality_rules", rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+places AS (
+  SELECT r, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM places),
+again AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS pos FROM twice WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[{quality_rules.SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+    len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in _STOP_FORMS)}))) AS n_stop_words,
+    length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS n_capitals
+  FROM d LEFT JOIN again ON d.r = again.r),
+v AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    array_to_string(list_filter([{", ".join(map(_broken_sql, quality_rules.RULES))}], lambda x: x IS NOT NULL), ',') AS broken FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken
+FROM v
+""")
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all documents and the rules of the threshold table that they break."""
+    got, _ = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("broken", ",").alias("broken"),
+    )
