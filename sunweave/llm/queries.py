@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunweave.llm import decontaminate, exact_dedup, language, line_dedup, lm, mixing, near_dedup, quality, quality_rules, sanitise, substring_dedup
+from sunweave.llm import (
+    collocations,
+    conversation_repair,
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    lm,
+    mixing,
+    near_dedup,
+    quality,
+    quality_rules,
+    sanitise,
+    substring_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,6 +175,114 @@ def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model_scores(table(spark, sf_dir, "documents"))
 
 
+@query("op11_phrase_collocations", rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+said AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+places AS (
+  SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM said, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM places) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE a >= {collocations.LEAST}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM often WHERE m > 1) c
+  JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS q FROM cuts),
+held AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS size FROM often WHERE m > 2)) GROUP BY ALL),
+top AS (
+  SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN held h ON b.lang = h.lang AND b.phrase = h.phrase
+  WHERE q = 1 AND coalesce(100 * around < {collocations.INSIDE} * a, true))
+SELECT top.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM top JOIN totals ON top.lang = totals.lang
+WHERE rank <= {collocations.FIRST}
+""")
+def collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most tightly bound phrases of each language over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _emit(state: str, role: str, text: str, cost: str, initial: str) -> str:
+    line = f"{state}.t || CASE WHEN {state}.n = 0 THEN '' ELSE chr(10) END || {role} || ':' || {text}"
+    return f"struct_pack(c := {state}.c + {cost}, e := {state}.e || '{initial}', n := {state}.n + 1, t := {line})"
+
+
+def _repair_sql() -> str:
+    """Recursive SQL for op12: rows in order, four states, insertions before each row and at the end."""
+    insert_u = lambda s: _emit(s, "'user'", "''", "5", "I")
+    insert_a = lambda s: _emit(s, "'assistant'", "''", "5", "I")
+    best = lambda *cells: f"list_sort([{', '.join(cells)}])[1]"
+    drop = lambda s: f"struct_pack(c := {s}.c + 2, e := {s}.e || 'D', n := {s}.n, t := {s}.t)"
+    never = "struct_pack(c := 1000000000, e := '', n := 0, t := '')"
+    may = lambda cell, when: f"CASE WHEN {when} THEN {cell} ELSE {never} END"
+    keep = lambda s, i: may(_emit(s, "role", "text", "extra", "K"), f"stays AND left(role, 1) = '{i}'")
+    turn = lambda s, r: may(_emit(s, f"'{r}'", "text", "1 + extra", "R"), "stays")
+    to_u = ", ".join(f"{x}" for s in ("n1", "s1", "a1") for x in (keep(s, "u"), turn(s, "user")))
+    inserted = f"""n AS n1, s AS s1, {best('u', insert_u('n'), insert_u('s'), insert_u('a'))} AS u0, a AS a0"""
+    filled = f"""n1, s1, u0, a0, {best('u0', insert_u('a0'))} AS u1, {best('a0', insert_a('u0'))} AS a1"""
+    return rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+bits AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc FROM raw),
+harmed AS (
+  SELECT conv_id, turn, fault, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, xor(crc, 4294967295::BIGINT) % 20 AS fault FROM bits) WHERE fault <> 0),
+twice AS (SELECT * FROM harmed UNION ALL SELECT * FROM harmed WHERE fault = 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM twice),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut,
+    lag(CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM placed),
+rows_in AS (
+  SELECT *, NOT blank AND NOT again AS stays, CASE WHEN NOT blank AND NOT again AND cut THEN 5 ELSE 0 END AS extra FROM seen),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (stays AND cut) AS truncated,
+    count(*) FILTER (prior IS NOT NULL AND prior || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last_i
+  FROM rows_in GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, struct_pack(c := 0, e := '', n := 0, t := '') AS n, {never} AS s, {never} AS u, {never} AS a FROM facts
+  UNION ALL
+  SELECT conv_id, i, {drop('n1')}, {best(drop('s1'), keep('n1', 's'))}, {best(drop('u1'), to_u)},
+    {best(drop('a1'), keep('u1', 'a'), turn('u1', 'assistant'))}
+  FROM (SELECT conv_id, i, role, text, stays, extra, {filled}
+    FROM (SELECT w.conv_id, r.i, r.role, r.text, r.stays, r.extra, {inserted} FROM walk w JOIN rows_in r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1))),
+ends AS (
+  SELECT w.conv_id, {best('n1', 'a1')} AS x
+  FROM (SELECT conv_id, {filled} FROM (SELECT w.conv_id, {inserted} FROM walk w JOIN facts f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.last_i)) w)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.e, '') AS audit,
+  sha256(coalesce(x.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON c.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN ends e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op12_conversation_repair", _repair_sql())
+def conversation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with planted faults: what is wrong, the cheapest repair, and the repaired text's hash."""
+    conversations = table(spark, sf_dir, "conversations")
+    mended = conversation_repair.repair(conversation_repair.damaged(conversations))
+    hashes = conversation_repair.digests(mended.rows).withColumnRenamed("conv_id", "hashed")
+    summary = mended.summary.withColumnRenamed("conv_id", "known")
+    every = conversations.select("conv_id").distinct()
+    got = every.join(summary, F.col("conv_id").eqNullSafe(F.col("known")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("hashed")), "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return got.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def _broken_sql(rule: quality_rules.Rule) -> str:
     sides = [f"1000 * {rule.measure} < {rule.per} * {rule.least}"] if rule.least is not None else []
     sides += [f"1000 * {rule.measure} > {rule.per} * {rule.most}"] if rule.most is not None else []
