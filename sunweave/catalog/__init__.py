@@ -3,6 +3,7 @@
 from sunweave.catalog import (  # noqa: F401
     cleaning,
     ingest,
+    islands,
     jobs,
     learning,
     order,

@@ -7,23 +7,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunweave.catalog.base import LATITUDE, MODEL_FEATURES, query, r, std, with_
-from sunweave.catalog.order import SQL_SEQUENCES
-from sunweave.catalog.scaling import SQL_ROWS, usable_rows
+from sunweave.catalog.base import LATITUDE, MODEL_FEATURES, SQL_METRICS, query, r, std, with_
+from sunweave.catalog.scaling import SQL_ROWS, SQL_SCALED, usable_rows
 from sunweave.models import (
     coefficients,
     feature_importance,
     fit_boosted,
     fit_forest,
     fit_ridge,
+    imbalance,
     load_forecaster,
     loss_history,
 )
 from sunweave.plans import studies
 from sunweave.plans.prepare import prepare
-from sunweave.models.registry import model_label
+from sunweave.models.registry import MODELS, SEQUENCE, TABULAR, model_label
 from sunweave.operators.evaluate import metrics
-from sunweave.plans.train import train_sequence, train_tabular
+from sunweave.plans.train import fit_sequence, score_horizons, train_all, train_tabular
 from sunweave.session import stage, staging_path
 
 # The registered runs use the preset sizes (200 trees; up to 300 rounds with patience 20). The one bound
@@ -55,28 +55,41 @@ def bundle(spark, sf_dir):
     return prepare(std(spark, sf_dir), latitude=LATITUDE)
 
 
-def in_range(scored, data, slack=0.0):
-    """Scored rows, each with whether the prediction lies in the range of the training target, widened by ``slack``.
+def skill(scored: DataFrame, data) -> DataFrame:
+    """One row per model: scored test rows, the error of the training mean on them, and whether the model's is smaller."""
+    mean = data.train.agg(F.avg(data.target)).first()[0]
+    error = lambda p: F.sqrt(F.avg((F.col("actual") - p) ** 2))
+    known = F.col("predicted").isNotNull() & ~F.isnan("predicted")
+    return scored.groupBy("model").agg(
+        F.count("*").alias("n_rows"), F.count_if(~known).alias("n_unscored"), error(F.lit(mean)).alias("mean_rmse"),
+        (error(F.col("predicted")) < error(F.lit(mean))).alias("beats_mean"),
+    )
 
-    Without ``slack`` (None) it only has to be a number that is not negative.
-    """
-    low, high = data.train.agg(F.min(data.target), F.max(data.target)).first()
-    room = float("inf") if slack is None else slack * (high - low) + 1e-6
-    value = F.col("predicted")
-    fits = value.isNotNull() & ~F.isnan(value) & (value >= 0) & value.between(low - room, high + room)
-    return scored.select("model", "site", "idx", "ts", "actual", fits.alias("in_range"))
 
+def sql_skill(rows: str, late: dict[str, int], claimed=tuple(MODELS), order: str = "ts") -> str:
+    """``late``: rows at the start of each site's test part that a model cannot score; ``claimed``: models that beat the mean."""
+    return with_(rows + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY site, split ORDER BY {order}) - 1 AS pos FROM usable),
+mean AS (SELECT avg(target) AS m FROM usable WHERE split = 'train')""", " UNION ALL ".join(f"""
+SELECT '{model_label(key)}' AS model, count(*) AS n_rows, 0 AS n_unscored, {r('sqrt(avg((target - m) * (target - m)))', 'mean_rmse', 3)}, {'true' if key in claimed else 'CAST(NULL AS BOOLEAN)'} AS beats_mean
+FROM placed JOIN mean ON true WHERE split = 'test' AND pos >= {n}""" for key, n in late.items()))
 
-def sql_test_rows(key: str) -> str:
-    return with_(SQL_ROWS + """,
-placed AS (SELECT *, row_number() OVER (PARTITION BY site, split ORDER BY ts) - 1 AS pos FROM usable)""", f"""
-SELECT '{model_label(key)}' AS model, site, pos AS idx, ts, {r('target', 'actual')}, true AS in_range FROM placed WHERE split = 'test'""")
 
+def readout(kind: str, columns: list[str], **shape):
+    """Number, mean and imbalance of each encoded column of the training windows; ``columns`` names them."""
 
-def sql_windows(key: str) -> str:
-    return with_(SQL_SEQUENCES, f"""
-SELECT '{model_label(key)}' AS model, site, pos AS idx, ts, {r('y', 'actual')}, true AS in_range
-FROM seqs WHERE split = 'test' AND pos >= 16""")
+    def run(spark, sf_dir):
+        data = bundle(spark, sf_dir)
+        model = fit_sequence(kind, data, **shape)[1]
+        left = imbalance(model, data.train, "target_scaled")
+        rows = [(model.label, c, model.notes["n"], float(m), round(float(x), 6) + 0.0) for c, m, x in zip(columns, model.notes["means"][:-1], left, strict=True)]
+        return spark.createDataFrame(rows, "model string, column string, n_windows long, train_mean double, imbalance double")
+
+    return run
+
+
+def _windows(features, lookback: int = 16) -> list[str]:
+    return [f"{step:02d}:{c}" for step in range(lookback) for c in features]
 
 
 @query("m01_ridge", SQL_RIDGE_ROWS, digits=4)
@@ -105,24 +118,25 @@ def ridge_coefficients(spark, sf_dir):
     return coefficients(_ridge(spark, sf_dir)[0])
 
 
-@query("m03_forest", sql_test_rows("rf"))
+@query("m03_forest", sql_skill(SQL_ROWS, {"rf": 0}), digits=3)
 def forest(spark, sf_dir):
-    """Test rows with whether the forest's prediction lies in the range of the training target."""
+    """The forest on the test rows against the training mean."""
     data = bundle(spark, sf_dir)
-    return in_range(train_tabular("rf", data, **FOREST)[1], data)
+    return skill(train_tabular("rf", data, **FOREST)[1], data)
 
 
-@query("m04_boosted", sql_test_rows("gbt"))
+@query("m04_boosted", sql_skill(SQL_ROWS, {"gbt": 0}), digits=3)
 def boosted(spark, sf_dir):
-    """Test rows with whether the boosted prediction lies near the range of the training target."""
+    """Boosting on the test rows against the training mean."""
     data = bundle(spark, sf_dir)
-    return in_range(train_tabular("gbt", data, **BOOSTED)[1], data, 0.25)
+    return skill(train_tabular("gbt", data, **BOOSTED)[1], data)
 
 
-@query("m05_feature_importance", " UNION ALL ".join(f"""
-SELECT '{model_label(m)}' AS model, '{c}' AS feature, CAST(1 AS DOUBLE) AS total, true AS is_share""" for m in ("rf", "gbt") for c in MODEL_FEATURES))
+@query("m05_feature_importance", with_(SQL_ROWS + f""",
+strength AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr(target, {c})) AS s FROM usable WHERE split = 'train'" for c in MODEL_FEATURES)})""", " UNION ALL ".join(f"""
+SELECT '{model_label(m)}' AS model, feature, CAST(1 AS DOUBLE) AS total, true AS is_share, row_number() OVER (ORDER BY s DESC NULLS LAST) = 1 AS is_first FROM strength""" for m in ("rf", "gbt"))))
 def importance(spark, sf_dir):
-    """Every feature of both tree models: shares between 0 and 1 that add up to 1."""
+    """Every feature of both tree models: shares that add up to 1, the largest that of the best correlated one."""
     data = bundle(spark, sf_dir)
     tables = [
         feature_importance(m).withColumn("model", F.lit(m.label))
@@ -133,7 +147,9 @@ def importance(spark, sf_dir):
     ]
     share = F.col("importance")
     total = F.sum(share).over(Window.partitionBy("model"))
-    return reduce(DataFrame.unionByName, tables).select("model", "feature", total.alias("total"), share.between(0, 1).alias("is_share"))
+    return reduce(DataFrame.unionByName, tables).select(
+        "model", "feature", total.alias("total"), share.between(0, 1).alias("is_share"), (F.col("rank") == 1).alias("is_first")
+    )
 
 
 @query("m07_save_load", SQL_RIDGE_ROWS, digits=4)
@@ -214,36 +230,87 @@ def fitted_parameters(spark, sf_dir):
     )
 
 
-@query("m12_complexity", with_(SQL_ROWS, " UNION ALL ".join(f"""
-SELECT '{model_label(m)}' AS model, {size} AS coefficients, true AS is_timed, count(*) AS n_scored FROM usable WHERE split = 'test'"""
-    for m, size in (("lr", len(MODEL_FEATURES) + 1), ("rf", "CAST(NULL AS BIGINT)"), ("gbt", "CAST(NULL AS BIGINT)")))))
+# Coefficients of the readouts: inputs and an intercept; nodes of trees depend on the rows.
+_SIZES = {
+    "lr": len(MODEL_FEATURES) + 1, "rf": None, "gbt": None, "seq_flat": 16 * len(MODEL_FEATURES) + 1,
+    "seq_conv": 8 * SHAPE["filters"] + 1, "seq_recurrent": SHAPE["units"] + 1, "seq_conv_recurrent": SHAPE["units"] + 1,
+}
+
+
+def all_models(data) -> tuple[dict, DataFrame]:
+    """All seven models at their preset sizes, and their test predictions."""
+    return train_all(data, tuple(_SIZES), {"rf": FOREST, "gbt": BOOSTED})
+
+
+@query("m12_complexity", with_(SQL_ROWS + """,
+lengths AS (SELECT site, count(*) AS n FROM usable WHERE split = 'test' GROUP BY site)""", " UNION ALL ".join(f"""
+SELECT '{model_label(m)}' AS model, CAST({'NULL' if size is None else size} AS BIGINT) AS coefficients, true AS is_timed,
+  CAST(sum(greatest(n - {16 if m in SEQUENCE else 0}, 0)) AS BIGINT) AS n_scored FROM lengths""" for m, size in _SIZES.items())))
 def complexity(spark, sf_dir):
-    """Sizes of the tabular models; times differ from run to run and only have to be there."""
+    """Sizes of all models; times differ from run to run and only have to be there."""
     data = bundle(spark, sf_dir)
-    models = {
-        "lr": fit_ridge(data.train, data.features),
-        "rf": fit_forest(data.train, data.features, **FOREST),
-        "gbt": fit_boosted(data.train, data.features, validation=data.val, **BOOSTED),
-    }
-    table = studies.complexity_table(models, data.test)
-    linear = F.when(F.col("model") == models["lr"].label, F.col("size"))
+    models, _ = all_models(data)
+    table = studies.complexity_table(models, data)
+    linear = F.when(~F.col("model").isin(models["rf"].label, models["gbt"].label), F.col("size"))
     timed = (F.col("fit_seconds") > 0) & (F.col("rows_per_second") > 0) & (F.col("size") > 0)
     return table.select("model", linear.alias("coefficients"), timed.alias("is_timed"), "n_scored")
 
 
-def _sequence(name: str, kind: str, **shape):
-    @query(name, sql_windows(kind))
+@query("m13_flat_window", with_(SQL_SCALED + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY site) AS n
+  FROM scaled WHERE split = 'train'),
+long AS (UNPIVOT (SELECT pos, n, {', '.join(MODEL_FEATURES)} FROM placed) ON {', '.join(MODEL_FEATURES)} INTO NAME feature VALUE x)""", f"""
+SELECT '{model_label("seq_flat")}' AS model, lpad(CAST(step AS VARCHAR), 2, '0') || ':' || feature AS "column", count(*) AS n_windows,
+  {r('avg(x)', 'train_mean', 4)}, CAST(0 AS DOUBLE) AS imbalance
+FROM long JOIN (SELECT unnest(range(16)) AS step) ON pos >= step AND pos < n - 16 + step GROUP BY step, feature"""), digits=4)
+def flat_window(spark, sf_dir):
+    """Normal equations of the flat-window readout, per step and feature: what is left of them on the windows is zero."""
+    return readout("seq_flat", _windows(MODEL_FEATURES))(spark, sf_dir)
+
+
+def _sql_units(kind: str, n: int) -> str:
+    return with_(SQL_ROWS + """,
+lengths AS (SELECT site, count(*) AS n FROM usable WHERE split = 'train' GROUP BY site)""", f"""
+SELECT '{model_label(kind)}' AS model, CAST(unit AS VARCHAR) AS "column", CAST((SELECT sum(greatest(n - 16, 0)) FROM lengths) AS BIGINT) AS n_windows,
+  CAST(0 AS DOUBLE) AS imbalance FROM (SELECT unnest(range({n})) AS unit)""")
+
+
+def _encoded(name: str, kind: str):
+    @query(name, _sql_units(kind, _SIZES[kind] - 1))
     def run(spark, sf_dir):
-        data = bundle(spark, sf_dir)
-        return in_range(train_sequence(kind, data, **shape)[1], data, None)
+        """Normal equations of the readout on encoded windows: nothing is left of them in any unit."""
+        table = readout(kind, [str(i) for i in range(_SIZES[kind] - 1)])(spark, sf_dir)
+        return table.select("model", "column", "n_windows", F.round("imbalance", 3).alias("imbalance"))
 
     return run
 
 
-_sequence("m13_flat_window", "seq_flat")
-_sequence("m14_conv_window", "seq_conv", filters=SHAPE["filters"])
-_sequence("m15_recurrent_window", "seq_recurrent", units=SHAPE["units"])
-_sequence("m16_conv_recurrent_window", "seq_conv_recurrent", **SHAPE)
+_encoded("m14_conv_window", "seq_conv")
+_encoded("m15_recurrent_window", "seq_recurrent")
+_encoded("m16_conv_recurrent_window", "seq_conv_recurrent")
+
+# One lag of one feature has a closed form: the forecasts themselves can be told in SQL.
+_ONE_LAG = SQL_SCALED + f""",
+lagged AS (SELECT site, split, ts, target, target_scaled AS y, horizon, lag(irr_horiz, CAST(horizon AS INT)) OVER (PARTITION BY site, split, horizon ORDER BY ts) AS x,
+    row_number() OVER (PARTITION BY site, split, horizon ORDER BY ts) - 1 AS pos
+  FROM scaled CROSS JOIN (SELECT unnest({list(studies.HORIZONS)}) AS horizon)),
+fit AS (SELECT horizon, w, my - w * mx AS b FROM (
+  SELECT horizon, count(*) * covar_pop(y, x) / (count(*) * var_pop(x) + 0.1) AS w, avg(y) AS my, avg(x) AS mx
+  FROM lagged WHERE split = 'train' AND pos >= horizon GROUP BY horizon)),
+forecast AS (SELECT f.horizon, site, pos AS idx, ts, target AS actual, (w * x + b) * (y_hi - y_lo) + y_lo AS predicted
+  FROM lagged l JOIN fit f ON l.horizon = f.horizon JOIN stat ON true WHERE split = 'test' AND pos >= f.horizon)"""
+
+
+def _one_lag(spark, sf_dir):
+    data = bundle(spark, sf_dir)
+    models = fit_sequence("seq_flat", data, lookback=1, horizons=studies.HORIZONS, features=["irr_horiz"])
+    return score_horizons(models, data.test, data)
+
+
+@query("m13_flat_window_one_lag", with_(_ONE_LAG, f"SELECT horizon, site, idx, ts, {r('actual', 'actual', 4)}, {r('predicted', 'predicted', 4)} FROM forecast"), digits=4)
+def flat_window_one_lag(spark, sf_dir):
+    """Forecasts of flat windows of one step and one feature, for all horizons from one scan; they may be negative."""
+    return _one_lag(spark, sf_dir).select("horizon", "site", "idx", "ts", "actual", "predicted")
 
 
 def _is_scored(*keys: str) -> list:
@@ -264,37 +331,67 @@ def horizon_learned(spark, sf_dir):
     return studies.learned_horizons(bundle(spark, sf_dir)).select(_is_scored("model", "horizon"))
 
 
-@query("e16_training_length", with_(SQL_ROWS, " UNION ALL ".join(f"""
-SELECT '{model_label("lr")}' AS model, '{s}' AS selection, CAST({f} AS DOUBLE) AS fraction, count(*) AS n_rows, 0 AS n_unscored, true AS is_sound
-FROM usable WHERE split = 'test'""" for s, f in _LENGTHS)), digits=4)
-def training_length(spark, sf_dir):
-    """Test errors after training on shares of the rows: all test rows count each time."""
-    return studies.training_length(bundle(spark, sf_dir)).select(_is_scored("model", "selection", "fraction"))
+@query("e15_horizon_one_lag", with_(_ONE_LAG, f"SELECT horizon, {SQL_METRICS}, count(*) AS n_rows FROM forecast GROUP BY horizon"), digits=4)
+def horizon_one_lag(spark, sf_dir):
+    """Errors by horizon of windows of one step and one feature."""
+    scored = _one_lag(spark, sf_dir)
+    return metrics(scored, ["horizon"], counts=True).drop("n_unscored")
+
 
+_CUTS = SQL_SCALED + """,
+train AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY site) AS n,
+    ('0x' || substr(md5('42:' || site || ':' || strftime(ts, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT % 1000000 AS bucket
+  FROM scaled WHERE split = 'train'),
+choices AS (""" + " UNION ALL ".join(
+    f"SELECT '{s}' AS selection, CAST({f} AS DOUBLE) AS fraction, {int(f * 1_000_000)} AS below" for s, f in _LENGTHS) + """),
+chosen AS (SELECT * FROM train JOIN choices ON (selection = 'ordered' AND pos < floor(n * fraction)) OR (selection = 'random' AND bucket < below))"""
 
-@query("e23_loss_curves", " UNION ALL ".join(f"""
-SELECT '{model_label("gbt")}' AS model, '{part}' AS part, true AS has_all_rounds, true AS went_down, 1 AS first_round""" for part in ("train_loss", "val_loss")))
+
+@query("e16_training_length", with_(_CUTS, f"""
+SELECT '{model_label("lr")}' AS model, selection, fraction, count(*) AS n_train, (SELECT count(*) FROM usable WHERE split = 'test') AS n_rows,
+  0 AS n_unscored, true AS is_sound FROM chosen GROUP BY selection, fraction"""), digits=4)
+def training_length(spark, sf_dir):
+    """Rows trained on and tested, all features: shares of the training rows from one scan, all test rows each time."""
+    return studies.training_length(bundle(spark, sf_dir)).select(_is_scored("model", "selection", "fraction", "n_train"))
+
+
+@query("e16_training_length_one_feature", with_(_CUTS + """,
+fit AS (SELECT selection, fraction, n_train, w, my - w * mx AS b FROM (
+  SELECT selection, fraction, count(*) AS n_train, count(*) * covar_pop(target, irr_horiz) / (count(*) * var_pop(irr_horiz) + 0.1) AS w,
+    avg(target) AS my, avg(irr_horiz) AS mx FROM chosen GROUP BY selection, fraction)),
+scored AS (SELECT selection, fraction, n_train, target AS actual, CASE WHEN w * irr_horiz + b < 0 THEN 0 ELSE w * irr_horiz + b END AS predicted
+  FROM scaled JOIN fit ON true WHERE split = 'test')""", f"""
+SELECT selection, fraction, n_train, {SQL_METRICS}, count(*) AS n_rows FROM scored GROUP BY selection, fraction, n_train"""), digits=4)
+def training_length_one_feature(spark, sf_dir):
+    """Test errors by share of the training rows with one feature, where ridge has a closed form."""
+    table = studies.training_length(bundle(spark, sf_dir), features=["irr_horiz"])
+    return table.drop("model", "n_unscored")
+
+
+@query("e23_loss_curves", with_(SQL_ROWS, " UNION ALL ".join(f"""
+SELECT '{model_label("gbt")}' AS model, '{part}_loss' AS part, true AS has_all_rounds, true AS went_down, 1 AS first_round, true AS below_mean,
+  {r("avg((target - (SELECT avg(target) FROM usable WHERE split = 'train')) ** 2)", 'mean_loss', 1)} FROM usable WHERE split = '{part}'""" for part in ("train", "val"))), digits=1)
 def loss_curves(spark, sf_dir):
-    """Loss per round in long form, summed up: complete from round 1, and lower at the end."""
-    history = _losses(spark, sf_dir)[2]
+    """Loss per round in long form, summed up: complete from round 1, lower at the end, and below that of the training mean."""
+    data, _, history = _losses(spark, sf_dir)
+    mean = data.train.agg(F.avg(data.target)).first()[0]
+    base = data.rows.where("split != 'test'").groupBy(F.concat("split", F.lit("_loss")).alias("part")).agg(F.avg((F.col(data.target) - mean) ** 2).alias("mean_loss"))
     curves = history.unpivot(["model", "round"], ["train_loss", "val_loss"], "part", "loss")
-    first = F.min_by("loss", "round") >= F.max_by("loss", "round")
-    return curves.groupBy("model", "part").agg(
-        (F.count("*") == F.max("round")).alias("has_all_rounds"), first.alias("went_down"), F.min("round").alias("first_round")
+    curves = curves.groupBy("model", "part").agg(
+        (F.count("*") == F.max("round")).alias("has_all_rounds"), (F.min_by("loss", "round") >= F.max_by("loss", "round")).alias("went_down"),
+        F.min("round").alias("first_round"), F.max_by("loss", "round").alias("last"),
     )
+    return curves.join(base, "part").select("model", "part", "has_all_rounds", "went_down", "first_round", (F.col("last") < F.col("mean_loss")).alias("below_mean"), "mean_loss")
 
 
-@query("j04_train_and_compare", with_(SQL_ROWS + """,
-lengths AS (SELECT site, count(*) AS n FROM usable WHERE split = 'test' GROUP BY site)""", " UNION ALL ".join(f"""
-SELECT '{name}' AS model, CAST(sum(greatest(n - {late}, 0)) AS BIGINT) AS n_rows, 0 AS n_unscored, true AS is_sound FROM lengths"""
-    for name, late in ((model_label("lr"), 0), (model_label("rf"), 0), (model_label("seq_flat"), 16), ("persistence_1", 1)))), digits=4)
-def train_and_compare(spark, sf_dir):
-    """Ridge, forest and flat-window ridge next to persistence: each scores every test row it can reach."""
-    from sunweave.operators.evaluate import persistence
-    from sunweave.plans.train import train_all
+_LATE = {m: 16 if m in SEQUENCE else 0 for m in _SIZES}
 
+
+@query("j04_train_and_compare", sql_skill(SQL_ROWS, _LATE, TABULAR), digits=3)
+def train_and_compare(spark, sf_dir):
+    """All seven models: each scores every test row it can reach; nowcasts beat the training mean there."""
     data = bundle(spark, sf_dir)
-    _, scored = train_all(data, ["lr", "rf", "seq_flat"], {"rf": FOREST})
-    test = data.test.drop("idx").withColumnRenamed("pos", "idx")
-    last = persistence(test, (1,), bounded=data.bounded)
-    return metrics(scored.unionByName(last), counts=True).select(_is_scored("model"))
+    _, scored = all_models(data)
+    table = skill(stage(scored, "predictions"), data)
+    nowcast = F.col("model").isin([model_label(m) for m in TABULAR])
+    return table.withColumn("beats_mean", F.when(nowcast, F.col("beats_mean")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.functions import clamp_non_negative
@@ -53,5 +53,5 @@ def fit_pipeline(key: str, train: DataFrame, features: list[str], learner) -> Fo
     return Forecaster(model_key(key), PipelineModel([assembler, model]), time.perf_counter() - start)
 
 
-def load_forecaster(spark: SparkSession, key: str, path: str) -> Forecaster:
+def load_pipeline(key: str, path: str) -> Forecaster:
     return Forecaster(model_key(key), PipelineModel.load(path))

@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from sunweave.models.base import Forecaster
 from sunweave.models.linear import fit_ridge
 from sunweave.models.registry import MODELS, SEQUENCE, TABULAR, model_key
-from sunweave.models.sequence import fit_readout, sequence_features
 from sunweave.models.trees import fit_boosted, fit_forest
+from sunweave.models.windows import WindowForecaster, fit_windows, predict_flat
 from sunweave.operators.evaluate import comparison_table, metrics
 from sunweave.operators.scaling import inverse_scale
 from sunweave.operators.sequences import build_sequences
 from sunweave.plans.prepare import Bundle
 from sunweave.schema import LOOKBACK, SEED
-from sunweave.session import stage
 
 PREDICTIONS = ("model", "site", "idx", "ts", "actual", "predicted")
 
@@ -56,27 +55,46 @@ def sequences_of(bundle: Bundle, part: str, lookback: int = LOOKBACK, horizon: i
     )
 
 
-def train_sequence(
-    name: str, bundle: Bundle, lookback: int = LOOKBACK, horizon: int = 1, alpha: float = 0.1, **shape
-) -> tuple[Forecaster, DataFrame]:
-    """Forecast from past rows only, trained on the scaled target, reported in watts.
+def _in_watts(bundle: Bundle, scored: DataFrame, *more: str) -> DataFrame:
+    rows = inverse_scale(scored, bundle.target_scaler, "predicted", bundle.target)
+    return rows.select("model", "site", F.col("pos").alias("idx"), "ts", F.col(bundle.target).alias("actual"), "predicted", *more)
 
-    Encoded training windows are written once: the fit makes two passes over them.
-    """
-    key = model_key(name)
-    encoded = sequence_features(sequences_of(bundle, "train", lookback, horizon), key, lookback, **shape)
-    model = fit_readout(stage(encoded, "encoded"), key, alpha=alpha)
-    test = sequence_features(sequences_of(bundle, "test", lookback, horizon), key, lookback, **shape)
-    scored = inverse_scale(model.predict(test), bundle.target_scaler, "predicted", bundle.target)
-    return model, scored.select(
-        F.lit(model.label).alias("model"), "site", F.col("pos").alias("idx"), "ts",
-        F.col(bundle.target).alias("actual"), "predicted",
-    )
+
+def fit_sequence(
+    name: str, bundle: Bundle, lookback: int = LOOKBACK, horizons: Sequence[int] = (1,), alpha: float = 0.1,
+    features: Sequence[str] | None = None, **shape,
+) -> dict[int, WindowForecaster]:
+    """One forecaster per horizon, trained on the scaled target of the training rows."""
+    return fit_windows(name, bundle.train, bundle.features if features is None else features, "target_scaled", lookback, horizons, alpha, **shape)
+
+
+def score_sequence(model: WindowForecaster, rows: DataFrame, bundle: Bundle) -> DataFrame:
+    """Forecasts in watts of the rows with a whole window before them, as long predictions."""
+    scored = model.predict(rows, ("ts", bundle.target), bounded=bundle.bounded)
+    return _in_watts(bundle, scored.withColumn("model", F.lit(model.label)))
+
+
+def score_horizons(models: dict[int, WindowForecaster], rows: DataFrame, bundle: Bundle) -> DataFrame:
+    """Long predictions with ``horizon``; flat-window models of all horizons share one pass."""
+    first = next(iter(models.values()))
+    keep = ("ts", bundle.target)
+    if first.key == "seq_flat":
+        scored = predict_flat(list(models.values()), rows, keep, bounded=bundle.bounded)
+    else:
+        parts = [m.predict(rows, keep, bounded=bundle.bounded).withColumn("horizon", F.lit(h)) for h, m in models.items()]
+        scored = reduce(DataFrame.unionByName, parts)
+    return _in_watts(bundle, scored.withColumn("model", F.lit(first.label)), "horizon")
+
+
+def train_sequence(name: str, bundle: Bundle, horizon: int = 1, **params) -> tuple[WindowForecaster, DataFrame]:
+    """Forecast from past rows only, trained on the scaled target, reported in watts."""
+    model = fit_sequence(name, bundle, horizons=(horizon,), **params)[horizon]
+    return model, score_sequence(model, bundle.test, bundle)
 
 
 def train_all(
     bundle: Bundle, names: Sequence[str] = tuple(MODELS), params: dict[str, dict] | None = None
-) -> tuple[dict[str, Forecaster], DataFrame]:
+) -> tuple[dict[str, Forecaster | WindowForecaster], DataFrame]:
     """Train the chosen models (J04): fitted models and their stacked test predictions."""
     params = params or {}
     models, parts = {}, []
@@ -91,8 +109,13 @@ def compare(predictions: DataFrame) -> DataFrame:
     return comparison_table(metrics(predictions))
 
 
-def reload_and_score(models: dict[str, Forecaster], bundle: Bundle) -> DataFrame:
-    """Score reloaded tabular models on the test rows."""
-    return reduce(DataFrame.unionByName, [score_tabular(m, bundle.test, bundle.target) for m in models.values()])
+def score(model: Forecaster | WindowForecaster, bundle: Bundle) -> DataFrame:
+    """Test predictions of a model of either kind."""
+    if isinstance(model, WindowForecaster):
+        return score_sequence(model, bundle.test, bundle)
+    return score_tabular(model, bundle.test, bundle.target)
 
 
+def reload_and_score(models: dict[str, Forecaster | WindowForecaster], bundle: Bundle) -> DataFrame:
+    """Score reloaded models of every kind on the test rows."""
+    return reduce(DataFrame.unionByName, [score(m, bundle) for m in models.values()])
