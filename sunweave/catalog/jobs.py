@@ -11,6 +11,7 @@ from sunweave.catalog.base import (
     CYCLES,
     LAGGED,
     LATITUDE,
+    MODEL_FEATURES,
     ROLLED,
     SQL_PREDICTIONS,
     SQL_STD,
@@ -30,7 +31,8 @@ from sunweave.catalog.learning import bundle, skill, sql_skill
 from sunweave.catalog.order import RAW_ORDER, SQL_INDEXED
 from sunweave.catalog.scaling import SQL_ROWS
 from sunweave.models import load_forecaster
-from sunweave.models.registry import HYPERPARAMETERS, model_label
+from sunweave.models.registry import model_label
+from sunweave.operators import error_cube
 from sunweave.operators.evaluate import comparison_table, metrics
 from sunweave.plans.prepare import prepare, split_features
 from sunweave.plans.report import analysis_tables, dataset_dictionary
@@ -158,12 +160,13 @@ def dictionary(spark, sf_dir):
 
 
 _PER_MODEL = {"comparison": 1, "report": 1, "ranking": 4, "confusion": 9, "accuracy": 1, "classification": 6, "coverage": 1, "slices": 2}
+_SMALL = {"lr": {}, "gbt": {"rounds": 20, "depth": 4}}
 
 
 @query("j06_analysis_tables", with_(SQL_PREDICTIONS, " UNION ALL ".join([
     *(f"SELECT '{t}' AS table_name, {n} AS n_rows" for t, n in (
         ("dictionary", len(_SENSORS)), ("summary", len(VALUES)), ("correlation", len(VALUES) * (len(VALUES) - 1) // 2),
-        ("hyperparameters", sum(map(len, HYPERPARAMETERS.values()))))),
+        ("complexity", 2), ("importance", len(MODEL_FEATURES)), ("horizons", 4), ("training_length", 10))),
     *(f"SELECT '{t}', {n} * count(DISTINCT model) FROM pred" for t, n in _PER_MODEL.items()),
     "SELECT 'seasonal', count(DISTINCT (model, month(ts) % 12 // 3)) FROM pred",
     "SELECT 'hourly', count(DISTINCT (model, hour(ts))) FROM pred",
@@ -172,8 +175,43 @@ _PER_MODEL = {"comparison": 1, "report": 1, "ranking": 4, "confusion": 9, "accur
     "SELECT 'yearly', count(DISTINCT (site, year(ts))) FROM std",
 ]).replace("SELECT", "\nSELECT")))
 def all_tables(spark, sf_dir):
-    """Every analysis table is computed; the result lists each with its row count."""
+    """Every analysis table is computed; the result lists each with its row count (settings and losses depend on the fit)."""
     rows = stage(predictions(spark, sf_dir), "predictions")
-    tables = analysis_tables(stage(std(spark, sf_dir), "std"), "site_b", rows)
+    data = bundle(spark, sf_dir)
+    models = {key: fit_tabular(key, data, **params) for key, params in _SMALL.items()}
+    tables = analysis_tables(stage(std(spark, sf_dir), "std"), "site_b", rows, data, models)
     parts = [t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, t in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).where("table_name not in ('hyperparameters', 'loss_history')")
+
+
+_CELLS = SQL_PREDICTIONS + """,
+begun AS (SELECT *, idx - min(idx) OVER (PARTITION BY model, site) AS step FROM pred),
+long AS (
+  SELECT 'model' AS grouping, '' AS part, * FROM begun
+  UNION ALL SELECT 'season', CASE month(ts) % 12 // 3 WHEN 0 THEN 'Winter' WHEN 1 THEN 'Spring' WHEN 2 THEN 'Summer' ELSE 'Autumn' END, * FROM begun
+  UNION ALL SELECT 'hour', CAST(hour(ts) AS VARCHAR), * FROM begun
+  UNION ALL SELECT 'slice', 'day', * FROM begun WHERE step < 96
+  UNION ALL SELECT 'slice', 'week', * FROM begun WHERE step < 672)"""
+
+
+@query("j06_error_cube", with_(_CELLS, f"""
+SELECT grouping, part, model, count(*) AS n, {r('sqrt(avg((actual - predicted) ** 2))', 'rmse', 3)}, {r('avg(abs(actual - predicted))', 'mae', 3)},
+  {r('avg(abs((actual - predicted) / (abs(actual) + 1e-6))) * 100', 'mape', 1)},
+  {r('CASE WHEN max(actual) > min(actual) THEN 1 - sum((actual - predicted) ** 2) / (count(*) * var_pop(actual)) WHEN sum((actual - predicted) ** 2) = 0 THEN 1 ELSE 0 END', 'r2', 3)}
+FROM long GROUP BY grouping, part, model"""), digits=3)
+def error_cube_tables(spark, sf_dir):
+    """Metrics by model, season, hour and slice, all from the cells of one scan of the predictions."""
+    cells = stage(error_cube.error_cells(stage(predictions(spark, sf_dir), "predictions")), "error-cells")
+    names = ["rmse", "mae", "mape", "r2"]
+
+    def table(name, rows, part):
+        kept = [F.round(c, 1).alias(c) if c == "mape" else F.col(c) for c in names]
+        return rows.select(F.lit(name).alias("grouping"), part.cast("string").alias("part"), "model", "n", *kept)
+
+    def by(*keys):
+        return error_cube.merged(cells, ["model", *keys]).where("n > 0").select("model", *keys, "n", *error_cube.metric_columns(names, None))
+
+    slices = [("day", 0), ("week", 1)]
+    early = [error_cube.merged(cells.where(F.col("slice_no") <= i), ["model"]).where("n > 0").select("model", F.lit(s).alias("slice"), "n", *error_cube.metric_columns(names, None)) for s, i in slices]
+    parts = [table("model", by(), F.lit("")), table("season", by("season"), F.col("season")), table("hour", by("hour"), F.col("hour"))]
+    return reduce(DataFrame.unionByName, [*parts, *(table("slice", x, F.col("slice")) for x in early)])

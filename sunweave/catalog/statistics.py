@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.catalog.base import (
     KEPT,
     MODEL_FEATURES,
+    ORACLES,
     RAW_VALUES,
     SQL_CLEAN,
     SQL_RAW,
@@ -25,10 +29,11 @@ from sunweave.catalog.base import (
 )
 from sunweave.catalog.cleaning import SQL_GRID
 from sunweave.catalog.scaling import SQL_SCALED, scaled_rows
-from sunweave.operators import eda
+from sunweave.operators import eda, rollup
 from sunweave.operators.cleaning import drop_bad_target, drop_sparse_columns
 from sunweave.operators.resample import resample
 from sunweave.plans.report import statistical_summary
+from sunweave.session import stage
 
 MONEY = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -305,3 +310,43 @@ SELECT 'test_rows', count(*) FROM parts WHERE split = 'test' UNION ALL
 SELECT 'n_features', {_N}"""))
 def preprocessing_summary(spark, sf_dir):
     return eda.preprocessing_summary(std(spark, sf_dir), parts(spark, sf_dir), _N)
+
+
+# ---- coarser bins from one written table of fine ones ---------------------------------------
+
+_STATES = ["irr_horiz", "target"]
+
+
+def _stats_sql(rule: str, start: str) -> str:
+    columns = ", ".join(
+        f"count({c}) AS {c}_n, {r(f'avg({c})', f'{c}_mean', 4)}, {r(f'stddev_samp({c})', f'{c}_std', 4)}, {r(f'min({c})', f'{c}_min', 4)}, {r(f'max({c})', f'{c}_max', 4)}"
+        for c in _STATES
+    )
+    return f"SELECT '{rule}' AS rule, site, {start} AS ts, count(*) AS n_rows, {columns} FROM std GROUP BY site, {start}"
+
+
+@query("c02_rollups", with_(SQL_STD, " UNION ALL ".join((
+    _stats_sql("1 hour", "date_trunc('hour', ts)"), _stats_sql("day", "CAST(date_trunc('day', ts) AS TIMESTAMP)"),
+    _stats_sql("month", "CAST(date_trunc('month', ts) AS TIMESTAMP)"), _stats_sql("year", "CAST(date_trunc('year', ts) AS TIMESTAMP)")))), digits=4)
+def rollups(spark, sf_dir):
+    """Hours, days, months and years, each rolled up from the next finer table; the raw rows are read once."""
+    states, parts = rollup.bin_states(std(spark, sf_dir), _STATES), []
+    for rule in ("1 hour", "day", "month", "year"):
+        states = stage(rollup.roll_up(states, rule), "rolled")
+        parts.append(rollup.statistics(states).drop(*(f"{c}_sum" for c in _STATES)).withColumn("rule", F.lit(rule)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("c02_hourly_mean_rollup", ORACLES["c02_hourly_mean"])
+def hourly_mean_rollup(spark, sf_dir):
+    return rollup.resampled(rollup.bin_states(std(spark, sf_dir), _STATES), "1 hour")
+
+
+@query("c13_best_day_rollup", ORACLES["c13_best_day"])
+def best_day_rollup(spark, sf_dir):
+    return rollup.best_day(rollup.bin_states(std(spark, sf_dir), ["irr_horiz"]))
+
+
+@query("c14_yearly_total_rollup", ORACLES["c14_yearly_total"], digits=2)
+def yearly_total_rollup(spark, sf_dir):
+    return rollup.yearly_total(rollup.bin_states(_orders(spark, sf_dir), ["v"], "day", ["series"]), "v", ["series"])

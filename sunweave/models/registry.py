@@ -1,37 +1,7 @@
-"""One spelling per model."""
+"""One spelling per model."""
 
 from __future__ import annotations
 
-# Model key -> (label, hyper-parameter, value, meaning).
-HYPERPARAMETERS = {
-    "lr": [("alpha", "0.1", "Weight of the squared coefficients in the loss")],
-    "rf": [
-        ("numTrees", "200", "Trees grown"),
-        ("maxDepth", "30", "Depth limit; Spark's maximum stands in for unlimited"),
-        ("minInstancesPerNode", "2", "Fewest rows a leaf may hold"),
-        ("featureSubsetStrategy", "all", "Features tried per split"),
-    ],
-    "gbt": [
-        ("maxIter", "300", "Most trees added one after another"),
-        ("maxDepth", "6", "Longest path from root to leaf"),
-        ("stepSize", "0.05", "Share of each new tree that counts"),
-        ("subsamplingRate", "0.8", "Rows per round"),
-        ("featureSubsetStrategy", "0.8", "Features tried per split"),
-        ("patience", "20", "Rounds without improvement on the validation rows"),
-    ],
-    "seq_flat": [("lookback", "16", "Past rows a window holds, four hours")],
-    "seq_conv": [
-        ("filters", "64", "Random convolution kernels"),
-        ("kernel_size", "3", "Kernel length in steps"),
-        ("pooling", "max 2", "Reduction over time"),
-    ],
-    "seq_recurrent": [("units", "64", "Reservoir state size")],
-    "seq_conv_recurrent": [
-        ("filters", "64", "Random convolution kernels"),
-        ("units", "64", "Reservoir state size"),
-    ],
-}
-
 # Labels say what the model is: the sequence models train a linear readout only.
 MODELS = {
     "lr": "Linear Regression",
@@ -56,8 +26,3 @@ def model_key(name: str) -> str:
 
 def model_label(name: str) -> str:
     return MODELS[model_key(name)]
-
-
-def hyperparameter_table(spark, names=tuple(MODELS)):
-    rows = [(MODELS[m], *entry) for m in map(model_key, names) for entry in HYPERPARAMETERS[m]]
-    return spark.createDataFrame(rows, "model string, hyperparameter string, value string, description string")

@@ -229,12 +229,15 @@ def level_accuracy(predictions: DataFrame) -> DataFrame:
 
 
 def classification_report(predictions: DataFrame, digits: int = 4) -> DataFrame:
-    """Precision, recall, F1 and support per level, then accuracy and the averages.
+    """Precision, recall, F1 and support per level, then accuracy and the averages."""
+    return report_from_confusion(confusion_matrix(predictions), digits)
 
-    Works on the 9 cells per model of the confusion matrix. A level absent from both truth and
-    prediction has no row; a level never predicted has precision 0.
+
+def report_from_confusion(cm: DataFrame, digits: int = 4) -> DataFrame:
+    """The report from the 9 cells per model of the confusion matrix.
+
+    A level absent from both truth and prediction has no row; a level never predicted has precision 0.
     """
-    cm = confusion_matrix(predictions)
     both = F.explode(F.array(
         F.struct(F.col("true_level").alias("label"), F.col("n").alias("support"), F.lit(0).alias("said")),
         F.struct(F.col("predicted_level").alias("label"), F.lit(0).alias("support"), F.col("n").alias("said")),

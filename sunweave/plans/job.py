@@ -58,7 +58,7 @@ def main(argv=None) -> None:
     if "gbt" in models:
         write_csv_result(loss_history(models["gbt"], bundle.train, bundle.val), f"{args.output}/loss_history")
     if args.tables:
-        write_tables(analysis_tables(std, args.site, predictions), f"{args.output}/tables")
+        write_tables(analysis_tables(std, args.site, predictions, bundle, models), f"{args.output}/tables")
 
 
 if __name__ == "__main__":

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunweave.functions import numeric_columns
-from sunweave.models.registry import hyperparameter_table
-from sunweave.operators import eda, evaluate
+from sunweave.models import Forecaster, WindowForecaster, feature_importance, loss_history
+from sunweave.operators import eda, error_cube, evaluate
+from sunweave.plans import studies
+from sunweave.plans.prepare import Bundle
 from sunweave.schema import DICTIONARY, get_site
 from sunweave.session import stage
 from sunweave.sources.results import final_report
@@ -32,34 +36,57 @@ def statistical_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def evaluation_tables(predictions: DataFrame) -> dict[str, DataFrame]:
-    """Tables over predictions; ``predictions`` is read once per table, so stage it first."""
-    scores = stage(evaluate.metrics(predictions), "scores")
+    """Tables over predictions, all from one cube of error cells; only the coverage reads the predictions again."""
+    cells = stage(error_cube.error_cells(predictions), "error-cells")
+    scores = stage(error_cube.scores(cells), "scores")
     return {
         "comparison": evaluate.comparison_table(scores),
         "ranking": evaluate.metric_ranking(scores),
         "report": final_report(scores.withColumnRenamed("model", "label")),
-        "seasonal": evaluate.seasonal_metrics(predictions),
-        "hourly": evaluate.hourly_mae(predictions),
-        "confusion": evaluate.confusion_matrix(predictions),
-        "accuracy": evaluate.level_accuracy(predictions),
-        "classification": evaluate.classification_report(predictions),
-        "coverage": evaluate.band_coverage(evaluate.prediction_band(predictions)),
-        "slices": evaluate.slice_metrics(predictions),
+        "seasonal": error_cube.scores(cells, ["model", "season"], ["rmse", "mae", "r2"]),
+        "hourly": error_cube.scores(cells, ["model", "hour"], ["mae"]),
+        "confusion": error_cube.confusion(cells),
+        "accuracy": error_cube.accuracy(cells),
+        "classification": error_cube.classification(cells),
+        "coverage": error_cube.coverage(predictions, cells),
+        "slices": error_cube.slice_scores(cells),
     }
 
 
-def analysis_tables(std: DataFrame, site: str, predictions: DataFrame) -> dict[str, DataFrame]:
-    """Every table of the analysis, lazily; absent inputs raise when a table is written."""
+def model_tables(bundle: Bundle, models: dict[str, Forecaster | WindowForecaster]) -> dict[str, DataFrame]:
+    """What the models and the prepared rows tell: settings in use, sizes, importances, losses, horizons, training lengths."""
+    tables = {
+        "hyperparameters": studies.fitted_parameters(models),
+        "complexity": studies.complexity_table(models, bundle),
+        "horizons": studies.learned_horizons(bundle),
+        "training_length": studies.training_length(bundle),
+    }
+    trees = [m for key, m in models.items() if key in ("rf", "gbt")]
+    if trees:
+        tables["importance"] = reduce(DataFrame.unionByName, [feature_importance(m).withColumn("model", F.lit(m.label)) for m in trees])
+    if "gbt" in models:
+        tables["loss_history"] = loss_history(models["gbt"], bundle.train, bundle.val)
+    return tables
+
+
+def analysis_tables(
+    std: DataFrame, site: str, predictions: DataFrame, bundle: Bundle | None = None,
+    models: dict[str, Forecaster | WindowForecaster] | None = None,
+) -> dict[str, DataFrame]:
+    """Every table of the analysis; absent inputs raise when a table is written.
+
+    Tables about models need the prepared rows and the fitted models.
+    """
     columns = numeric_columns(std)
     return {
         "dictionary": dataset_dictionary(std.sparkSession, site),
         "summary": statistical_summary(std, columns),
-        "hyperparameters": hyperparameter_table(std.sparkSession),
         "correlation": eda.correlations_listwise(std, columns),
         "monthly_box": eda.monthly_box(std),
         "best_day": eda.best_day(std),
         "yearly": eda.yearly_total(std),
         **evaluation_tables(predictions),
+        **(model_tables(bundle, models) if bundle is not None and models else {}),
     }
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunweave import models
-from sunweave.models.registry import HYPERPARAMETERS, MODELS, hyperparameter_table, model_key
+from sunweave.models.registry import MODELS, SEQUENCE, TABULAR, model_key
 from sunweave.models.sequence import conv_bank, reservoir, sequence_features
 from sunweave.models.trees import patient_best, round_losses
 from sunweave.session import staging_path
@@ -84,9 +84,8 @@ def test_registry(spark):
     assert model_key("  RF ") == "rf"
     with pytest.raises(ValueError, match="unknown model"):
         model_key("svr")
-    assert set(HYPERPARAMETERS) == set(MODELS)
+    assert set(TABULAR + SEQUENCE) == set(MODELS)
     assert not any(word in label.lower() for label in MODELS.values() for word in ("lstm", "cnn"))
-    assert hyperparameter_table(spark).count() == sum(map(len, HYPERPARAMETERS.values()))
 
 
 def test_loss_history(spark, data):
