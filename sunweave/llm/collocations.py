@@ -409,7 +409,8 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, head: i
         if m == 1:
             rows = stage(rows, "words")
             totals = stage(rows.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
-        frequent = rows.where(F.col("n") >= least)
+        # Written, because both the naming by two ways of counting and the range sort read it.
+        frequent = stage(rows.where(F.col("n") >= least), f"frequent-{m}")
         table = ranked(frequent if m == 1 else _named(frequent, tables[-1]))
         tables.append(stage(table, f"phrases-{m}"))
         if m < longest:
