@@ -17,19 +17,23 @@ def live_bins(
     rule: str = RESAMPLE_RULE,
     lateness: str = "30 minutes",
     columns: Sequence[str] | None = None,
+    zoned: bool = False,
 ) -> DataFrame:
     """Mean per site and bin of a standardised stream; a bin is final once the watermark passes it.
 
     State is one row per open (site, bin): the watermark drops closed bins, so it does not grow
-    with the feed.
+    with the feed. With ``zoned``, ``ts`` stays the event time that a further stateful operator needs.
     """
     columns = numeric_columns(std) if columns is None else list(columns)
-    return (
+    start = F.col("window.start")
+    bins = (
         std.transform(drop_bad_target)
         # Watermarks need a zoned timestamp; under a UTC session it is the same instant.
         .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
         .groupBy("site", F.window("ts", rule))
         .agg(*[F.avg(c).alias(c) for c in columns])
-        .select("site", F.col("window.start").cast("timestamp_ntz").alias("ts"), *columns)
     )
+    if zoned:
+        return bins.select("site", start.alias("ts"), *columns)
+    return bins.select("site", start.cast("timestamp_ntz").alias("ts"), *columns)
