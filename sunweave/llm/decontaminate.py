@@ -59,7 +59,7 @@ def every_gram(found: W.Words, hashes: np.ndarray, n: int, rows: np.ndarray | No
 class Index:
     """Fingerprints of a block of items, sorted, with the words around them."""
 
-    def __init__(self, items: list[tuple[str, str]]) -> None:
+    def __init__(self, items: list[tuple[str | None, str]]) -> None:
         self.ids = [i for i, _ in items]
         blocks = list(W.blocks(pa.array([t for _, t in items], pa.large_string()), limit=1 << 62))
         self.words = np.zeros(0, np.uint64)
@@ -151,7 +151,7 @@ def _search(shared, first: bool):
         return [
             pa.array(found.count.astype(np.int64)),
             pa.array(spans, pa.list_(pa.int32())),
-            pa.array([sorted(set(x)) for x in names], pa.list_(pa.string())),
+            pa.array([sorted({i for i in x if i is not None}) for x in names], pa.list_(pa.string())),
         ]
 
     return run
@@ -165,14 +165,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     strings, distinct). Words are runs of letters and digits, A-Z lower-cased; a window is 10
     consecutive words of an item, or the whole of a shorter one.
 
-    Null and empty texts have no words and no hits; so do null items. Items with a null id are left
-    out, for they could not be named. Repeated rows and ids are each judged by their own text; items
+    Null and empty texts have no words and no hits; so do null items. Words of items with a null id are hit like
+    any others; only the list of ids leaves them out. Repeated rows and ids are each judged by their own text; items
     sharing an id count once. An empty benchmark hits nothing. Names that clash are avoided.
     """
     keep = docs.columns if keep is None else keep
     n_words, spans, items = fresh(docs, "n_words"), fresh(docs, "hit_spans"), fresh(docs, "hit_items")
     added = [(n_words, "bigint"), (spans, "array<int>"), (items, "array<string>")]
-    given = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("t")).where("id is not null and t is not null")
+    given = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("t")).where("t is not null")
     total = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
     out = docs

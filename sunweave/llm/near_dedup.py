@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.llm import words as W
+from sunweave.llm.columns import fresh, named
 from sunweave.llm.links import joined, shared_buckets
 from sunweave.session import stage
 
@@ -219,11 +220,15 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one per component stays (see ``near_duplicates``).
+    """The rows of ``docs``, all columns, of which one document per component stays (see ``near_duplicates``).
 
-    Rows that repeat a kept doc_id with different texts are separate documents and judged apart only
-    if their doc_ids differ; such repeated ids stay together. Rows with a null doc_id all stay.
+    A document is a doc_id with its text: rows that share a doc_id, or have none, but differ in text are judged
+    apart. The least doc_id stays, null ones last, then the least text hash. Rows equal in both are one document
+    and stay or go together. No rows give no rows.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    return known.unionByName(docs.where("doc_id is null"))
+    id_, text = named("doc_id"), named("text")
+    identity = F.struct(id_.isNull().alias("last"), id_.alias("id"), F.xxhash64(text).alias("hash"))
+    apart = near_duplicates(docs.select(identity.alias("doc_id"), text.alias("text")))
+    kept = apart.where("kept").select(F.col("doc_id.id").alias(fresh(docs, "kept_id")), F.col("doc_id.hash").alias(fresh(docs, "kept_hash"))).distinct()
+    kept_id, kept_hash = (named(c) for c in kept.columns)
+    return docs.join(kept, id_.eqNullSafe(kept_id) & (F.xxhash64(text) == kept_hash), "left_semi")

@@ -50,6 +50,15 @@ def test_near_duplicates_equal_brute_force(docs, pairs):
     assert {r[0]: r[1:] for r in rows(near_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept"))} == brute.near(pairs)
 
 
+def test_one_of_each_group_stays_whatever_its_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    far = " ".join(f"v{i}" for i in range(60))
+    rows_ = [(None, text + " end"), (None, "more " + text), (4, text), (4, "quite another text of a few words only here"), (7, text + " x"), (None, "alone among all"), (None, None), (None, ""), (None, far), (None, far + " y")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = sorted(rows(near_dedup.keep_one(df)), key=str)
+    assert got in [sorted([rows_[2], rows_[3], *rows_[5:8], x], key=str) for x in rows_[8:]]
+
+
 def test_near_duplicates_in_families(spark):
     """Copies of one text, each with words of its own: some linked, some just below the threshold."""
     texts = []
@@ -143,12 +152,12 @@ def contamination(docs, benchmark, **more):
 
 def test_contamination(spark, docs, pairs, odd, empty):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    items += [(900, "one two three"), (901, None), (902, ""), (903, pairs[3][1]), (904, "Ten ELEVEN twelve"), (None, "a b c"), (905, "a a a a a a a a a a a a")]
+    items += [(900, "one two three"), (901, None), (902, ""), (903, pairs[3][1]), (904, "Ten ELEVEN twelve"), (None, "a b c"), (905, "a a a a a a a a a a a a"), (None, "nobody named this passage of rare words")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    named = [i for i in items if i[0] is not None]
-    more = [(5000, "a " * 30), (5001, "zz one two three one two zz ten eleven twelve"), (5002, "a " * 9)]
+    more = [(5000, "a " * 30), (5001, "zz one two three one two zz ten eleven twelve"), (5002, "a " * 9), (5003, "x Nobody named THIS passage of rare words y"), (5004, "c a b c")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    expected = sorted((d, n, h, i) for d, t in [*pairs, *more] for n, h, i in [brute.contamination(t, named)])
+    expected = sorted((d, n, h, [x for x in i if x != "None"]) for d, t in [*pairs, *more] for n, h, i in [brute.contamination(t, items)])
+    assert (5003, 9, 7, []) in expected and (5004, 4, 3, []) in expected
     assert sorted(contamination(df, bench)) == expected
     assert sorted(contamination(df, bench, block_bytes=2000)) == expected
     clean = decontaminate.decontaminate(odd, bench)
@@ -364,6 +373,33 @@ def test_language_model(docs, pairs, head):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.02
 
 
+def test_language_model_does_not_depend_on_the_layout(docs):
+    one, many = ({r.doc_id: r.score for r in lm.language_model_scores(docs.repartition(n)).collect()} for n in (1, 16))
+    assert all(math.isclose(one[d], many[d], rel_tol=1e-6) for d in one)
+
+
+def test_long_texts_are_tokenised_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    from sunweave.llm import words as W
+
+    texts = ["short text", " ".join(f"w{i % 999}" for i in range(700_000)) + " \n " * 5, None, "x" * 3_000_000, ""]
+    got, held = [], []
+    for _, h, count, more in lm.pieces(pa.array(texts)):
+        held.append(h)
+        if not more:
+            got += np.split(np.concatenate(held), np.cumsum(count)[:-1]) if len(held) == 1 else [np.concatenate(held)]
+            held = []
+    whole = next(W.blocks(pa.array(texts), limit=1 << 30))
+    h, count = lm.tokens(whole)
+    assert len(got) == 5 and all((a == b).all() for a, b in zip(got, np.split(h, np.cumsum(count)[:-1])))
+    trainer = lm._Trainer(lm.blank(), 0.01)
+    before = [w.copy() for w in trainer.weights]
+    trainer.learn([np.arange(100_000, dtype=np.int64).astype(np.int16) % 1000, *[np.zeros(3, np.int16)] * 127])
+    assert trainer.seen == 100_000 + 3 * 127 and any((a != b).any() for a, b in zip(before, trainer.weights))
+
+
 def test_language_model_is_a_distribution_and_its_gradient_is_right():
     import numpy as np
 
