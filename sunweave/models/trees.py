@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,8 @@ def fit_boosted(
     """Boosting with the round chosen by patience on the validation rows.
 
     Spark stops early by tolerance only, so the rounds are fitted in growing steps until patience runs
-    out on the validation losses, and once more with the chosen number: with the same seed the first
-    rounds come out the same. Columns are drawn per node, not per tree.
+    out on the validation losses; the model is the first trees of the last fit, up to the chosen round. Columns
+    are drawn per node, not per tree.
     """
     learner = GBTRegressor(
         labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=rows,
@@ -82,13 +83,29 @@ def fit_boosted(
             break
         size = min(2 * size, rounds)
     if keep < size:
-        model = fit_pipeline("gbt", train, features, learner.setMaxIter(keep))
-        spent += model.fit_seconds
+        model = first_trees(model, keep)
     model.fit_seconds = spent
     model.notes.update(rounds=keep, validation_losses=losses)
     return model
 
 
+def first_trees(model: Forecaster, n: int) -> Forecaster:
+    """The model after its first ``n`` rounds: their weighted sum, what a fit of ``n`` rounds with the same seed gives."""
+    fitted = model.learner._java_obj
+    sc = SparkSession.active().sparkContext
+    trees, weights = list(fitted.trees())[:n], list(fitted.treeWeights())[:n]
+    tree_array = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weight_array = sc._gateway.new_array(sc._jvm.double, len(weights))
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        tree_array[i], weight_array[i] = tree, weight
+    short = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(fitted.uid(), tree_array, weight_array, fitted.numFeatures())
+    learner = GBTRegressionModel(fitted.copyValues(short, fitted.extractParamMap()))
+    learner._transfer_params_from_java()
+    learner.set(learner.maxIter, n)
+    learner._java_obj.set("maxIter", n)
+    return Forecaster(model.key, PipelineModel([*model.pipeline.stages[:-1], learner]), model.fit_seconds, dict(model.notes))
+
+
 def round_losses(model: Forecaster, df: DataFrame) -> list[float]:
     """Mean squared error after each boosting round."""
     assembled = model.pipeline.stages[0].transform(df)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sunweave import models
 from sunweave.models.registry import MODELS, SEQUENCE, TABULAR, model_key
 from sunweave.models.sequence import conv_bank, reservoir, sequence_features
-from sunweave.models.trees import patient_best, round_losses
+from sunweave.models.trees import first_trees, patient_best, round_losses
 from sunweave.session import staging_path
 
 
@@ -52,6 +52,13 @@ def test_boosting_prefix_equals_refit(spark, data):
     long = models.fit_boosted(df, features, rounds=8, depth=3)
     short = models.fit_boosted(df, features, rounds=3, depth=3)
     assert round_losses(long, df)[:3] == pytest.approx(round_losses(short, df))
+    cut = first_trees(long, 3)
+    said = lambda m: [r.predicted for r in m.predict(df).select("predicted").collect()]
+    assert said(cut) == pytest.approx(said(short), abs=1e-9) and said(cut) != pytest.approx(said(long), abs=1e-9)
+    assert cut.learner.getNumTrees == 3 and cut.learner.getOrDefault("maxIter") == 3 and cut.features == features
+    path = staging_path(spark, "cut")
+    cut.save(path)
+    assert said(models.load_forecaster(spark, "gbt", path)) == pytest.approx(said(short), abs=1e-9)
     chosen = models.fit_boosted(df, features, validation=df.limit(50), rounds=6, depth=2, patience=1)
     assert chosen.learner.getNumTrees == chosen.notes["rounds"]
 
