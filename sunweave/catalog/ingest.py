@@ -28,6 +28,7 @@ from sunweave.catalog.base import (
     site_raw,
     std,
     with_,
+    table,
 )
 from sunweave.functions import parse_day_hour
 from sunweave.operators.cleaning import clean_bins
@@ -41,6 +42,7 @@ from sunweave.sources import (
     load_report,
     load_site_csv,
     parquet_or_build,
+    refreshed,
     raw_head,
     raw_peek,
     read_result,
@@ -228,3 +230,21 @@ def text_report(spark, sf_dir):
     path = staging_path(spark, "report")
     report_lines(comparison_table(metrics(predictions(spark, sf_dir)))).write.text(path)
     return spark.read.text(path)
+
+
+@query("s16_refresh_changed", """
+SELECT 3 AS read_first, 1 AS read_second, 0 AS read_third, count(*) AS n_rows, sum(CASE WHEN event_id % 3 = 1 THEN -user_id ELSE user_id END)::BIGINT AS total
+FROM events WHERE NOT (event_id % 3 = 1 AND event_id % 2 = 0)""")
+def refresh_changed(spark, sf_dir):
+    """Three files of events, one of them written anew with other rows: only that one is read again."""
+    source, kept = staging_path(spark, "feed"), staging_path(spark, "table")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    for part in range(3):
+        rows.where(F.col("event_id") % 3 == part).coalesce(1).write.option("header", True).csv(f"{source}/part{part}")
+    build = lambda files: spark.read.option("header", True).schema("event_id long, user_id long").csv(files)
+    first = refreshed(spark, source, kept, build)[1]
+    rows.where("event_id % 3 = 1 and event_id % 2 <> 0").withColumn("user_id", -F.col("user_id")).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{source}/part1")
+    second = refreshed(spark, source, kept, build)[1]
+    out, third = refreshed(spark, source, kept, build)
+    sizes = [F.lit(len(x)).alias(n) for n, x in (("read_first", first), ("read_second", second), ("read_third", third))]
+    return out.agg(F.count("*").alias("n_rows"), F.sum("user_id").alias("total")).select(*sizes, "n_rows", "total")

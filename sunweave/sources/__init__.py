@@ -18,4 +18,4 @@ from sunweave.sources.site_csv import (  # noqa: F401
     replace_sentinels,
     union_sites,
 )
-from sunweave.sources.tables import parquet_or_build, write_site_parquet  # noqa: F401
+from sunweave.sources.tables import parquet_or_build, refreshed, write_site_parquet  # noqa: F401
