@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sunweave.catalog.base import (
     CYCLES,
+    KEPT,
     LAGGED,
     LATITUDE,
     MODEL_FEATURES,
@@ -92,6 +93,22 @@ def prepare_notebook(spark, sf_dir):
     return _summary(rows)
 
 
+_NULLS = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in KEPT)
+
+
+@query("j01_audit", with_(SQL_ROWS, f"""
+SELECT 'read' AS stage, count(*) AS n_rows, 0 AS n_null, 'rh' AS dropped FROM std
+UNION ALL SELECT 'target known', count(*), 0, 'rh' FROM std WHERE target >= 0
+UNION ALL SELECT 'gridded', count(*), {_NULLS}, 'rh' FROM bins WHERE irr_horiz > 5
+UNION ALL SELECT 'filled', count(*), {_NULLS}, 'rh' FROM indexed
+UNION ALL SELECT 'usable', count(*), 0, 'rh' FROM usable"""))
+def prepare_audit(spark, sf_dir):
+    """Rows and NULL cells after each stage of the documented preset, counted while it ran, and the sensors it dropped."""
+    audit = bundle(spark, sf_dir).audit
+    table = spark.createDataFrame(audit.rows(), "stage string, n_rows long, n_null long")
+    return table.withColumn("dropped", F.lit(",".join(audit.dropped)))
+
+
 @query("j02_train_tabular", sql_skill(SQL_RAW_FEATURES + f""",
 filled AS (SELECT site, ts, row_id, {', '.join(sql_fill(c, RAW_ORDER) for c in _ALL)}
   FROM warm WHERE irr_horiz > 5)""" + _CUT.format(order=RAW_ORDER, known=_known([*FEATURES_13, "target"])), {"lr": 0}, order=RAW_ORDER), digits=3)

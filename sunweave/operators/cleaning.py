@@ -81,9 +81,12 @@ def clean_bins(
     threshold: float = 0.50,
     target: str = TARGET,
     max_series: int = MAX_SERIES_ROWS,
+    audit: Audit | None = None,
 ) -> tuple[DataFrame, bool]:
     """The cleaning chain with resampling (P06), and whether every series is short enough for one window.
 
+    An ``audit`` counts rows and NULLs between the steps.
+
     The raw rows are read once. Bins are written with their reading counts, so the sparse-column
     test adds up a few counts per bin instead of scanning the raw rows a second time. A bin
     without readings has no irradiance and the night filter would drop it at once: with
@@ -91,7 +94,8 @@ def clean_bins(
     has more than ``max_series`` rows on its grid, it goes through halo blocks. Either way the rows
     carry a dense ``idx``.
     """
-    good = drop_bad_target(df, target)
+    watch = audit.watch if audit else lambda rows, *_: rows
+    good = watch(drop_bad_target(watch(df, "read"), target), "target known")
     columns = numeric_columns(good)
     bins = stage(resample_counted(good, columns, rule), "bins")
     per_site = bins.groupBy("site").agg(
@@ -110,7 +114,9 @@ def clean_bins(
     else:
         out = complete_grid(out if bounded else index_rows(out), rule, kept, bounded=bounded)
     if bounded:
-        return keep_numeric(index_rows(fill_gaps(out, max_gap, target, bounded=True), bounded=True)), True
+        # Halo blocks sample their rows first, which would count them twice: only this layout is watched on.
+        filled = watch(fill_gaps(watch(out, "gridded", kept), max_gap, target, bounded=True), "filled", kept)
+        return keep_numeric(index_rows(filled, bounded=True)), True
     filled = fill_gaps(index_rows(out), max_gap, target)
     return keep_numeric(reindex_rows(stage(filled, "filled"))), False
 
@@ -150,6 +156,30 @@ def date_slice(df: DataFrame, first_day: str, last_day: str) -> DataFrame:
     return df.where((F.col("ts") >= start) & (F.col("ts") < stop))
 
 
+class Audit:
+    """Row and NULL counts of the stages of a plan, taken as the rows pass.
+
+    They are there once the plan has run, at no extra job: ``rows`` waits for nothing but stages that ran.
+    """
+
+    def __init__(self) -> None:
+        self.stages: list[tuple[str, Observation]] = []
+        self.dropped: tuple[str, ...] = ()
+
+    def watch(self, df: DataFrame, stage_name: str, columns: Sequence[str] = ()) -> DataFrame:
+        out, obs = observed(df, stage_name, columns)
+        self.stages.append((stage_name, obs))
+        return out
+
+    def rows(self) -> list[tuple[str, int, int]]:
+        """(stage, rows, NULL cells of its watched columns), in order."""
+        out = []
+        for name, obs in self.stages:
+            got = obs.get
+            out.append((name, got["n_rows"], sum(v for k, v in got.items() if k.startswith("null_"))))
+        return out
+
+
 def observed(df: DataFrame, stage_name: str, columns: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
     """Count rows and NULLs as they pass, without another job."""
     obs = Observation(stage_name)

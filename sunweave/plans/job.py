@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from sunweave.models import loss_history
 from sunweave.models.registry import MODELS, SEQUENCE, TABULAR
 from sunweave.plans.prepare import PRESETS, prepare
@@ -51,6 +53,9 @@ def main(argv=None) -> None:
     predictions = stage(scored, "predictions")
     for key, model in models.items():
         model.save(f"{args.output}/models/{key}")
+    if bundle.audit:
+        audit = spark.createDataFrame(bundle.audit.rows(), "stage string, n_rows long, n_null long")
+        write_csv_result(audit.withColumn("dropped", F.lit(",".join(bundle.audit.dropped))), f"{args.output}/audit")
     bundle.scaler.save(spark, f"{args.output}/models/scaler")
     bundle.target_scaler.save(spark, f"{args.output}/models/target_scaler")
     write_csv_result(predictions, f"{args.output}/predictions")

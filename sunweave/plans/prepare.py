@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.operators.cleaning import (
+    Audit,
     clean_bins,
     drop_bad_target,
     drop_sparse_columns,
@@ -33,7 +34,8 @@ class Bundle:
     """Prepared rows with everything a trainer needs.
 
     ``rows``: keys, ``split``, ``pos`` (dense within series and split), scaled features, the
-    target in watts and ``target_scaled``.
+    target in watts and ``target_scaled``. ``audit`` (preset ``documented``): rows and NULL cells by stage,
+    counted while the rows were written.
     """
 
     rows: DataFrame
@@ -42,6 +44,7 @@ class Bundle:
     target_scaler: Scaler
     bounded: bool
     target: str = TARGET
+    audit: Audit | None = None
 
     def part(self, name: str) -> DataFrame:
         return self.rows.where(F.col("split") == name)
@@ -89,11 +92,11 @@ def _dropped(before: DataFrame, after: DataFrame) -> tuple[str, ...]:
 
 
 def feature_frame(
-    std: DataFrame, preset: str = "documented", latitude=None, filter_night: bool = True
+    std: DataFrame, preset: str = "documented", latitude=None, filter_night: bool = True, audit: Audit | None = None
 ) -> Frame:
     """Features and cleaning in the order the preset asks for."""
     if preset == "documented":
-        grid, bounded = clean_bins(std, filter_night)
+        grid, bounded = clean_bins(std, filter_night, audit=audit)
         return Frame(engineer_features(grid, latitude, bounded=bounded), bounded, dropped=_dropped(std, grid))
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; choose from {PRESETS}")
@@ -106,14 +109,17 @@ def feature_frame(
 
 
 def split_features(
-    std: DataFrame, features: Sequence[str] | None = None, preset: str = "documented", latitude=None
+    std: DataFrame, features: Sequence[str] | None = None, preset: str = "documented", latitude=None, audit: Audit | None = None
 ) -> tuple[DataFrame, bool]:
     """Complete feature rows of all three splits with ``pos``, unscaled and written once."""
-    frame = feature_frame(std, preset, latitude)
+    frame = feature_frame(std, preset, latitude, audit=audit)
     wanted = list(PRESET_FEATURES[preset] if features is None else features)
     parts = split_chronological(frame.rows, bounded=frame.bounded, lengths=frame.lengths)
     # A sensor dropped as too sparse is the one legitimate reason for a missing feature.
     rows = feature_rows(parts, wanted, allow_missing=frame.dropped if features is None else False)
+    if audit:
+        audit.dropped = frame.dropped
+        rows = audit.watch(rows, "usable") if frame.bounded else rows
     if frame.bounded:
         placed = index_rows(rows, ("site", "split"), bounded=True, name="pos")
     else:
@@ -130,10 +136,11 @@ def prepare(
     scaler: str = "standard",
 ) -> Bundle:
     """Clean, split, drop incomplete rows, fit scalers on train only, scale all."""
-    rows, bounded = split_features(std, features, preset, latitude)
+    audit = Audit() if preset == "documented" else None
+    rows, bounded = split_features(std, features, preset, latitude, audit)
     names = [c for c in (PRESET_FEATURES[preset] if features is None else features) if c in rows.columns]
     train = rows.where(F.col("split") == "train")
     x_scaler = fit_scaler(train, names, scaler)
     y_scaler = fit_target_scaler(train)
     scaled = scale_target(apply_scaler(rows, x_scaler), y_scaler)
-    return Bundle(scaled, names, x_scaler, y_scaler, bounded)
+    return Bundle(scaled, names, x_scaler, y_scaler, bounded, audit=audit)
