@@ -31,9 +31,10 @@ from sunweave.catalog.cleaning import SQL_GRID
 from sunweave.catalog.scaling import SQL_SCALED, scaled_rows
 from sunweave.operators import eda, rollup
 from sunweave.operators.cleaning import drop_bad_target, drop_sparse_columns
+from sunweave.operators.quantiles import RANK_BOUND, quantile_sketches, sketched_quantiles
 from sunweave.operators.resample import resample
 from sunweave.plans.report import statistical_summary
-from sunweave.session import stage
+from sunweave.session import small_side, stage
 
 MONEY = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -350,3 +351,18 @@ def best_day_rollup(spark, sf_dir):
 @query("c14_yearly_total_rollup", ORACLES["c14_yearly_total"], digits=2)
 def yearly_total_rollup(spark, sf_dir):
     return rollup.yearly_total(rollup.bin_states(_orders(spark, sf_dir), ["v"], "day", ["series"]), "v", ["series"])
+
+
+_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query("c06_sketched_quantiles", " UNION ALL ".join(f"""
+SELECT l_returnflag, CAST({p} AS DOUBLE) AS prob, count(*) AS n, true AS within FROM lineitem GROUP BY l_returnflag""" for p in _PROBS))
+def sketched_price_quantiles(spark, sf_dir):
+    """Quantiles of merged daily sketches, each with whether its true rank is within the stated bound."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_extendedprice")
+    daily = stage(quantile_sketches(rows, ["l_extendedprice"], ["l_returnflag", "l_shipdate"]), "sketches")
+    found = small_side(sketched_quantiles(daily, ["l_extendedprice"], _PROBS, ["l_returnflag"]))
+    below = F.avg((F.col("l_extendedprice") <= F.col("value")).cast("int"))
+    ranks = rows.join(found, "l_returnflag").groupBy("l_returnflag", "prob").agg(F.count("*").alias("n"), below.alias("rank"))
+    return ranks.select("l_returnflag", "prob", "n", (F.abs(F.col("rank") - F.col("prob")) <= RANK_BOUND + 1 / F.col("n")).alias("within"))
