@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunweave.llm.columns import checked_broadcast, columns, fresh, named
+from sunweave.session import stage
 
 #: A larger mean is drawn as a sum of several equal parts, for exp(-mean) must not underflow.
 PART = 50.0
@@ -34,7 +35,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, repea
     Without ``weights`` all sources weigh the same. Sources that ``weights`` leaves out weigh nothing.
     An empty or null text counts as one character, so every source has a size.
     """
-    sizes = docs.groupBy(_source(named("source")).alias("key")).agg(F.sum(_size(named("text"))).alias("size"))
+    sizes = stage(docs.groupBy(_source(named("source")).alias("key")).agg(F.sum(_size(named("text"))).alias("size")), "source-sizes")
     weight = F.lit(1.0)
     if weights is not None:
         given = [x for k, w in weights.items() for x in (F.lit("" if k is None else "=" + k), F.lit(float(w)))]
@@ -80,12 +81,13 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, repeat:
     source_key, parts, cdf = clash.values()
     table = checked_broadcast(table.withColumnsRenamed(clash))
     joined = docs.join(table, _source(named("source")) == named(source_key))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), named(parts)), F.lit(0),
-        lambda n, i: n + F.size(F.filter(named(cdf), lambda c: c <= uniform(seed, i, named("doc_id")))),
-    )
-    copies = F.when(drawn > 0, F.sequence(F.lit(1), drawn)).otherwise(F.array().cast("array<int>"))
-    out = joined.select(*columns(docs), F.explode(copies).alias(copy_no))
+    # The numbers are drawn before they are compared: within the comparison they would be hashed once per term.
+    draws = F.transform(F.sequence(F.lit(1), named(parts)), lambda i: uniform(seed, i, named("doc_id")))
+    drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(named(cdf), lambda c: c <= u)))
+    many = fresh(joined, "many")
+    counted = joined.select(*columns(docs), drawn.alias(many))
+    copies = F.when(named(many) > 0, F.sequence(F.lit(1), named(many))).otherwise(F.array().cast("array<int>"))
+    out = counted.select(*columns(docs), F.explode(copies).alias(copy_no))
     name = F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(named("doc_id").cast("string"), F.lit("null")), named(copy_no).cast("string"))
     out = out.withColumn(key, F.md5(name))
     return out.repartition(named(key)).sortWithinPartitions(named(key)), copy_no, key
