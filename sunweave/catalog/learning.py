@@ -133,7 +133,7 @@ def boosted(spark, sf_dir):
 
 
 @query("m05_feature_importance", with_(SQL_ROWS + f""",
-strength AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr(target, {c})) AS s FROM usable WHERE split = 'train'" for c in MODEL_FEATURES)})""", " UNION ALL ".join(f"""
+strength AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN var_pop({c}) > 0 THEN abs(corr(target, {c})) END AS s FROM usable WHERE split = 'train'" for c in MODEL_FEATURES)})""", " UNION ALL ".join(f"""
 SELECT '{model_label(m)}' AS model, feature, CAST(1 AS DOUBLE) AS total, true AS is_share, row_number() OVER (ORDER BY s DESC NULLS LAST) = 1 AS is_first FROM strength""" for m in ("rf", "gbt"))))
 def importance(spark, sf_dir):
     """Every feature of both tree models: shares that add up to 1, the largest that of the best correlated one."""
