@@ -32,8 +32,10 @@ STEPS, RATE, DECAY = 25, 0.15, 1e-4
 #: A lexicon word occurs so often in the sample, so large a part of it in one language.
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 UNKNOWN = "und"
-#: Share of the marginals that the named language must have for a text to pass ``identified``: by default, texts without letters go and no others.
-LEAST_SCORE = 0.0
+#: A text passes ``identified`` with this share of the evidence per word that all but one in a hundred learned texts reach.
+SHARE_OF_LEARNED, LEARNED_QUANTILE = 0.4, 0.01
+#: Words a text needs before its evidence can speak against it.
+JUDGED_WORDS = 10
 
 LETTERS = W.byte_class((97, 122), (128, 255))
 _KIND = np.random.default_rng(9).integers(1, 1 << 63, 16, dtype=np.uint64)
@@ -237,21 +239,32 @@ def _strung(count: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np
     return np.concatenate(order) if order else np.zeros(0, np.int64), np.array(strings, dtype=np.int64)
 
 
+def _score(field: Field, block: W.Block, known: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and evidence of each text of a block; ``known`` says which have a letter.
+
+    Evidence is how far, on average over the words, the features of a word speak for its best language rather
+    than for the next. It is small for words of no learned language, whatever the marginals make of them.
+    """
+    found = block.words(LETTERS)
+    if not len(found.row):
+        return [UNKNOWN] * block.n, np.zeros(block.n), np.zeros(block.n)
+    given = emissions(block, found, field)
+    got, _ = marginals(given, found.count, field.moves)
+    words = np.maximum(found.count, 1)
+    mean = np.stack([W.sums(got[:, c].copy(), found.count) for c in range(got.shape[1])], axis=1) / words[:, None]
+    best = mean.argmax(1)
+    some = known & (found.count > 0)
+    lang = [field.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist())]
+    margin = given.max(1) - np.partition(given, -2, axis=1)[:, -2] if given.shape[1] > 1 else np.abs(given[:, 0])
+    return lang, np.where(some, np.clip(mean[np.arange(block.n), best], 0, 1), 0.0), W.sums(margin.astype(np.float64), found.count) / words
+
+
 def _predict(shared):
     def run(block: W.Block, letters: pa.Array) -> list[pa.Array]:
-        field: Field | None = shared.value
-        known = letters.to_numpy(zero_copy_only=False).astype(bool)
-        found = block.words(LETTERS)
-        if field is None or not len(found.row):
-            return [pa.array([UNKNOWN] * block.n, pa.string()), pa.array(np.zeros(block.n))]
-        got, _ = marginals(emissions(block, found, field), found.count, field.moves)
-        mean = np.stack([W.sums(got[:, c].copy(), found.count) for c in range(got.shape[1])], axis=1)
-        mean = mean / np.maximum(found.count, 1)[:, None]
-        best = mean.argmax(1)
-        some = known & (found.count > 0)
-        lang = [field.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), some.tolist())]
-        score = np.where(some, np.clip(mean[np.arange(block.n), best], 0, 1), 0.0)
-        return [pa.array(lang, pa.string()), pa.array(score)]
+        if shared.value is None:
+            return [pa.array([UNKNOWN] * block.n, pa.string()), pa.array(np.zeros(block.n)), pa.array(np.zeros(block.n))]
+        lang, score, evidence = _score(shared.value, block, letters.to_numpy(zero_copy_only=False).astype(bool))
+        return [pa.array(lang, pa.string()), pa.array(score), pa.array(evidence)]
 
     return run
 
@@ -277,14 +290,42 @@ def identify(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, held: int =
     Equal means go to the language that sorts first. Names that clash are avoided. No rows give no rows.
     """
     keep = docs.columns if keep is None else keep
-    field = fit(sample(docs, per_language, held, parts))
+    found, lang, score, evidence = predicted(docs, fit(sample(docs, per_language, held, parts)), keep)
+    return found.drop(evidence), lang, score
+
+
+def predicted(docs: DataFrame, field: Field | None, keep: list[str] | None = None) -> tuple[DataFrame, str, str, str]:
+    """As ``identify``, by a field that is fitted already, with the evidence per word; without a field every text is ``und``."""
+    keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    lang, score, letters = fresh(docs, "lang_pred"), fresh(docs, "lang_score"), fresh(docs, "has_letter")
+    lang, score, evidence, letters = (fresh(docs, c) for c in ("lang_pred", "lang_score", "lang_evidence", "has_letter"))
     source = docs.withColumn(letters, F.coalesce(named("text").rlike(r"\p{L}"), F.lit(False)))
-    return add_from_text(source, _predict(shared), [(lang, "string"), (score, "double")], keep=keep, also=[letters]), lang, score
+    added = [(lang, "string"), (score, "double"), (evidence, "double")]
+    return add_from_text(source, _predict(shared), added, keep=keep, also=[letters]), lang, score, evidence
+
 
+def least_evidence(field: Field, learned: list[tuple[str, str]]) -> float:
+    """The evidence per word below which a text is like none of the learned languages, from the learned texts."""
+    given = [
+        _score(field, block, np.ones(block.n, dtype=bool))[2] for block in W.blocks(pa.array([text for text, _ in learned], pa.large_string()))
+    ]
+    return float(SHARE_OF_LEARNED * np.quantile(np.concatenate(given), LEARNED_QUANTILE)) if given else 0.0
 
-def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be named with a score of at least ``least``."""
-    found, lang, score = identify(docs)
-    return found.where((named(lang) != UNKNOWN) & (named(score) >= least)).select(*columns(docs))
+
+def identified(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be named: with at least ``least`` evidence per word.
+
+    By default the bound follows from the learned texts (``least_evidence``): the words of a text in no learned
+    language speak for none of them and fall far below it, while those of a text that switches between learned ones do
+    not. Texts of fewer than ``JUDGED_WORDS`` words say too little and stay if they have a letter. Texts
+    without letters go. If there is nothing to learn from, no language can be told and every text with a letter stays. Null texts
+    go; no rows give no rows; rows that repeat are judged alike.
+    """
+    learned = sample(docs)
+    field = fit(learned)
+    if field is None:
+        return docs.where(F.coalesce(named("text").rlike(r"\p{L}"), F.lit(False)))
+    bound = least_evidence(field, learned) if least is None else least
+    found, lang, _, evidence = predicted(docs, field)
+    short = F.size(F.split(F.trim(named("text")), r"[\x20\x09-\x0D]+")) < JUDGED_WORDS
+    return found.where((named(lang) != UNKNOWN) & (short | (named(evidence) >= bound))).select(*columns(docs))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunweave.llm import collocations as C
+from sunweave.llm import words as W
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -114,7 +115,7 @@ def test_parts_of_a_long_text_hold_each_phrase_once():
     for m in (1, 2, 4):
         got, whole = Counter(), Counter()
         for target, limit in ((got, 64), (whole, 1 << 20)):
-            for block, words in C.parts(pa.array(["short one", text, None]), m - 1, limit):
+            for block, words, _ in W.parts(pa.array(["short one", text, None]), C.IN_WORD, m - 1, limit):
                 raw = block.data.tobytes()
                 said = [raw[a:b] for a, b in zip(words.start, words.end)]
                 for i in range(len(said) - m + 1):

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, on odd rows, and on an empty table."""
 
 import math
+import random
 import re
 
 import brute
@@ -316,6 +317,25 @@ def test_language_on_held_out_rows(docs, odd, empty):
     assert rows(language.identify(empty)[0]) == []
 
 
+def test_only_texts_of_learned_languages_are_identified(spark):
+    rng = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    russian = "привет мир это обычный русский текст который ни на одном из языков не написан и потому должен быть отвергнут".split()
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(4, 10))) for _ in range(200)) for _ in range(4)]
+    strange = [" ".join(rng.choice(russian) for _ in range(200)) for _ in range(4)] + noise
+    short = ["zxq", "привет мир", "1 2 3", None, ""]
+    extra = spark.createDataFrame([(90_000 + i, t, None, "s", 1) for i, t in enumerate(strange + short)], docs.schema)
+    kept = {r.doc_id for r in language.identified(docs.union(extra)).select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    assert lettered - kept == set() and {90_008, 90_009} <= kept and not kept & {90_010, 90_011, 90_012}
+    assert not kept & set(range(90_000, 90_008))
+
+
+def test_without_labels_every_text_with_a_letter_stays(docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.identified(unlabelled).count() == docs.where(r"text rlike '\\p{L}'").count()
+
+
 def test_code_switched_words(spark, docs):
     """Marginals of a text of two languages change sides where the language does."""
     import numpy as np
