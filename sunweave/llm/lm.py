@@ -6,10 +6,15 @@ the corpus, meet their counts in a shuffle join, so no count is left out at any
 
 The model predicts each token from a gated recurrent state. Its output softmax is factored into
 classes: WORDS frequent tokens in classes of PER_CLASS, all others in TAIL classes by their ending, within
-which a token has its smoothed share of the class's counts. Training runs over the partitions of the
-training text in ROUNDS rounds of disjoint documents: every task trains on its own documents by truncated
-backpropagation over windows of STEPS tokens, carrying the state from window to window, and the
-tasks' weights are averaged by the tokens they saw. Scoring carries the state through whole texts.
+which a token has its smoothed share of the class's counts.
+
+Training text is tokenised once into rows of two bytes a token. Rows are dealt by a hash of doc_id and text into ROUNDS
+rounds and, within a round, into parts of about PART_BYTES, sorted by that hash: what a part holds and in which order
+depends on the corpus alone, not on files or tasks. Every part is learned from by truncated backpropagation
+over windows of STEPS tokens, LANES texts side by side, carrying the state from window to window; the parts'
+weights are averaged by the tokens they saw. More text makes more parts and so the same number of steps a part.
+Scoring carries the state through whole texts. Texts beyond BLOCK_BYTES are tokenised piece by piece, so a text
+takes two bytes a token (and some 200 MB of working space), however long it is.
 """
 
 from __future__ import annotations
@@ -32,8 +37,14 @@ PER_CLASS, WORD_CLASSES, TAIL = 64, 16, 16
 WORDS = PER_CLASS * WORD_CLASSES
 HIDDEN, STEPS = 16, 32
 #: Texts trained side by side, and scored side by side.
-LANES, WIDE = 256, 4096
+LANES, WIDE = 128, 512
 ROUNDS, RATE = 4, 0.01
+#: Bytes of token ids in one part of a round.
+PART_BYTES = 4 << 20
+#: Tokens whose outputs are computed together.
+CHUNK = 4096
+#: Sums of weights that are added in parallel before the driver adds them.
+SUMS = 16
 #: Tokens scored together: their ids take two bytes each.
 GROUP = 8 << 20
 SMOOTH = 0.1
@@ -44,9 +55,9 @@ END = np.uint64(0x5D1EAF00D5EED5E0)
 START = WORDS + TAIL
 
 
-def tokens(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
+def tokens(block: W.Block, found: W.Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every token, text by text with its end, and tokens per text; the lowest bits are the tail class."""
-    found = block.words(W.NON_SPACE)
+    found = block.words(W.NON_SPACE) if found is None else found
     count = found.count + 1
     at = np.arange(len(found.row)) + found.row
     h = np.full(int(count.sum()), END, dtype=np.uint64)
@@ -57,13 +68,20 @@ def tokens(block: W.Block) -> tuple[np.ndarray, np.ndarray]:
     return h, count
 
 
+def pieces(column: pa.Array) -> Iterator[tuple[W.Block, np.ndarray, np.ndarray, bool]]:
+    """Blocks of texts with their tokens and counts; a text that goes on in the next block has no end yet (last value true)."""
+    for block, found, more in W.parts(column, W.NON_SPACE):
+        h, count = tokens(block, found)
+        yield (block, h[:-1], count - 1, True) if more else (block, h, count, False)
+
+
 def tail_class(h: np.ndarray) -> np.ndarray:
     return (h & KIND).astype(np.int16)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [tokens(block)[0] for block in W.blocks(batch.column(0))]
+        parts = [h for _, h, _, _ in pieces(batch.column(0))]
         if parts:
             h = np.concatenate(parts)
             h.sort()
@@ -91,6 +109,25 @@ class Vocabulary:
         known = self.ids >= 0
         self.words, self.word_ids = self.hashes[known], self.ids[known]
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Position of each hash among the head tokens, or -1: by its leading bits to the few that share them."""
+        if not hasattr(self, "starts"):
+            self.bits = np.uint64(64 - min(20, max(1, len(self.hashes).bit_length())))
+            borders = np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits
+            self.starts = np.append(np.searchsorted(self.hashes, borders), len(self.hashes)).astype(np.int32)
+        top = (h >> self.bits).astype(np.int32)
+        at, end = self.starts[top], self.starts[top + 1]
+        out = np.full(len(h), -1, dtype=np.int32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            place = at[left]
+            same = self.hashes[place] == h[left]
+            out[left[same]] = place[same]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
     def encode(self, h: np.ndarray) -> np.ndarray:
         """Word id of each token, or WORDS plus its tail class."""
         out = WORDS + tail_class(h)
@@ -151,80 +188,107 @@ def starting(vocab: Vocabulary, seed: int = 11) -> list[np.ndarray]:
     return weights
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * 0.5) * 0.5 + 0.5
-
-
 def _forward(inputs: np.ndarray, state: np.ndarray, table: np.ndarray, turn: np.ndarray, keep: bool):
-    """States after each input (steps x lanes); with ``keep``, what backpropagation needs."""
+    """States after each input (steps x lanes); with ``keep``, what backpropagation needs.
+
+    Inside, units lie in rows and lanes in columns, so that gates are contiguous.
+    """
     k = HIDDEN
-    out = np.empty((*inputs.shape, k), dtype=np.float32)
-    kept = []
-    for t in range(len(inputs)):
-        x, g = table[inputs[t]], state @ turn
-        gate = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-        z, r = gate[:, :k], gate[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-        new = n + z * (state - n)
+    x = np.ascontiguousarray(table[inputs].transpose(0, 2, 1))
+    turned, now = np.ascontiguousarray(turn.T), np.ascontiguousarray(state.T)
+    steps, lanes = inputs.shape
+    out = np.empty((steps, k, lanes), dtype=now.dtype)
+    kept = [np.empty((steps, n, lanes), dtype=now.dtype) for n in (k, 2 * k, k, k)] if keep else None
+    for t in range(steps):
+        g = turned @ now
+        gate = np.add(x[t, : 2 * k], g[: 2 * k], out=kept[1][t] if keep else None)
+        # The logistic function by way of tanh.
+        gate *= 0.5
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        z, r = gate[:k], gate[k:]
+        n = np.multiply(r, g[2 * k :], out=kept[2][t] if keep else None)
+        n += x[t, 2 * k :]
+        np.tanh(n, out=n)
         if keep:
-            kept.append((state, z, r, n, g[:, 2 * k :]))
-        state = out[t] = new
-    return out, state, kept
-
-
-def _softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of the chosen column of each row, and all probabilities; overwrites ``x``."""
-    lines = np.arange(len(x))
-    x -= x.max(1, keepdims=True)
-    own = x[lines, chosen]
+            kept[0][t], kept[3][t] = now, g[2 * k :]
+        new = out[t]
+        np.subtract(now, n, out=new)
+        new *= z
+        new += n
+        now = new
+    return out.transpose(0, 2, 1), now.T, kept
+
+
+def _softmax(x: np.ndarray, chosen: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of the chosen row of each column, and if wanted ``every`` probability; overwrites ``x``."""
+    at = np.arange(x.shape[1])
+    x -= x.max(0)
+    own = x[chosen, at].astype(np.float64)
     np.exp(x, out=x)
-    total = x.sum(1)
-    x /= total[:, None]
-    return own.astype(np.float64) - np.log(total), x
+    total = x.sum(0)
+    if every:
+        x /= total
+    return own - np.log(total), x
 
 
 def _outputs(h: np.ndarray, target: np.ndarray, weights: list[np.ndarray], grads: list[np.ndarray] | None = None):
     """Natural log probability of each target given its state; with ``grads``, also the gradient on the states."""
+    if len(h) > CHUNK:
+        got = [_outputs(h[i : i + CHUNK], target[i : i + CHUNK], weights, grads) for i in range(0, len(h), CHUNK)]
+        return np.concatenate([x for x, _ in got]), None if grads is None else np.concatenate([x for _, x in got])
     _, _, class_out, class_bias, word_out, word_bias = weights
+    states = np.ascontiguousarray(h.T)
     kind = np.where(target < WORDS, target // PER_CLASS, target - WORDS + WORD_CLASSES)
-    logp, d = _softmax(h @ class_out + class_bias, kind)
+    logp, d = _softmax(class_out.T @ states + class_bias[:, None], kind, grads is not None)
     back = None
     if grads is not None:
-        d[np.arange(len(h)), kind] -= 1
-        back = d @ class_out.T
-        grads[2] += h.T @ d
-        grads[3] += d.sum(0)
+        d[kind, np.arange(len(h))] -= 1
+        back = class_out @ d
+        grads[2] += states @ d.T
+        grads[3] += d.sum(1)
     order = np.argsort(kind, kind="stable")
     ends = np.searchsorted(kind[order], np.arange(WORD_CLASSES + 1))
     for c in range(WORD_CLASSES):
         at = order[ends[c] : ends[c + 1]]
         if len(at):
-            own = h[at]
+            own = states[:, at]
             word = target[at] - c * PER_CLASS
-            mine, d = _softmax(own @ word_out[c] + word_bias[c], word)
+            mine, d = _softmax(word_out[c].T @ own + word_bias[c][:, None], word, grads is not None)
             logp[at] += mine
             if grads is not None:
-                d[np.arange(len(at)), word] -= 1
-                back[at] += d @ word_out[c].T
-                grads[4][c] += own.T @ d
-                grads[5][c] += d.sum(0)
-    return logp, back
+                d[word, np.arange(len(at))] -= 1
+                back[:, at] += word_out[c] @ d
+                grads[4][c] += own @ d.T
+                grads[5][c] += d.sum(1)
+    return logp, None if back is None else back.T
 
 
 def _backward(kept: list, inputs: np.ndarray, back: np.ndarray, weights: list[np.ndarray], grads: list[np.ndarray]) -> None:
-    turn, carry = weights[1], np.zeros_like(back[0])
-    slopes = np.empty((*inputs.shape, 3 * HIDDEN), dtype=np.float32)
-    for t in range(len(kept) - 1, -1, -1):
-        state, z, r, n, u = kept[t]
-        d = back[t] + carry
-        da = d * (1 - z) * (1 - n * n)
-        dz = d * (state - n) * z * (1 - z)
-        dr = da * u * r * (1 - r)
-        du = np.concatenate([dz, dr, da * r], axis=1)
-        carry = d * z + du @ turn.T
-        grads[1] += state.T @ du
-        slopes[t, :, : 2 * HIDDEN], slopes[t, :, 2 * HIDDEN :] = du[:, : 2 * HIDDEN], da
-    ids, flat = inputs.ravel(), slopes.reshape(-1, 3 * HIDDEN)
+    turn, k = weights[1], HIDDEN
+    back = np.ascontiguousarray(back.transpose(0, 2, 1))
+    carry = np.zeros_like(back[0])
+    slopes = np.empty((len(inputs), 3 * k, inputs.shape[1]), dtype=back.dtype)
+    du = np.empty_like(slopes)
+    # What does not depend on later steps, for the whole window at once.
+    state, gate, n, u = kept
+    z, r = gate[:, :k], gate[:, k:]
+    inner, outer, reset = (1 - z) * (1 - n * n), (state - n) * z * (1 - z), u * r * (1 - r)
+    for t in range(len(inputs) - 1, -1, -1):
+        d = back[t]
+        d += carry
+        da, own = slopes[t, 2 * k :], du[t]
+        np.multiply(d, inner[t], out=da)
+        np.multiply(d, outer[t], out=own[:k])
+        np.multiply(da, reset[t], out=own[k : 2 * k])
+        np.multiply(da, r[t], out=own[2 * k :])
+        carry = turn @ own
+        d *= z[t]
+        carry += d
+    slopes[:, : 2 * k] = du[:, : 2 * k]
+    grads[1] += np.tensordot(state, du, axes=([0, 2], [0, 2]))
+    ids, flat = inputs.ravel(), slopes.transpose(0, 2, 1).reshape(-1, 3 * k)
     order = np.argsort(ids, kind="stable")
     own = ids[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -243,24 +307,20 @@ class _Trainer:
     def learn(self, texts: list[np.ndarray]) -> None:
         """One pass over some texts side by side, longest first, window by window."""
         length = np.array([len(t) for t in texts])
-        wide = np.full((int(length[0]), len(texts)), -1, dtype=np.int16)
-        for i, t in enumerate(texts):
-            wide[: len(t), i] = t
+        flat, begin = np.concatenate(texts), np.cumsum(length) - length
         state = np.zeros((len(texts), HIDDEN), dtype=np.float32)
         last = np.full(len(texts), START, dtype=np.int16)
-        for at in range(0, len(wide), STEPS):
-            live = int(np.searchsorted(-length, -at, side="left"))
-            target = wide[at : at + STEPS, :live]
+        for at in range(0, int(length[0]), STEPS):
+            target, real = _window(flat, begin, length, at)
+            live = target.shape[1]
             inputs = np.concatenate([last[None, :live], target[:-1]])
-            real = target >= 0
-            inputs = np.where(inputs >= 0, inputs, START)
             h, state, kept = _forward(inputs, state[:live], self.weights[0], self.weights[1], True)
             grads = [np.zeros_like(w) for w in self.weights]
             _, d = _outputs(h[real], target[real], self.weights, grads)
-            back = np.zeros_like(h)
+            back = np.zeros(h.shape, dtype=h.dtype)
             back[real] = d
             _backward(kept, inputs, back, self.weights, grads)
-            self._step(grads, max(int(real.sum()), 1))
+            self._step(grads, int(real.sum()))
             last = target[-1]
 
     def _step(self, grads: list[np.ndarray], n: int) -> None:
@@ -274,49 +334,95 @@ class _Trainer:
             w -= self.rate * fix * m / (np.sqrt(v) + 1e-8)
 
 
-def _texts(column: pa.Array, vocab: Vocabulary) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for block in W.blocks(column):
-        h, count = tokens(block)
-        out += np.split(vocab.encode(h), np.cumsum(count)[:-1])
-    return out
+def _window(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens ``at`` to ``at`` + STEPS of the texts that are that long (lengths descend), and which of them are real."""
+    live = int(np.searchsorted(-length, -at, side="left"))
+    place = at + np.arange(min(STEPS, int(length[0]) - at))[:, None]
+    real = place < length[None, :live]
+    return flat[begin[None, :live] + np.minimum(place, length[None, :live] - 1)], real
+
+
+def _encoded(shared, rounds: int):
+    """Token ids of whole texts, two bytes each, with the round and the key that deal them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab: Vocabulary = shared.value
+        for batch in batches:
+            keys, held = batch.column(0).to_numpy(), []
+            for block, h, count, more in pieces(batch.column(1)):
+                ids = vocab.encode(h)
+                if more or held:
+                    held.append(ids)
+                    if more:
+                        continue
+                    rows, held = [np.concatenate(held)], []
+                else:
+                    rows = np.split(ids, np.cumsum(count)[:-1])
+                own = keys[block.first : block.first + block.n]
+                data = pa.array([x.tobytes() for x in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array((own % rounds).astype(np.int32)), pa.array(own), data], names=["turn", "key", "ids"])
+
+    return run
 
 
 def _train(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, weights = shared.value
-        trainer = _Trainer(weights, rate)
+        trainer, first = _Trainer(shared.value, rate), None
         for batch in batches:
-            texts = sorted(_texts(batch.column(0), vocab), key=lambda t: -len(t))
+            first = int(batch.column(0)[0].as_py()) if first is None and batch.num_rows else first
+            texts = sorted((np.frombuffer(x, np.int16) for x in batch.column(1).to_pylist()), key=lambda t: -len(t))
             groups = [texts[i : i + LANES] for i in range(0, len(texts), LANES)]
             for i in np.random.default_rng(len(texts)).permutation(len(groups)):
                 trainer.learn(groups[i])
         if trainer.seen:
             flat = np.concatenate([w.ravel() for w in trainer.weights]).astype(np.float64) * trainer.seen
-            flat = np.append(flat, trainer.seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
+            yield _sum_row(first, np.append(flat, trainer.seen))
 
     return run
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
+def _sum_row(key: int, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([key % SUMS], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=["key", "slot", "flat"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sum for each slot; rows come sorted, so the order of addition is that of the keys."""
+    slot, key, total = None, 0, None
+    for batch in batches:
+        for k, s, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            part = np.frombuffer(raw)
+            if s != slot:
+                if slot is not None:
+                    yield _sum_row(key, total)
+                slot, key, total = s, k, part
+            else:
+                total = total + part
+    if slot is not None:
+        yield _sum_row(key, total)
+
+
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, part_bytes: int = PART_BYTES) -> list[np.ndarray]:
     """Weights after ``rounds`` averaged rounds, each over its own part of ``docs``: every text is learned from once."""
     weights = starting(vocab)
-    part = F.pmod(F.xxhash64("text"), F.lit(rounds))
     sc = docs.sparkSession.sparkContext
+    known = sc.broadcast(vocab_for_training(vocab))
+    key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+    ids = stage(docs.select(key.alias("key"), "text").mapInArrow(_encoded(known, rounds), "turn int, key bigint, ids binary"), "training-ids")
+    sizes = {r.turn: r.size for r in ids.groupBy("turn").agg(F.sum(F.octet_length("ids")).alias("size")).collect()}
     for turn in range(rounds):
-        shared = sc.broadcast((vocab_for_training(vocab), weights))
-        made = docs.where(part == turn).select("text").mapInArrow(_train(shared, RATE * (1 - 0.6 * turn / rounds)), "i bigint, v double")
-        rows = made.groupBy("i").agg(F.sum("v").alias("v")).collect()
+        if turn not in sizes:
+            continue
+        shared = sc.broadcast(weights)
+        dealt = ids.where(F.col("turn") == turn).select("key", "ids").repartition(max(1, -(-sizes[turn] // part_bytes)), "key").sortWithinPartitions("key", "ids")
+        made = dealt.mapInArrow(_train(shared, RATE * (1 - 0.6 * turn / rounds)), "key bigint, slot int, flat binary")
+        rows = made.repartition(SUMS, "slot").sortWithinPartitions("slot", "key").mapInArrow(_sums, "key bigint, slot int, flat binary").collect()
         shared.unpersist()
-        if rows:
-            flat = np.zeros(len(rows))
-            flat[[r.i for r in rows]] = [r.v for r in rows]
-            flat, at, new = (flat[:-1] / flat[-1]).astype(np.float32), 0, []
-            for w in weights:
-                new.append(flat[at : at + w.size].reshape(w.shape))
-                at += w.size
-            weights = new
+        flat = sum((np.frombuffer(r.flat) for r in sorted(rows, key=lambda r: r.slot)), np.zeros(sum(w.size for w in weights) + 1))
+        flat, at, new = (flat[:-1] / flat[-1]).astype(np.float32), 0, []
+        for w in weights:
+            new.append(flat[at : at + w.size].reshape(w.shape))
+            at += w.size
+        weights = new
     return weights
 
 
@@ -327,22 +433,22 @@ def vocab_for_training(vocab: Vocabulary) -> Vocabulary:
 
 
 def _model_scores(texts: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each text's ids; tail tokens by their class only."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    out = np.zeros(len(texts))
+    """Natural log probability of each text's ids; tail tokens by their class only. Equal texts are scored once."""
+    places: dict[bytes, int] = {}
+    same = np.array([places.setdefault(t.tobytes(), len(places)) for t in texts], dtype=np.int64)
+    distinct = [np.frombuffer(t, np.int16) for t in places]
+    order = sorted(range(len(distinct)), key=lambda i: -len(distinct[i]))
+    out = np.zeros(len(distinct))
     for a in range(0, len(order), WIDE):
         lanes = order[a : a + WIDE]
-        length = np.array([len(texts[i]) for i in lanes])
-        flat, begin = np.concatenate([texts[i] for i in lanes]), np.cumsum(length) - length
+        length = np.array([len(distinct[i]) for i in lanes])
+        flat, begin = np.concatenate([distinct[i] for i in lanes]), np.cumsum(length) - length
         state = np.zeros((len(lanes), HIDDEN), dtype=np.float32)
         last = np.full(len(lanes), START, dtype=np.int16)
         total = np.zeros(len(lanes))
         for at in range(0, int(length[0]), STEPS):
-            live = int(np.searchsorted(-length, -at, side="left"))
-            steps = min(STEPS, int(length[0]) - at)
-            place = np.minimum(at + np.arange(steps)[:, None], length[None, :live] - 1)
-            real = at + np.arange(steps)[:, None] < length[None, :live]
-            target = flat[begin[None, :live] + place]
+            target, real = _window(flat, begin, length, at)
+            live = target.shape[1]
             inputs = np.concatenate([last[None, :live], target[:-1]])
             h, state, _ = _forward(inputs, state[:live], weights[0], weights[1], False)
             logp = np.zeros(real.shape)
@@ -350,7 +456,7 @@ def _model_scores(texts: list[np.ndarray], weights: list[np.ndarray]) -> np.ndar
             total[:live] += logp.sum(0)
             last = target[-1]
         out[lanes] = total
-    return out
+    return out[same]
 
 
 _SCORED = "text_hash bigint, n_tokens bigint, n_known bigint, base double, model double, rare array<bigint>, times array<int>"
@@ -375,26 +481,36 @@ def _score(shared):
             )
 
         rows, texts, held = [], [], 0
+        open_: list[tuple] = []
         for batch in batches:
-            for block in W.blocks(batch.column(1)):
-                h, count = tokens(block)
+            for block, h, count, more in pieces(batch.column(2)):
                 c = np.zeros(len(h), dtype=np.int64)
                 ids = WORDS + tail_class(h)
                 inside = np.zeros(len(h), dtype=bool)
                 if len(vocab.hashes):
-                    at = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
-                    inside = vocab.hashes[at] == h
+                    at = vocab.find(h)
+                    inside = at >= 0
                     c[inside] = vocab.counts[at[inside]]
                     own = np.where(inside, vocab.ids[at], -1)
-                    ids = np.where(own >= 0, own, ids).astype(np.int16)
-                whole = block.hash_ranges(block.offsets[:-1], block.offsets[1:])
+                    ids = np.where(own >= 0, own, ids)
+                ids = ids.astype(np.int16)
                 looked = inside | vocab.complete
                 value = np.where(looked, np.log10(c + SMOOTH), 0.0)
                 tail = np.where(ids >= WORDS, value - tail_norm[np.maximum(ids - WORDS, 0)], 0.0)
-                rare, times, many = _rare(h, count, looked)
+                made = (ids, count, W.sums((c > 0).astype(np.int64), count), W.sums(value - base_norm, count), W.sums(tail, count), h[~looked])
+                if more or open_:
+                    # A long text: its pieces are added up when the last one is there.
+                    open_.append(made)
+                    if more:
+                        continue
+                    ids, count, known, base, tail, left = (np.concatenate(x) if i in (0, 5) else sum(x) for i, x in enumerate(zip(*open_)))
+                    rare, times = np.unique(left, return_counts=True)
+                    rare, times, many, open_ = rare.view(np.int64), times.astype(np.int32), np.array([len(rare)]), []
+                else:
+                    _, count, known, base, tail, _ = made
+                    rare, times, many = _rare(h, count, looked)
                 rows.append((
-                    batch.column(0).slice(block.first, block.n), whole.view(np.int64), count, W.sums((c > 0).astype(np.int64), count),
-                    W.sums(value - base_norm, count), W.sums(tail, count), rare, times, many,
+                    batch.column(0).slice(block.first, block.n), batch.column(1).slice(block.first, block.n).to_numpy(), count, known, base, tail, rare, times, many,
                 ))
                 texts += np.split(ids, np.cumsum(count)[:-1])
                 held += len(ids)
@@ -438,9 +554,9 @@ def language_model_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUND
     weights = train(training, vocab, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(_score(shared), f"doc_id {kind}, {_SCORED}")
+    scored = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_score(shared), f"doc_id {kind}, {_SCORED}")
+    scored = stage(scored, "scored")
     if not vocab.complete:
-        scored = stage(scored, "scored")
         rare = scored.where(F.size("rare") > 0).select("doc_id", "text_hash", F.explode(F.arrays_zip("rare", "times")).alias("t"))
         rare = rare.select("doc_id", "text_hash", F.col("t.rare").alias("h"), F.col("t.times").alias("n"))
         met = rare.join(counts.select("h", "c"), "h", "left").groupBy("h", "doc_id", "text_hash").agg(F.max("n").alias("n"), F.max(F.coalesce("c", F.lit(0))).alias("c"))
@@ -451,7 +567,10 @@ def language_model_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUND
         scored = scored.drop("rare", "times").join(more, same, "left")
         extra, known = F.coalesce("extra", F.lit(0.0)), F.coalesce("known", F.lit(0))
         scored = scored.withColumns({"n_known": F.col("n_known") + known, "base": F.col("base") + extra, "model": F.col("model") + extra})
+    # Single precision depends on the texts scored beside a text in its last digits: equal texts take one of their scores.
+    again = scored.groupBy(F.col("text_hash").alias("_text"), F.col("n_tokens").alias("_n")).agg(F.min("model").alias("_one"), F.count("*").alias("_rows")).where("_rows > 1")
+    scored = scored.join(again, (F.col("text_hash") == F.col("_text")) & (F.col("n_tokens") == F.col("_n")), "left")
     return scored.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
-        F.lit(vocab.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
+        F.lit(vocab.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.coalesce("_one", "model").alias("score"),
     )

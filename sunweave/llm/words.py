@@ -150,6 +150,32 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
+def parts(column: pa.Array, is_word: np.ndarray, overlap: int = 0, limit: int = BLOCK_BYTES) -> Iterator[tuple[Block, Words, bool]]:
+    """Blocks of a text column with their words, and whether the text goes on in the next block.
+
+    A text beyond ``limit`` bytes comes in several blocks of one row, cut between words. They share ``overlap``
+    words, so that ``overlap`` + 1 words in a row lie whole in exactly one of them.
+    """
+    for block in blocks(column, limit):
+        size = len(block.data)
+        if size <= limit:
+            yield block, block.words(is_word), False
+            continue
+        at, room = 0, limit
+        while at < size:
+            end = min(at + room, size)
+            while end < size and is_word[block.data[end]]:
+                gap = np.flatnonzero(~is_word[block.data[end : end + limit]])
+                end = min(end + (int(gap[0]) if len(gap) else limit), size)
+            part = Block(block.first, 1, block.data[at:end], np.array([0, end - at]))
+            found = part.words(is_word)
+            if end < size and len(found.start) <= overlap:
+                room *= 2
+                continue
+            yield part, found, end < size
+            at, room = (end if end == size or not overlap else at + int(found.start[-overlap])), limit
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive words; the caller masks those that cross a row border."""
     n = len(words) - k + 1

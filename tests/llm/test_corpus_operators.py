@@ -398,6 +398,19 @@ def test_language_model_does_not_depend_on_the_layout(docs):
     assert all(math.isclose(one[d], many[d], rel_tol=1e-6) for d in one)
 
 
+def test_head_tokens_are_found_by_their_leading_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 3, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        zero = np.zeros(len(keys), np.int64)
+        vocab = lm.Vocabulary(keys, zero, zero - 1, 0, 0, np.zeros(lm.TAIL), np.zeros(lm.TAIL), True)
+        asked = np.concatenate([keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        where = {k: i for i, k in enumerate(keys.tolist())}
+        assert vocab.find(asked).tolist() == [where.get(k, -1) for k in asked.tolist()]
+
+
 def test_long_texts_are_tokenised_in_pieces():
     import numpy as np
     import pyarrow as pa
