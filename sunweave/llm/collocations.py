@@ -35,12 +35,12 @@ LEAST, LONGEST, FIRST = 30, 4, 2000
 #: A candidate falls if a longer one that holds it has at least this share of its count, in hundredths.
 INSIDE = 80
 HEAD = 1 << 20
-TILE_BITS, DENSE = 10, 12
+TILE_BITS, DENSE = 10, 8
 #: Pairs settled together, and coordinates kept before they are handed on.
-SETTLE = 1 << 22
+SETTLE = 1 << 21
 MOST_BITS = 1 << 26
 #: Bytes of text worked on at once; longer texts are cut between words, with as many words of overlap as a phrase needs.
-BYTES = 1 << 22
+BYTES = 1 << 21
 
 _U = np.uint64
 BREAK = W.byte_class((10, 13))
@@ -108,29 +108,6 @@ class Level:
         return (self.tail[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) == 1
 
 
-def parts(column: pa.Array, overlap: int, limit: int = BYTES) -> Iterator[tuple[W.Block, W.Words]]:
-    """Blocks of a text column with their words; a text beyond ``limit`` bytes comes in several, which share
-    ``overlap`` words, so that a phrase of ``overlap`` + 1 words lies whole in exactly one of them."""
-    for block in W.blocks(column, limit):
-        size = len(block.data)
-        if size <= limit:
-            yield block, block.words(IN_WORD)
-            continue
-        at, room = 0, limit
-        while at < size:
-            end = min(at + room, size)
-            while end < size and IN_WORD[block.data[end]]:
-                gap = np.flatnonzero(~IN_WORD[block.data[end : end + limit]])
-                end = min(end + (int(gap[0]) if len(gap) else limit), size)
-            part = W.Block(block.first, 1, block.data[at:end], np.array([0, end - at]))
-            found = part.words(IN_WORD)
-            if end < size and len(found.start) <= overlap:
-                room *= 2
-                continue
-            yield part, found
-            at, room = (end if end == size or not overlap else at + int(found.start[-overlap])), limit
-
-
 def language_keys(langs: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], dtype=np.uint64)
 
@@ -283,7 +260,7 @@ def _counter(levels: list[Level], limit: int):
             langs = batch.column(1).fill_null("und").dictionary_encode()
             names, of_row = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)
             keys = language_keys(names.to_pylist())
-            for block, found in parts(batch.column(0), m - 1, limit):
+            for block, found, _ in W.parts(batch.column(0), IN_WORD, m - 1, limit):
                 if len(found.start) < m:
                     continue
                 own = of_row[block.first : block.first + block.n]
