@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +137,30 @@ def test_sequence_features(spark):
     with pytest.raises(ValueError, match="not a sequence model"):
         sequence_features(df, "lr")
     assert sequence_features(df.where("false"), "seq_conv", filters=2).count() == 0
+
+
+def test_skilled_rows_keep_every_row(spark, data):
+    from types import SimpleNamespace
+
+    from sunweave.catalog.learning import skilled_rows
+
+    train = spark.createDataFrame([(0.0,), (10.0,)], "target double")
+    said = [("M", "s", 0, 1.0, 2.0), ("M", "s", 1, 9.0, 11.0), ("M", None, 0, 4.0, None), ("M", None, 0, 4.0, float("nan"))]
+    scored = spark.createDataFrame([(m, s, i, datetime(2024, 1, 1), a, p) for m, s, i, a, p in said], "model string, site string, idx long, ts timestamp_ntz, actual double, predicted double")
+    bundle = SimpleNamespace(train=train, target="target")
+    out = skilled_rows(scored, bundle).collect()
+    assert sorted((r.site or "", r.idx, r.actual, r.in_range) for r in out) == [("", 0, 4.0, False), ("", 0, 4.0, False), ("s", 0, 1.0, True), ("s", 1, 9.0, False)]
+    assert {(r.n_rows, r.n_unscored) for r in out} == {(4, 2)}
+    assert all(r.in_range for r in skilled_rows(scored.where("site = 's'"), bundle, 0.25).collect())
+
+
+@pytest.mark.parametrize("name", ["m03_forest"])
+def test_learner_queries_list_test_rows(name):
+    import duckdb
+    import __spark_entry__ as entry
+    from conftest import SMALL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SMALL}/lineitem.parquet'; CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    rows = con.execute(entry.oracle_sql()[name]).fetchdf()
+    assert len(rows) > 1 and len(rows) == rows["n_rows"][0] and {"site", "idx", "ts", "actual", "in_range"} <= set(rows.columns)
