@@ -154,7 +154,7 @@ def test_skilled_rows_keep_every_row(spark, data):
     assert all(r.in_range for r in skilled_rows(scored.where("site = 's'"), bundle, 0.25).collect())
 
 
-@pytest.mark.parametrize("name", ["m03_forest", "m04_boosted"])
+@pytest.mark.parametrize("name", ["m03_forest", "m04_boosted", "j02_train_tabular"])
 def test_learner_queries_list_test_rows(name):
     import duckdb
     import __spark_entry__ as entry
