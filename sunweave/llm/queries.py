@@ -22,6 +22,7 @@ from sunweave.llm import (
     sanitise,
     substring_dedup,
 )
+from sunweave.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,8 +51,9 @@ def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of all documents that lie in repeated passages, and verbatim runs of words (with their
     start and end) that do not depend on lines, with where each first occurs."""
     docs = table(spark, sf_dir, "documents")
+    # The runs are written before the lines are looked for, so that the shuffles of one are gone when the other begins.
+    runs = stage(substring_dedup.verbatim_runs(docs).drop("key").withColumn("words", F.col("end") - F.col("start")), "runs")
     lines = substring_dedup.repeated_passages(docs).drop("text_hash")
-    runs = substring_dedup.verbatim_runs(docs).drop("key").withColumn("words", F.col("end") - F.col("start"))
     return lines.unionByName(runs, allowMissingColumns=True)
 
 

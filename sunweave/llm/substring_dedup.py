@@ -164,7 +164,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     doc_id; rows equal in both are one document, whose paragraphs are listed once. Null doc_ids come
     last in order. Other columns are ignored, whatever their names. No rows give no rows.
     """
-    marked = repeated_paragraphs(docs, bands, rows).distinct()
+    # Rows that repeat share a document, so the window below finds them where it needs them.
+    marked = repeated_paragraphs(docs, bands, rows).repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "line"])
     order = Window.partitionBy("doc_id", "text_hash").orderBy("line")
     unique = F.col("cluster").isNull().cast("int")
     runs = marked.withColumn("run", F.sum(unique).over(order)).where("cluster is not null")
@@ -278,24 +279,22 @@ def verbatim_runs(docs: DataFrame) -> DataFrame:
     near = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
     near = near.select("doc_id", "key", "size", "text", "anchors")
     near = near.mapInArrow(_windows, f"doc_id {kind}, key bigint, size bigint, h array<bigint>, start array<int>, line array<int>")
-    near = stage(near, "run-windows").dropDuplicates(["key"])
-    near = near.select("doc_id", "key", "size", F.explode(F.arrays_zip("h", "start", "line")).alias("w")).select("doc_id", "key", "size", "w.*")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start", "line")
-    found = near.groupBy("h").agg(F.min(place).alias("first"), F.sum("size").alias("copies"), F.count("*").alias("places"))
-    found = found.where("places > 1").drop("places")
-    hits = near.join(found, "h").withColumn("removed", (F.col("first.key") != F.col("key")) | (F.col("first.start") != F.col("start")))
-    hits = hits.withColumn("from", F.col("first.key"))
+    near = stage(near.dropDuplicates(["key"]), "run-windows")
+    windows = F.explode(F.arrays_zip("h", "start", "line")).alias("w")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "w.start", "w.line")
+    found = near.select("doc_id", "key", "size", windows).groupBy("w.h").agg(F.min(place).alias("first"), F.sum("size").alias("copies"), F.count("*").alias("places"))
+    found = found.where("places > 1").select("h", F.col("first.key").alias("from"), F.col("first.start").alias("first_start"), F.col("first.line").alias("first_line"), "copies")
+    # Rows of windows carry numbers only; texts give the documents of the few runs that are left.
+    hits = near.select("key", windows).select("key", "w.*").join(stage(found, "run-places"), "h").drop("h")
+    hits = hits.withColumn("removed", (F.col("from") != F.col("key")) | (F.col("first_start") != F.col("start")))
     alike = Window.partitionBy("key", "removed", "from").orderBy("start")
     hits = hits.withColumn("chain", F.col("start") - F.row_number().over(alike))
-    runs = hits.groupBy("doc_id", "key", "removed", "from", "chain").agg(
+    runs = hits.groupBy("key", "removed", "from", "chain").agg(
         F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end"), F.min_by("line", "start").alias("line"),
-        F.min_by("first", "start").alias("first"), F.max("copies").alias("copies"),
+        F.min_by("first_line", "start").alias("first_line"), F.min_by("first_start", "start").alias("first_start"), F.max("copies").alias("copies"),
     )
     out = ["doc_id", "key", "line", "start", "end", "first_doc_id", "first_line", "first_start", "copies", "removed"]
-    runs = runs.select(
-        "doc_id", "key", "line", "start", "end", F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.line").alias("first_line"), F.col("first.start").alias("first_start"), "copies", "removed",
-    )
+    runs = runs.join(texts.select("key", "doc_id"), "key").join(texts.select(F.col("key").alias("from"), F.col("doc_id").alias("first_doc_id")), "from")
     same = texts.where("size > 1").select("key", F.col("doc_id").alias("first_doc_id"), "size")
     zero = F.lit(0)
     whole = held.join(same, "key").select(

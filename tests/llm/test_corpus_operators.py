@@ -1,5 +1,6 @@
 """Each corpus operator against brute force, on odd rows, and on an empty table."""
 
+import time
 import math
 import random
 import re
@@ -466,3 +467,18 @@ def test_language_model_of_odd_rows(odd, empty):
     one = got.where("doc_id = 1").collect()
     assert len(one) == 2 and one[0] == one[1]
     assert rows(lm.language_model_scores(empty, rounds=1)) == []
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    from sunweave.session import stage
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shuffled = lambda: {x for x in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = shuffled()
+    rows = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert rows.count() == 7
