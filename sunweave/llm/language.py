@@ -4,8 +4,8 @@ Every word is an observation described by its affixes, its inner n-grams, itself
 lexicon of words typical of one language; states are languages, transitions are learned. Forward-
 backward gives each word's language marginals, whose mean over a whole text names its language.
 
-The field is fitted in numpy on a bounded sample of labelled documents (DOCS_PER_LANGUAGE whole texts
-of each language, drawn by hash). Pieces of different languages are strung together, so that the
+``identify`` fits the field in numpy on a bounded sample of labelled documents (DOCS_PER_LANGUAGE whole texts
+of each language, drawn by hash); ``identified`` fits it on all of them, part by part. Pieces of different languages are strung together, so that the
 transitions learn when to switch. Prediction runs over all texts in one pass without a shuffle; long
 texts are cut into segments whose transition products are combined, so a text of any length takes
 about as many numpy steps as a segment has words plus a text has segments.
@@ -13,6 +13,7 @@ about as many numpy steps as a segment has words plus a text has segments.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from sunweave.llm import words as W
 from sunweave.llm.columns import add_from_text, checked_broadcast, columns, fresh, named
+from sunweave.llm.lm import SUMS, _sum_row, _sums
 from sunweave.llm.quality import fold
+from sunweave.session import stage
 
 #: Most labelled documents of one language that the field is fitted on.
 DOCS_PER_LANGUAGE = 150
@@ -31,6 +34,10 @@ SEGMENT = 48
 STEPS, RATE, DECAY = 25, 0.15, 1e-4
 #: A lexicon word occurs so often in the sample, so large a part of it in one language.
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
+#: And if the field is fitted on all texts, at least this part of all their words.
+LEXICON_PART = 1e-6
+#: Bytes of text that one task fits, and words of one of its steps.
+PART_BYTES, BATCH_WORDS = 4 << 20, 4000
 UNKNOWN = "und"
 #: A text passes ``identified`` with this share of the evidence per word that all but one in a hundred learned texts reach.
 SHARE_OF_LEARNED, LEARNED_QUANTILE = 0.4, 0.01
@@ -176,9 +183,13 @@ def marginals(score: np.ndarray, count: np.ndarray, moves: np.ndarray, pairs: bo
     return both, expected
 
 
-def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 3) -> Field | None:
-    """Field of greatest regularised likelihood over code-switched strings of pieces of the texts."""
-    languages = sorted({lang for _, lang in texts})
+def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 3, given: Field | None = None, batch: int | None = None) -> Field | None:
+    """Field of greatest regularised likelihood over code-switched strings of pieces of the texts.
+
+    ``given`` names the languages and the lexicon, if they are known already. With ``batch``, a step sees that many
+    words and the next step the next ones, as far as ``steps`` go round; each word is seen at least once.
+    """
+    languages = given.languages if given else sorted({lang for _, lang in texts})
     if not languages:
         return None
     k, place = len(languages), {lang: i for i, lang in enumerate(languages)}
@@ -192,21 +203,24 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 3) -> Fiel
     owner = np.repeat(np.arange(len(names)), many)
     seen = np.bincount(back * k + label, minlength=len(names) * k).reshape(-1, k)
     typical = (seen.sum(1) >= LEXICON_COUNT) & (seen.max(1, initial=0) >= LEXICON_SHARE * seen.sum(1))
-    field = Field(languages, np.zeros((TABLE, k), np.float32), names[typical], seen[typical].argmax(1), np.zeros((k, k), np.float32), np.zeros((k, k)))
+    lexicon, meaning = (given.lexicon, given.meaning) if given else (names[typical], seen[typical].argmax(1))
+    field = Field(languages, np.zeros((TABLE, k), np.float32), lexicon, meaning, np.zeros((k, k), np.float32), np.zeros((k, k)))
     lexical = np.full(len(names), -1)
-    lexical[typical] = field.meaning
-    order, count = _strung(found.count, rng)
-    truth, words = label[order], back[order]
-    gold = np.zeros((k, k))
-    if len(truth) > 1:
-        inner = np.ones(len(truth), bool)
-        inner[(np.cumsum(count) - count)[count > 0]] = False
-        at = np.flatnonzero(inner)
-        np.add.at(gold, (truth[at - 1], truth[at]), 1)
+    if len(lexicon):
+        place_of = np.minimum(np.searchsorted(lexicon, names), len(lexicon) - 1)
+        lexical = np.where(lexicon[place_of] == names, meaning[place_of], -1)
+    order, counts = _strung(found.count, rng)
+    every, spelled = label[order], back[order]
+    turns = 1 if batch is None else max(1, min(steps, len(every) // batch, len(counts)))
+    borders = np.append(0, np.cumsum(counts))
+    cuts = [len(counts) * i // turns for i in range(turns + 1)]
+    parts = [(every[borders[a] : borders[b]], spelled[borders[a] : borders[b]], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    golds = [_moves_seen(truth, count, k) for truth, _, count in parts]
     parameters = [field.weights, field.lexical, field.moves]
     memory = [(np.zeros(p.shape), np.zeros(p.shape)) for p in parameters]
-    n = max(len(truth), 1)
-    for step in range(1, steps + 1 if len(truth) else 1):
+    for step in range(1, steps + 1 if len(every) else 1):
+        (truth, words, count), gold = parts[step % turns], golds[step % turns]
+        n = max(len(truth), 1)
         per_word = np.add.reduceat(field.weights[slots], np.cumsum(many) - many, axis=0) + _lexical(field, names)
         got, expected = marginals(per_word[words], count, field.moves, pairs=True)
         miss = -got
@@ -223,6 +237,100 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 3) -> Fiel
     return field
 
 
+def _moves_seen(truth: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
+    """How often each language follows each within strings."""
+    gold = np.zeros((k, k))
+    if len(truth) > 1:
+        inner = np.ones(len(truth), bool)
+        inner[(np.cumsum(count) - count)[count > 0]] = False
+        at = np.flatnonzero(inner)
+        np.add.at(gold, (truth[at - 1], truth[at]), 1)
+    return gold
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in W.blocks(batch.column(0)):
+            found = block.words(LETTERS)
+            lang = batch.column(1).slice(block.first, block.n).dictionary_encode()
+            own = lang.indices.to_numpy(zero_copy_only=False)[found.row]
+            h = found.hashes()
+            order = np.lexsort((h, own))
+            own, h = own[order], h[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])) if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[first].view(np.int64)), lang.dictionary.take(pa.array(own[first])), pa.array(np.diff(np.append(first, len(h))))], names=["h", "lang", "c"]
+            )
+
+
+def lexicon(learned: DataFrame) -> Field | None:
+    """Languages of all rows of ``learned`` (text, lang), and the words that they tell apart, counted over all texts.
+
+    A lexicon word also makes up LEXICON_PART of all words at least, so its number stays bounded on a corpus of any size.
+    """
+    languages = sorted(r.lang for r in learned.select("lang").distinct().collect())
+    if not languages:
+        return None
+    counts = learned.select("text", "lang").mapInArrow(_word_counts, "h bigint, lang string, c bigint").groupBy("h", "lang").agg(F.sum("c").alias("c"))
+    counts = stage(counts, "language-words")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    words = counts.groupBy("h").agg(F.sum("c").alias("n"), F.max(F.struct("c", "lang")).alias("most"))
+    words = words.where((F.col("n") >= max(LEXICON_COUNT, LEXICON_PART * total)) & (F.col("most.c") >= LEXICON_SHARE * F.col("n")))
+    got = words.select("h", F.col("most.lang").alias("lang")).toArrow()
+    h = got.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    place = {lang: i for i, lang in enumerate(languages)}
+    meaning = np.array([place[x] for x in got.column("lang").to_pylist()], dtype=np.int64)
+    order, k = np.argsort(h), len(languages)
+    return Field(languages, np.zeros((0, k), np.float32), h[order], meaning[order], np.zeros((k, k), np.float32), np.zeros((k, k)))
+
+
+def _fit_part(shared, part_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fitted() -> pa.RecordBatch:
+            made = fit(texts, given=shared.value, batch=BATCH_WORDS)
+            flat = np.concatenate([x.ravel().astype(np.float64) for x in (made.weights, made.lexical, made.moves)])
+            return _sum_row(first, np.append(flat * size, size))
+
+        texts, first, size = [], 0, 0
+        for batch in batches:
+            for key, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                first = first if texts else key
+                texts.append((text, lang))
+                size += len(text)
+                # Rows that repeat have one hash; a task that gets many of them fits them part by part.
+                if size >= 2 * part_bytes:
+                    yield fitted()
+                    texts, size = [], 0
+        if size:
+            yield fitted()
+
+    return run
+
+
+def fit_all(docs: DataFrame, part_bytes: int = PART_BYTES) -> Field | None:
+    """The field of all rows of ``docs`` with text and lang, every text learned from.
+
+    Texts are dealt by their hash into parts of about ``part_bytes``; each part is fitted by a task of its own, and the
+    parts' weights are averaged by their length. What a part holds depends on the rows alone.
+    """
+    learned = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    given = lexicon(learned)
+    if given is None:
+        return None
+    size = learned.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
+    key = F.xxhash64("doc_id", "text", "lang").bitwiseAND(F.lit((1 << 62) - 1)).alias("key")
+    dealt = learned.select(key, "text", "lang").repartition(max(1, -(-size // part_bytes)), "key").sortWithinPartitions("key", "text", "lang")
+    shared = docs.sparkSession.sparkContext.broadcast(given)
+    made = dealt.mapInArrow(_fit_part(shared, part_bytes), "key bigint, slot int, flat binary")
+    rows = made.repartition(SUMS, "slot").sortWithinPartitions("slot", "key").mapInArrow(_sums, "key bigint, slot int, flat binary").collect()
+    k = len(given.languages)
+    flat = sum((np.frombuffer(r.flat) for r in sorted(rows, key=lambda r: r.slot)), np.zeros(TABLE * k + 2 * k * k + 1))
+    flat = flat[:-1] / max(flat[-1], 1)
+    given.weights = flat[: TABLE * k].reshape(TABLE, k).astype(np.float32)
+    given.lexical, given.moves = flat[TABLE * k : TABLE * k + k * k].reshape(k, k).astype(np.float32), flat[TABLE * k + k * k :].reshape(k, k)
+    return given
+
+
 def _strung(count: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Word order that strings pieces of 5 to 60 words from random texts together, and words per string."""
     cuts, at = [], 0
@@ -304,28 +412,25 @@ def predicted(docs: DataFrame, field: Field | None, keep: list[str] | None = Non
     return add_from_text(source, _predict(shared), added, keep=keep, also=[letters]), lang, score, evidence
 
 
-def least_evidence(field: Field, learned: list[tuple[str, str]]) -> float:
-    """The evidence per word below which a text is like none of the learned languages, from the learned texts."""
-    given = [
-        _score(field, block, np.ones(block.n, dtype=bool))[2] for block in W.blocks(pa.array([text for text, _ in learned], pa.large_string()))
-    ]
-    return float(SHARE_OF_LEARNED * np.quantile(np.concatenate(given), LEARNED_QUANTILE)) if given else 0.0
-
-
 def identified(docs: DataFrame, least: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose language can be named: with at least ``least`` evidence per word.
 
-    By default the bound follows from the learned texts (``least_evidence``): the words of a text in no learned
+    The field learns from every row with text and lang (``fit_all``). By default the bound follows from the evidence of
+    all of them: SHARE_OF_LEARNED of what all but LEARNED_QUANTILE reach. The words of a text in no learned
     language speak for none of them and fall far below it, while those of a text that switches between learned ones do
     not. Texts of fewer than ``JUDGED_WORDS`` words say too little and stay if they have a letter. Texts
     without letters go. If there is nothing to learn from, no language can be told and every text with a letter stays. Null texts
     go; no rows give no rows; rows that repeat are judged alike.
     """
-    learned = sample(docs)
-    field = fit(learned)
+    field = fit_all(docs)
     if field is None:
         return docs.where(F.coalesce(named("text").rlike(r"\p{L}"), F.lit(False)))
-    bound = least_evidence(field, learned) if least is None else least
     found, lang, _, evidence = predicted(docs, field)
+    bound = least
+    if bound is None:
+        found = stage(found, "languages")
+        labelled = found.where(named("text").isNotNull() & named("lang").isNotNull())
+        low = labelled.agg(F.percentile_approx(named(evidence), LEARNED_QUANTILE, 10000)).first()[0]
+        bound = SHARE_OF_LEARNED * (low or 0.0)
     short = F.size(F.split(F.trim(named("text")), r"[\x20\x09-\x0D]+")) < JUDGED_WORDS
     return found.where((named(lang) != UNKNOWN) & (short | (named(evidence) >= bound))).select(*columns(docs))

@@ -482,3 +482,19 @@ def test_staged_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not shuffled() - before
     assert rows.count() == 7
+
+
+def test_pipeline_field_learns_from_every_text(spark):
+    many = 3 * language.DOCS_PER_LANGUAGE
+    own = lambda i: "".join(chr(97 + int(x)) for x in f"{i:04d}")
+    rows = [(None if i % 9 == 0 else i, f"the {own(i)}q {own(i)}q {own(i)}q", "en") for i in range(many)]
+    rows += [(i, f"der {own(i)}z {own(i)}z {own(i)}z", "de") for i in range(many)] + [(1, None, "en"), (2, "x", None), (3, "", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    field = language.fit_all(docs, part_bytes=2000)
+    assert field.languages == ["de", "en", "fr"] and len(field.lexicon) == 2 * many + 2
+    assert sorted(set(field.meaning.tolist())) == [0, 1]
+    again = language.fit_all(docs.repartition(2), part_bytes=2000)
+    assert (again.weights == field.weights).all() and (again.moves == field.moves).all()
+    assert language.fit_all(docs.where("lang is null")) is None
+    copies = spark.createDataFrame([(1, rows[5][1], "en")] * 300 + [(2, rows[-5][1], "de")] * 300, docs.schema)
+    assert abs(language.fit_all(copies, part_bytes=200).weights).max() > 0
