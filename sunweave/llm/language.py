@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 LEXICON_PART = 1e-6
 #: Bytes of text that one task fits, and words of one of its steps.
 PART_BYTES, BATCH_WORDS = 4 << 20, 4000
+#: Distinct words whose features are worked out at once.
+SPELLED_WORDS = 1 << 13
 UNKNOWN = "und"
 #: A text passes ``identified`` with this share of the evidence per word that all but one in a hundred learned texts reach.
 SHARE_OF_LEARNED, LEARNED_QUANTILE = 0.4, 0.01
@@ -178,57 +181,92 @@ def marginals(score: np.ndarray, count: np.ndarray, moves: np.ndarray, pairs: bo
         second = np.ones(total, bool)
         second[(np.cumsum(count) - count)[count > 0]] = False
         at = np.flatnonzero(second)
-        xi = alpha[at - 1][:, :, None] * step[None] * (psi[at] * beta[at])[:, None, :]
-        expected = (xi / xi.sum((1, 2), keepdims=True)).sum(0)
+        since, until = alpha[at - 1], psi[at] * beta[at]
+        expected = step * ((since / ((since @ step) * until).sum(1, keepdims=True)).T @ until)
     return both, expected
 
 
+def _ranges(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places begin to begin + many of each range, one range after the other."""
+    return np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+
+
+def _spelled(texts: list[str], limit: int = W.BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, their table slots and how many each has; each word's place among them, words per text.
+
+    Texts are read a bounded block at a time, so that only what is returned grows with them.
+    """
+    count, names = np.zeros(len(texts), np.int64), np.zeros(0, np.uint64)
+    hashes, found_names, found_slots, found_many = [np.zeros(0, np.uint64)], [names], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for block, found, _ in W.parts(pa.array(texts, pa.large_string()), LETTERS, limit=limit):
+        prefix = block.prefix()
+        h = block.hash_ranges(found.start, found.end, prefix)
+        count[block.first : block.first + block.n] += found.count
+        hashes.append(h)
+        here, first = np.unique(h, return_index=True)
+        new = np.isin(here, names, invert=True)
+        for at in range(0, int(new.sum()), SPELLED_WORDS):
+            slots, many = word_features(block, found, first[new][at : at + SPELLED_WORDS], prefix)
+            found_slots.append(slots.astype(np.int32))
+            found_many.append(many)
+        found_names.append(here[new])
+        names = np.union1d(names, here[new])
+    order, many = np.argsort(np.concatenate(found_names)), np.concatenate(found_many)
+    slots = np.concatenate(found_slots)[_ranges((np.cumsum(many) - many)[order], many[order])]
+    return names, slots, many[order], np.searchsorted(names, np.concatenate(hashes)).astype(np.int32), count
+
+
 def fit(texts: list[tuple[str, str]], steps: int = STEPS, seed: int = 3, given: Field | None = None, batch: int | None = None) -> Field | None:
     """Field of greatest regularised likelihood over code-switched strings of pieces of the texts.
 
     ``given`` names the languages and the lexicon, if they are known already. With ``batch``, a step sees that many
-    words and the next step the next ones, as far as ``steps`` go round; each word is seen at least once.
+    words and the next step the next ones, as far as ``steps`` go round; each word is seen at least once. A step works
+    on the distinct words that it sees only.
     """
     languages = given.languages if given else sorted({lang for _, lang in texts})
     if not languages:
         return None
     k, place = len(languages), {lang: i for i, lang in enumerate(languages)}
-    block = next(W.blocks(pa.array([t for t, _ in texts], pa.large_string()), limit=1 << 62))
-    found = block.words(LETTERS)
-    rng, prefix = np.random.default_rng(seed), block.prefix()
-    h = block.hash_ranges(found.start, found.end, prefix)
-    label = np.array([place[lang] for _, lang in texts])[found.row] if len(h) else np.zeros(0, int)
-    names, first, back = np.unique(h, return_index=True, return_inverse=True)
-    slots, many = word_features(block, found, first, prefix)
-    owner = np.repeat(np.arange(len(names)), many)
-    seen = np.bincount(back * k + label, minlength=len(names) * k).reshape(-1, k)
-    typical = (seen.sum(1) >= LEXICON_COUNT) & (seen.max(1, initial=0) >= LEXICON_SHARE * seen.sum(1))
-    lexicon, meaning = (given.lexicon, given.meaning) if given else (names[typical], seen[typical].argmax(1))
+    rng = np.random.default_rng(seed)
+    names, slots, many, back, per_text = _spelled([t for t, _ in texts])
+    begin = np.cumsum(many) - many
+    label = np.repeat(np.array([place[lang] for _, lang in texts], dtype=np.int32), per_text)
+    if given:
+        lexicon, meaning = given.lexicon, given.meaning
+    else:
+        seen = np.bincount(back.astype(np.int64) * k + label, minlength=len(names) * k).reshape(-1, k)
+        typical = (seen.sum(1) >= LEXICON_COUNT) & (seen.max(1, initial=0) >= LEXICON_SHARE * seen.sum(1))
+        lexicon, meaning = names[typical], seen[typical].argmax(1)
     field = Field(languages, np.zeros((TABLE, k), np.float32), lexicon, meaning, np.zeros((k, k), np.float32), np.zeros((k, k)))
     lexical = np.full(len(names), -1)
     if len(lexicon):
         place_of = np.minimum(np.searchsorted(lexicon, names), len(lexicon) - 1)
         lexical = np.where(lexicon[place_of] == names, meaning[place_of], -1)
-    order, counts = _strung(found.count, rng)
-    every, spelled = label[order], back[order]
-    turns = 1 if batch is None else max(1, min(steps, len(every) // batch, len(counts)))
+    order, counts = _strung(per_text, rng)
+    turns = 1 if batch is None else max(1, min(steps, len(order) // batch, len(counts)))
     borders = np.append(0, np.cumsum(counts))
-    cuts = [len(counts) * i // turns for i in range(turns + 1)]
-    parts = [(every[borders[a] : borders[b]], spelled[borders[a] : borders[b]], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-    golds = [_moves_seen(truth, count, k) for truth, _, count in parts]
+
+    @lru_cache(maxsize=1)
+    def turn(i: int) -> tuple[np.ndarray, ...]:
+        a, b = len(counts) * i // turns, len(counts) * (i + 1) // turns
+        at = order[borders[a] : borders[b]]
+        chosen, words = np.unique(back[at], return_inverse=True)
+        truth = label[at]
+        return truth, words, counts[a:b], _moves_seen(truth, counts[a:b], k), chosen, slots[_ranges(begin[chosen], many[chosen])]
+
     parameters = [field.weights, field.lexical, field.moves]
     memory = [(np.zeros(p.shape), np.zeros(p.shape)) for p in parameters]
-    for step in range(1, steps + 1 if len(every) else 1):
-        (truth, words, count), gold = parts[step % turns], golds[step % turns]
-        n = max(len(truth), 1)
-        per_word = np.add.reduceat(field.weights[slots], np.cumsum(many) - many, axis=0) + _lexical(field, names)
+    for step in range(1, steps + 1 if len(order) else 1):
+        truth, words, count, gold, chosen, own = turn(step % turns)
+        n, has = max(len(truth), 1), many[chosen]
+        per_word = np.add.reduceat(field.weights[own], np.cumsum(has) - has, axis=0) + _lexical(field, names[chosen])
         got, expected = marginals(per_word[words], count, field.moves, pairs=True)
         miss = -got
         miss[np.arange(len(truth)), truth] += 1
-        by_word = np.stack([np.bincount(words, miss[:, c], minlength=len(names)) for c in range(k)], axis=1)
-        by_slot = np.stack([np.bincount(slots, by_word[owner, c], minlength=TABLE) for c in range(k)], axis=1)
-        by_list = np.zeros((k, k))
-        np.add.at(by_list, lexical[lexical >= 0], by_word[lexical >= 0])
+        by_word = np.stack([np.bincount(words, miss[:, c], minlength=len(chosen)) for c in range(k)], axis=1)
+        by_slot = np.stack([np.bincount(own, np.repeat(by_word[:, c], has), minlength=TABLE) for c in range(k)], axis=1)
+        by_list, listed = np.zeros((k, k)), lexical[chosen]
+        np.add.at(by_list, listed[listed >= 0], by_word[listed >= 0])
         for p, g, (m, v) in zip(parameters, (by_slot, by_list, gold - expected), memory):
             g = g / n - DECAY * p
             m += 0.1 * (g - m)
